@@ -198,7 +198,8 @@ def relevance_at_k(merged: DataFrame, key: DataFrame, systems: list[str], top_k:
         .groupBy("query_id", F.col("e.system").alias("system"))
         .agg(F.avg("rating").alias("relevance"))
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
+    # Rounded, so that equal means tie whatever order they were summed in.
+    best = Window.partitionBy("query_id").orderBy(F.round("relevance", 9).desc())
     return (
         per_query.withColumn("place", F.rank().over(best))
         .groupBy("system")

@@ -106,6 +106,12 @@ class SparseBlock:
         return np.bincount(cells, products, count * width).reshape(count, width)
 
 
+def round_half_up(values: np.ndarray, decimals: int) -> np.ndarray:
+    """Rounds halves away from zero, as Spark's ``round`` does."""
+    scale = 10.0**decimals
+    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values)
+
+
 class BestRows:
     """The best K catalog rows per query seen so far in one task."""
 
@@ -116,7 +122,7 @@ class BestRows:
         self.floor = np.full(queries, -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.round(scores, self.decimals)
+        scores = round_half_up(scores, self.decimals)
         open_cells = scores >= self.floor
         if not self.keep_zero:
             open_cells &= scores != 0
