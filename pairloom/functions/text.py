@@ -102,17 +102,17 @@ def tokens(text: Column) -> Column:
     )
 
 
-def with_bigrams(words: Column) -> Column:
-    """Unigrams as ``u_word`` followed by adjacent pairs as ``b_first_second``."""
+def with_bigrams(words: str) -> Column:
+    """Unigrams as ``u_word`` followed by adjacent pairs as ``b_first_second``.
+
+    Takes the name of a column, not an expression: a lambda would evaluate an expression
+    again for every element.
+    """
     unigrams = F.transform(words, lambda word: F.concat(F.lit("u_"), word))
     pairs = F.transform(
-        F.arrays_zip(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("first"),
-            F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("second"),
-        ),
-        lambda pair: F.concat(F.lit("b_"), pair["first"], F.lit("_"), pair["second"]),
+        words, lambda word, i: F.concat(F.lit("b_"), word, F.lit("_"), F.get(words, i + 1))
     )
-    return F.concat(unigrams, pairs)
+    return F.concat(unigrams, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def token_chunks(words: Column, max_tokens: int, overlap_tokens: int) -> Column:

@@ -29,10 +29,10 @@ SALT_ROWS = 100_000
 SCORE_DECIMALS = 12
 
 
-def document_terms(ngrams: bool = False) -> Column:
-    """Terms of ``combined_text``: tokens, or prefixed unigrams and bigrams."""
-    words = tokens(F.col("combined_text"))
-    return with_bigrams(words) if ngrams else words
+def with_terms(documents: DataFrame, ngrams: bool = False) -> DataFrame:
+    """Add ``terms`` of ``combined_text``: tokens, or prefixed unigrams and bigrams."""
+    words = documents.withColumn("terms", tokens(F.col("combined_text")))
+    return words.withColumn("terms", with_bigrams("terms")) if ngrams else words
 
 
 def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
@@ -41,7 +41,7 @@ def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id")
     The sorted token array is cut where neighbours differ; run lengths are the counts.
     """
     require_columns(documents, [key, "combined_text"])
-    ordered = documents.select(key, F.sort_array(document_terms(ngrams)).alias("terms"))
+    ordered = with_terms(documents, ngrams).select(key, F.sort_array("terms").alias("terms"))
     cut = ordered.select(
         key,
         "terms",
@@ -74,10 +74,10 @@ class Vocabulary:
 
 def term_frequencies(documents: DataFrame, ngrams: bool = False) -> DataFrame:
     """``(term, df)`` over a catalog; the NULL term counts the documents themselves."""
-    terms = F.array_distinct(document_terms(ngrams))
-    every = F.concat(F.array(F.lit(None).cast("string")), terms)
+    every = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("terms"))
     return (
-        documents.select(F.explode(every).alias("term"))
+        with_terms(documents, ngrams)
+        .select(F.explode(every).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )

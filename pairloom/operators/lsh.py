@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.checks import require, require_columns
+from pairloom.checks import fits, require, require_columns
 from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_parts
 from pairloom.operators.scoring import (
     SparseBlock,
@@ -243,29 +243,42 @@ def evaluate_grid(
         *[F.when(inside(w, t), F.struct(F.lit(widths[w]).alias("bucket_length"), F.lit(t).alias("num_hash_tables")))
           for w in range(len(widths)) for t in table_counts]
     )
-    exploded = candidates.select(
-        "query_id", "document_id", "distance", F.explode(F.array_compact(indexes)).alias("index")
-    ).select("index.*", "query_id", "document_id", "distance")
-    order = Window.partitionBy("bucket_length", "num_hash_tables", "query_id").orderBy("distance", "document_id")
-    final = exploded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
-    truth = exact.select("query_id", "document_id").distinct()
-    keys = ["bucket_length", "num_hash_tables"]
+    def per_index(pairs: DataFrame) -> DataFrame:
+        return pairs.select(
+            "query_id", "document_id", "distance", F.explode(F.array_compact(indexes)).alias("index")
+        ).select("index.*", "query_id", "document_id", "distance")
+
+    pair, keys = ["query_id", "document_id"], ["bucket_length", "num_hash_tables"]
+    truth = exact.select(*pair).distinct()
+    met = candidates.join(truth, pair, "left_semi")
+    # Only pairs at least as near as a query's farthest true pair can push a true pair
+    # out of the first K, so nothing farther needs a rank.
+    reach = met.groupBy("query_id").agg(F.max("distance").alias("reach"))
+    # One row per query; shipped when few, so that a query with very many pairs stays put.
+    reach = F.broadcast(reach) if fits(reach) else reach
+    near = candidates.join(reach, "query_id").filter(F.col("distance") <= F.col("reach"))
+    order = Window.partitionBy(*keys, "query_id").orderBy("distance", "document_id")
+    final = (
+        per_index(near)
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= top_k)
+        .join(truth, pair, "left_semi")
+    )
 
     def hits(frame: DataFrame, name: str) -> DataFrame:
-        found = frame.join(truth, ["query_id", "document_id"], "left_semi")
-        per_index = found.groupBy(*keys).agg(
+        sums = frame.groupBy(*keys).agg(
             *[F.count_if(F.col("distance") < d).alias(f"d{j}") for j, d in enumerate(thresholds)]
         )
         cells = F.array(
             *[F.struct(F.lit(d).alias("distance_threshold"), F.col(f"d{j}").alias(name)) for j, d in enumerate(thresholds)]
         )
-        return per_index.select(*keys, F.inline(cells))
+        return sums.select(*keys, F.inline(cells))
 
     size = F.greatest(truth.agg(F.count(F.lit(1))).scalar(), F.lit(1))
     setting = [*keys, "distance_threshold"]
     return (
-        counts.join(hits(exploded, "candidate_hits"), setting, "left")
+        counts.join(hits(per_index(met), "candidate_hits"), setting, "left")
         .join(hits(final, "final_hits"), setting, "left")
         .select(
             *setting,

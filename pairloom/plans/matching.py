@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.checks import cut_lineage, require
 from pairloom.operators import documents, embedding, evaluation, features, lsh, scoring
-from pairloom.operators.selection import restrict_to, select_queries
+from pairloom.operators.selection import select_queries
 from pairloom.plans.silver import land
 from pairloom.sources.tables import save_model, write_csv, write_metrics
 
@@ -45,23 +45,27 @@ def featurise(
     out_dir: str | None = None,
     files: int | None = None,
 ) -> Sides:
-    """Fit on the catalog, transform both sides; with ``out_dir`` the features are written
-    once and read back, so that later steps do not tokenise again."""
-    model = features.fit_features(catalog, num_features, min_document_frequency, ngrams)
+    """Fit on the catalog and transform both sides, reading the catalog text once.
 
-    def side(name: str, frame: DataFrame) -> DataFrame:
-        rows = features.add_features(model, frame)
-        path = out_dir and f"{out_dir}/{name}_features"
-        return rows if path is None else land(rows.select(*documents.CONTRACT, "features"), path, files)
-
-    return Sides(catalog, queries, model, side("job", catalog), side("resume", queries))
+    With ``out_dir`` the features of both sides are written and read back from there.
+    """
+    model, catalog_features = features.fit_and_add_features(
+        catalog, num_features, min_document_frequency, ngrams
+    )
+    query_features = features.add_features(model, queries).select(*catalog_features.columns)
+    if out_dir is None:
+        query_features = cut_lineage(query_features)
+    else:
+        catalog_features = land(catalog_features, f"{out_dir}/job_features", files)
+        query_features = land(query_features, f"{out_dir}/resume_features", files)
+    return Sides(catalog, queries, model, catalog_features, query_features)
 
 
 def pick_sides(
     silver_jobs: DataFrame, silver_resumes: DataFrame, split: str, limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Catalog documents, query documents and the chosen silver resumes."""
-    chosen = select_queries(silver_resumes, "resume_id", split, limit)
+    chosen = cut_lineage(select_queries(silver_resumes, "resume_id", split, limit))
     return documents.job_documents(silver_jobs), documents.resume_documents(chosen), chosen
 
 
@@ -91,7 +95,7 @@ def match(
     candidates = cut_lineage(found)
     ranked = cut_lineage(lsh.rerank(candidates, top_k))
 
-    labelled = documents.evaluation_documents(restrict_to(silver_resumes, chosen, "resume_id"))
+    labelled = documents.evaluation_documents(chosen)
     scores = cut_lineage(
         evaluation.score_labeled_pairs(
             sides.query_features, features.add_features(sides.model, labelled)

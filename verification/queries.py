@@ -310,9 +310,9 @@ def tokens(spark, sf):
 
 @query
 def ngram_terms(spark, sf):
-    terms = L.document_terms(ngrams=True)
-    return X.catalog(spark, sf).select(
-        "source_id", F.size(terms).cast("bigint").alias("terms"), keys.digest(F.array_join(terms, " ")).alias("digest")
+    return L.with_terms(X.catalog(spark, sf), ngrams=True).select(
+        "source_id", F.size("terms").cast("bigint").alias("terms"),
+        keys.digest(F.array_join("terms", " ")).alias("digest"),
     )
 
 
