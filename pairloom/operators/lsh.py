@@ -95,6 +95,8 @@ def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multip
     parts = []
     for rows in query_blocks(queries, F.size("indices"), **bounds):
         rows = [row for row in rows if row["indices"]]
+        if not rows:
+            continue
         hashed = np.array([row["buckets"] for row in rows], np.int64)
         shared = spark.sparkContext.broadcast((vars(SparseBlock.build(rows)), hashed))
 

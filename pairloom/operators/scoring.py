@@ -45,7 +45,9 @@ def query_blocks(
         chosen = queries
         if blocks > 1:
             chosen = queries.filter(F.pmod(F.xxhash64("source_id"), F.lit(blocks)) == block)
-        yield chosen.collect()
+        rows = chosen.collect()
+        if rows:
+            yield rows
 
 
 def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
@@ -192,7 +194,10 @@ def _search(queries, catalog, size, kind, score, top_k, decimals, fill_zero, **b
     spark = catalog.sparkSession
     parts = []
     for rows in query_blocks(queries, size, **bounds):
-        shared = spark.sparkContext.broadcast(vars(kind.build(rows)))
+        block = kind.build(rows)
+        if not len(block.ids):
+            continue
+        shared = spark.sparkContext.broadcast(vars(block))
 
         def partial(batches, shared=shared):
             block = kind(**shared.value)
