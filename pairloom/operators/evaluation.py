@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.checks import BROADCAST_ROWS, require, require_columns
 from pairloom.functions.vectors import sparse_parts
-from pairloom.operators.lexical import Vocabulary, attach_terms, postings
+from pairloom.operators.lexical import Vocabulary, attach_terms, best_per_query, postings
 
 PAIR = ["query_id", "document_id"]
 
@@ -120,8 +120,7 @@ def evaluate_thresholds(
         return frame.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
     nearest = least.groupBy("query_id").agg(F.min("distance").alias("nearest"))
-    order = Window.partitionBy("query_id").orderBy("distance", "document_id")
-    best = least.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    best = best_per_query(least, top_k, [F.asc("distance"), F.asc("document_id")], "distance")
     hits = per_threshold(least.join(truth, PAIR, "left_semi"), "rows").withColumnRenamed("rows", "hits")
     final = per_threshold(best.join(truth, PAIR, "left_semi"), "rows").withColumnRenamed("rows", "final_hits")
     size = F.greatest(truth.agg(F.count(F.lit(1))).scalar(), F.lit(1))
@@ -236,13 +235,12 @@ def ranking_quality(scores: DataFrame) -> DataFrame:
     """Exact ROC-AUC and PR-AUC of score against label; pairs without a label are counted
     and left out. One row."""
     require_columns(scores, ["label", "similarity_score"])
-    labelled = scores.filter(F.col("label").isNotNull()).select(
-        F.col("label").cast("double").alias("label"), "similarity_score"
-    ).persist()
+    held = scores.select(F.col("label").cast("double").alias("label"), "similarity_score").persist()
     try:
-        counts = scores.agg(
+        counts = held.agg(
             F.count("label").alias("n"), F.count_if(F.col("label").isNull()).alias("unlabelled")
         ).first()
+        labelled = held.filter(F.col("label").isNotNull())
         areas = {
             metric: BinaryClassificationEvaluator(
                 labelCol="label", rawPredictionCol="similarity_score", metricName=metric, numBins=0
@@ -250,7 +248,7 @@ def ranking_quality(scores: DataFrame) -> DataFrame:
             for metric in ("areaUnderROC", "areaUnderPR")
         }
     finally:
-        labelled.unpersist()
+        held.unpersist()
     return scores.sparkSession.range(1).select(
         F.lit(counts["n"]).cast("bigint").alias("evaluated_pairs"),
         F.lit(counts["unlabelled"]).cast("bigint").alias("unlabelled_pairs"),

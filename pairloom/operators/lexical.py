@@ -27,6 +27,8 @@ BROADCAST_TERM_BYTES = 64 * 1024 * 1024
 # Postings of one term that one task may receive in the salted join.
 SALT_ROWS = 100_000
 SCORE_DECIMALS = 12
+# Parts of one query that are ranked apart before the final rank, for very large K.
+RANK_SPREAD = 64
 
 
 def with_terms(documents: DataFrame, ngrams: bool = False) -> DataFrame:
@@ -238,19 +240,31 @@ def _salted_join(
     )
 
 
-def rank_top_k(scores: DataFrame, top_k: int) -> DataFrame:
-    """Best ``top_k`` documents per query, ties by lowest id.
+def best_per_query(
+    pairs: DataFrame, top_k: int, order: list[Column], *columns: str, spread: int = RANK_SPREAD
+) -> DataFrame:
+    """First ``top_k`` rows per query in ``order``, with their ``rank``.
 
-    Spark cuts each partition to ``top_k`` rows per query before the shuffle, so a
-    query with very many matches does not overload the task that ranks it.
+    Spark cuts each partition to ``top_k`` rows per query before the shuffle, so a query
+    with very many matches does not overload the task that ranks it. It does so for
+    moderate K only; beyond that, parts of each query are ranked apart first.
     """
     require(top_k >= 1, "top_k must be at least 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("document_id"))
-    return (
-        scores.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top_k)
-        .select("query_id", "rank", "document_id", "score")
-    )
+    limit = int(pairs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+    def ranked(rows: DataFrame, *keys: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("rank", place).filter(F.col("rank") <= top_k)
+
+    if top_k > limit:
+        part = F.pmod(F.xxhash64("document_id"), F.lit(spread))
+        pairs = ranked(pairs.withColumn("part", part), "query_id", "part").drop("rank", "part")
+    return ranked(pairs, "query_id").select("query_id", "rank", "document_id", *columns)
+
+
+def rank_top_k(scores: DataFrame, top_k: int) -> DataFrame:
+    """Best ``top_k`` documents per query by score, ties by lowest id."""
+    return best_per_query(scores, top_k, [F.desc("score"), F.asc("document_id")], "score")
 
 
 def fill_with_zeros(top: DataFrame, queries: DataFrame, catalog: DataFrame, top_k: int) -> DataFrame:

@@ -8,6 +8,7 @@ that agrees in several tables is met once: there is nothing to deduplicate.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from math import gcd, sqrt
 
@@ -16,14 +17,16 @@ import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.checks import fits, require, require_columns
+from pairloom.checks import fits, require_columns
 from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_parts
+from pairloom.operators.lexical import best_per_query
 from pairloom.operators.scoring import (
     SparseBlock,
-    _id_types,
-    _union,
     directed,
-    query_blocks,
+    id_columns,
+    one_batch,
+    over_blocks,
+    pair_batch,
     ragged,
     sparse_stripe,
     sparse_top_k,
@@ -86,53 +89,55 @@ def _first_tables(catalog: np.ndarray, queries: np.ndarray, multiples: list[int]
     return first
 
 
+@dataclass
+class HashedBlock:
+    """Query vectors together with their bucket in every table."""
+
+    ids: np.ndarray
+    vectors: dict
+    buckets: np.ndarray
+
+    @staticmethod
+    def build(table: pa.Table) -> "HashedBlock":
+        vectors = SparseBlock.build(table)
+        return HashedBlock(vectors.ids, vars(vectors), bucket_matrix(directed(one_batch(table))))
+
+
+def bucket_matrix(rows: pa.RecordBatch) -> np.ndarray:
+    values, _ = ragged(rows.column("buckets"))
+    return values.astype(np.int64).reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0), np.int64)
+
+
 def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multiples: list[int], **bounds) -> DataFrame:
     """``(query_id, document_id, distance, first_table)`` of every pair under the threshold
     that agrees in some table at some width; ``first_table`` has one entry per width."""
-    schema, query_type, doc_type = _id_types(queries, catalog)
-    schema = schema.replace("score double", "distance double, first_table array<smallint>")
-    spark = catalog.sparkSession
-    parts = []
-    for rows in query_blocks(queries, F.size("indices"), **bounds):
-        rows = [row for row in rows if row["indices"]]
-        if not rows:
-            continue
-        hashed = np.array([row["buckets"] for row in rows], np.int64)
-        shared = spark.sparkContext.broadcast((vars(SparseBlock.build(rows)), hashed))
-
-        def pairs(batches, shared=shared):
-            block, query_buckets = SparseBlock(**shared.value[0]), shared.value[1]
-            tables = query_buckets.shape[1]
-            for batch in batches:
-                for stripe in stripes(batch):
-                    stripe = directed(stripe)
-                    buckets, _ = ragged(stripe.column("buckets"))
-                    buckets = buckets.astype(np.int64).reshape(stripe.num_rows, tables)
-                    first = _first_tables(buckets, query_buckets, multiples)
-                    meet = (first < tables).any(axis=0)
-                    ids, indices, values, owners = sparse_stripe(stripe)
-                    live = meet.any(axis=1)[owners]
-                    dots = block.dot(indices[live], values[live], owners[live], len(ids))
-                    squares = np.bincount(owners, values * values, len(ids))
-                    gap = squares[:, None] + block.norms[None, :] - 2.0 * dots
-                    distance = np.sqrt(np.maximum(gap, 0.0))
-                    row, query = np.nonzero(meet & (distance < threshold))
-                    found = first[:, row, query].T
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(block.ids[query].tolist(), query_type),
-                            pa.array(ids[row].tolist(), doc_type),
-                            pa.array(distance[row, query]),
-                            pa.ListArray.from_arrays(
-                                pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(multiples)),
-                                pa.array(found.ravel()),
-                            ),
-                        ],
-                        names=["query_id", "document_id", "distance", "first_table"],
-                    )
-
-        parts.append(catalog.mapInArrow(pairs, schema))
-    return _union(parts, lambda: spark.createDataFrame([], schema))
+
+    def pairs(block, batches):
+        vectors, tables = SparseBlock(**block.vectors), block.buckets.shape[1]
+        for batch in batches:
+            for stripe in stripes(batch):
+                stripe = directed(stripe)
+                if not stripe.num_rows:
+                    continue
+                first = _first_tables(bucket_matrix(stripe), block.buckets, multiples)
+                meet = (first < tables).any(axis=0)
+                ids, indices, values, owners = sparse_stripe(stripe)
+                live = meet.any(axis=1)[owners]
+                dots = vectors.dot(indices[live], values[live], owners[live], len(ids))
+                squares = np.bincount(owners, values * values, len(ids))
+                gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
+                distance = np.sqrt(np.maximum(gap, 0.0))
+                row, query = np.nonzero(meet & (distance < threshold))
+                ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(multiples))
+                yield pair_batch(
+                    vectors.ids[query],
+                    ids[row],
+                    distance=pa.array(distance[row, query]),
+                    first_table=pa.ListArray.from_arrays(ends, pa.array(first[:, row, query].T.ravel())),
+                )
+
+    schema = f"{id_columns(queries, catalog)}, distance double, first_table array<smallint>"
+    return over_blocks(queries, catalog, F.size("indices"), HashedBlock, pairs, schema, **bounds)
 
 
 def lsh_candidates(
@@ -155,15 +160,8 @@ def rerank(candidates: DataFrame, top_k: int) -> DataFrame:
     """Top K candidates per query by cosine, then distance, then id."""
     require_columns(candidates, ["query_id", "document_id", "distance"])
     scored = candidates.withColumn("score", distance_to_cosine(F.col("distance")))
-    require(top_k >= 1, "top_k must be at least 1")
-    order = Window.partitionBy("query_id").orderBy(
-        F.desc("score"), F.asc("distance"), F.asc("document_id")
-    )
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top_k)
-        .select("query_id", "rank", "document_id", "score", "distance")
-    )
+    order = [F.desc("score"), F.asc("distance"), F.asc("document_id")]
+    return best_per_query(scored, top_k, order, "score", "distance")
 
 
 def with_fallback(

@@ -2,8 +2,9 @@
 
 Spark splits the catalog; each task streams its Arrow batches past a bounded block of
 query vectors and keeps only the best K rows per query, so nothing but those rows is
-shuffled. Query sides beyond one block are searched block by block; results stay exact.
-Python is used because no built-in expression multiplies sparse vectors or matrices.
+shuffled. A query side beyond one block is never sent anywhere whole: both sides are cut
+into a grid of bounded cells by hash and every cell is scored on its own; results stay
+exact. Python is used because no built-in expression multiplies sparse vectors or matrices.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.checks import require, require_columns
 from pairloom.operators.lexical import SCORE_DECIMALS, rank_top_k
@@ -21,6 +23,8 @@ from pairloom.operators.lexical import SCORE_DECIMALS, rank_top_k
 # Bounds of one query block: rows, and stored numbers over all rows.
 BLOCK_QUERIES = 4_096
 BLOCK_NUMBERS = 4_000_000
+# Catalog rows of one grid cell, when the query side needs more than one block.
+CELL_ROWS = 20_000
 # Catalog rows scored at a time inside a task.
 STRIPE_ROWS = 256
 
@@ -28,35 +32,63 @@ STRIPE_ROWS = 256
 # ---------------------------------------------------------------- query blocks
 
 
-def query_blocks(
-    queries: DataFrame, size, max_rows: int = BLOCK_QUERIES, max_numbers: int = BLOCK_NUMBERS
-) -> Iterator[list]:
-    """Collected blocks of the query side, each bounded in rows and stored numbers.
+def _cuts(side: DataFrame, size: Column, max_rows: int, max_numbers: int) -> int:
+    """How many parts keep each within both bounds. Unique ids hash evenly; beyond one
+    part, aiming at half of a bound leaves room for chance."""
+    total = side.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("numbers")).first()
+    fill = max(total["n"] / max_rows, (total["numbers"] or 0) / max_numbers)
+    return 1 if fill <= 1 else int(np.ceil(2 * fill))
 
-    Unique ids hash evenly; aiming at half of a bound leaves room for chance.
+
+def over_blocks(
+    queries: DataFrame,
+    catalog: DataFrame,
+    size: Column,
+    kind: type,
+    score: Callable,
+    schema: str,
+    max_rows: int = BLOCK_QUERIES,
+    max_numbers: int = BLOCK_NUMBERS,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Run ``score(block, catalog batches)`` so that every catalog row meets every query.
+
+    ``kind.build`` turns an Arrow table of queries into a block. ``score`` is told nothing
+    about the split and yields record batches of ``schema``.
     """
-    total = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("numbers")).first()
-    rows, numbers = total["n"], total["numbers"] or 0
-    if rows <= max_rows and numbers <= max_numbers:
-        blocks = 1 if rows else 0
-    else:
-        blocks = -(-2 * max(rows * max_numbers, numbers * max_rows) // (max_rows * max_numbers))
-    for block in range(blocks):
-        chosen = queries
-        if blocks > 1:
-            chosen = queries.filter(F.pmod(F.xxhash64("source_id"), F.lit(blocks)) == block)
-        rows = chosen.collect()
-        if rows:
-            yield rows
-
-
-def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
-    if not parts:
-        return empty()
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    spark = catalog.sparkSession
+    output = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    blocks = _cuts(queries, size, max_rows, max_numbers)
+    if blocks == 1:
+        block = kind.build(queries.toArrow())
+        if not len(block.ids):
+            return spark.createDataFrame([], schema)
+        shared = spark.sparkContext.broadcast(vars(block))
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (batch.cast(output) for batch in score(kind(**shared.value), batches))
+
+        return catalog.mapInArrow(stream, schema)
+
+    chunks = _cuts(catalog, size, cell_rows, max_numbers)
+    key = F.xxhash64("source_id")
+
+    def cells(side: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        return side.withColumn(own, F.pmod(key, F.lit(parts)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        )
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        block = kind.build(asked) if asked.num_rows and rows.num_rows else None
+        found = score(block, rows.to_batches()) if block is not None and len(block.ids) else []
+        return pa.Table.from_batches([batch.cast(output) for batch in found], output)
+
+    return (
+        cells(catalog, "chunk", chunks, "block", blocks)
+        .groupBy("chunk", "block")
+        .cogroup(cells(queries, "block", blocks, "chunk", chunks).groupBy("chunk", "block"))
+        .applyInArrow(cell, schema)
+    )
 
 
 # ---------------------------------------------------------------- blocks as arrays
@@ -74,18 +106,13 @@ class SparseBlock:
     weights: np.ndarray
 
     @staticmethod
-    def build(rows: list) -> "SparseBlock":
-        rows = [row for row in rows if row["indices"]]
-        lengths = [len(row["indices"]) for row in rows]
-        empty = [np.empty(0)]
-        terms = np.concatenate(empty + [np.asarray(row["indices"]) for row in rows]).astype(np.int64)
-        weights = np.concatenate(empty + [np.asarray(row["values"]) for row in rows])
-        owners = np.repeat(np.arange(len(rows)), lengths)
+    def build(table: pa.Table) -> "SparseBlock":
+        ids, terms, weights, owners = sparse_stripe(directed(one_batch(table)))
         order = np.argsort(terms, kind="stable")
         unique, starts = np.unique(terms[order], return_index=True)
         return SparseBlock(
-            ids=np.array([row["source_id"] for row in rows], dtype=object),
-            norms=np.bincount(owners, weights * weights, len(rows)),
+            ids=ids,
+            norms=np.bincount(owners, weights * weights, len(ids)),
             terms=unique,
             starts=np.append(starts, len(terms)),
             queries=owners[order],
@@ -114,6 +141,16 @@ def round_half_up(values: np.ndarray, decimals: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values)
 
 
+def pair_batch(query_ids: np.ndarray, document_ids: np.ndarray, **values: pa.Array) -> pa.RecordBatch:
+    """Result rows; ids are Python objects, so an empty batch needs a type that casts."""
+
+    def ids(found: np.ndarray) -> pa.Array:
+        return pa.array(found.tolist(), None if len(found) else pa.string())
+
+    arrays = [ids(query_ids), ids(document_ids), *values.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=["query_id", "document_id", *values])
+
+
 class BestRows:
     """The best K catalog rows per query seen so far in one task."""
 
@@ -137,18 +174,17 @@ class BestRows:
             if len(order) == self.top_k:
                 self.floor[query] = merged[order[-1]]
 
-    def batch(self, query_ids: np.ndarray, id_type: pa.DataType, doc_type: pa.DataType) -> pa.RecordBatch:
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         sizes = [len(found) for found in self.ids]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(query_ids, sizes).tolist(), id_type),
-                pa.array(np.concatenate(self.ids).tolist(), doc_type),
-                pa.array(np.concatenate(self.scores)),
-            ],
-            names=["query_id", "document_id", "score"],
+        return pair_batch(
+            np.repeat(query_ids, sizes), np.concatenate(self.ids), score=pa.array(np.concatenate(self.scores))
         )
 
 
+def one_batch(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+
+
 def stripes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, STRIPE_ROWS):
         yield batch.slice(start, STRIPE_ROWS)
@@ -179,38 +215,25 @@ def sparse_stripe(stripe: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nd
 # ---------------------------------------------------------------- searches
 
 
-def _id_types(queries: DataFrame, catalog: DataFrame) -> tuple[str, pa.DataType, pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
+def id_columns(queries: DataFrame, catalog: DataFrame) -> str:
+    """DDL of the two id columns of a result."""
+    kinds = [side.schema["source_id"].dataType.simpleString() for side in (queries, catalog)]
+    return f"query_id {kinds[0]}, document_id {kinds[1]}"
 
-    left, right = queries.schema["source_id"].dataType, catalog.schema["source_id"].dataType
-    schema = f"query_id {left.simpleString()}, document_id {right.simpleString()}, score double"
-    return schema, to_arrow_type(left), to_arrow_type(right)
 
-
-def _search(queries, catalog, size, kind, score, top_k, decimals, fill_zero, **bounds) -> DataFrame:
-    """Shared shape of both searches: blocks, partial top K per task, final rank."""
+def _search(queries, catalog, size, kind, scores, top_k, decimals, fill_zero, **bounds) -> DataFrame:
+    """Shared shape of both searches: partial top K per task or cell, then the final rank."""
     require(top_k >= 1, "top_k must be at least 1")
-    schema, query_type, doc_type = _id_types(queries, catalog)
-    spark = catalog.sparkSession
-    parts = []
-    for rows in query_blocks(queries, size, **bounds):
-        block = kind.build(rows)
-        if not len(block.ids):
-            continue
-        shared = spark.sparkContext.broadcast(vars(block))
 
-        def partial(batches, shared=shared):
-            block = kind(**shared.value)
-            best = BestRows(len(block.ids), top_k, decimals, fill_zero)
-            for batch in batches:
-                for stripe in stripes(batch):
-                    ids, scores = score(block, stripe)
-                    best.add(ids, scores)
-            yield best.batch(block.ids, query_type, doc_type)
+    def partial(block, batches):
+        best = BestRows(len(block.ids), top_k, decimals, fill_zero)
+        for batch in batches:
+            for stripe in stripes(batch):
+                best.add(*scores(block, stripe))
+        yield best.batch(block.ids)
 
-        parts.append(catalog.mapInArrow(partial, schema))
-    scores = _union(parts, lambda: spark.createDataFrame([], schema))
-    return rank_top_k(scores, top_k)
+    schema = f"{id_columns(queries, catalog)}, score double"
+    return rank_top_k(over_blocks(queries, catalog, size, kind, partial, schema, **bounds), top_k)
 
 
 def _score_sparse(block: SparseBlock, stripe: pa.RecordBatch):
@@ -246,13 +269,12 @@ class DenseBlock:
     matrix: np.ndarray
 
     @staticmethod
-    def build(rows: list) -> "DenseBlock":
-        sizes = {len(row["embedding"]) for row in rows}
-        require(len(sizes) == 1, "Embeddings must form a two-dimensional matrix")
-        return DenseBlock(
-            ids=np.array([row["source_id"] for row in rows], dtype=object),
-            matrix=np.array([row["embedding"] for row in rows], np.float64).T,
-        )
+    def build(table: pa.Table) -> "DenseBlock":
+        batch = one_batch(table)
+        values, lengths = ragged(batch.column("embedding"))
+        require(len(set(lengths)) <= 1, "Embeddings must form a two-dimensional matrix")
+        matrix = values.astype(np.float64).reshape(len(lengths), -1) if len(lengths) else np.empty((0, 0))
+        return DenseBlock(np.array(batch.column("source_id").to_pylist(), dtype=object), matrix.T)
 
 
 def _score_dense(block: DenseBlock, stripe: pa.RecordBatch):

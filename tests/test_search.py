@@ -93,6 +93,28 @@ def test_fill_with_zeros_uses_lowest_free_ids(docs):
     assert ids["r"] == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
 
 
+@pytest.mark.parametrize("limit", ["1000", "2"])
+def test_large_k_is_ranked_in_parts(spark, limit):
+    scores = spark.range(4000).select(
+        F.lit("q").alias("query_id"), F.col("id").cast("string").alias("document_id"), (F.col("id") % 7).cast("double").alias("score")
+    )
+    expected = sorted(((n % 7, str(n)) for n in range(4000)), key=lambda p: (-p[0], p[1]))[:5]
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+    try:
+        rows = L.rank_top_k(scores, 5).orderBy("rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert [(r.score, r.document_id) for r in rows] == expected
+
+
+def test_integer_ids_and_empty_results(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "source_id bigint, embedding array<double>")
+    catalog = frame([(n, [1.0, float(n)]) for n in range(9)]).repartition(16)
+    top = S.dense_top_k(frame([(1, [0.0, 1.0])]), catalog, 2)
+    assert [(r.query_id, r.document_id) for r in top.orderBy("rank").collect()] == [(1, 8), (1, 7)]
+    assert S.dense_top_k(frame([(1, [0.0, 1.0])]), catalog.limit(0), 2).count() == 0
+
+
 def vectors(spark, rows):
     return FE.sparse_rows(spark.createDataFrame(rows, ["source_id", "features"]))
 
