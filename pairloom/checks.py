@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows a side may have before it is no longer shipped whole to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -29,13 +30,9 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so later jobs reuse it.
-
-    The folder is the one the cluster names; a private one is made only for a
-    single-machine session that names none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a private one is made only for a
+    single-machine session that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             )
             folder = tempfile.mkdtemp(prefix="pairloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a small or medium frame in the shared folder so later jobs reuse it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_through(df: DataFrame) -> DataFrame:
+    """Write a large frame to a table in the shared folder and read it from there.
+
+    Compared with a checkpoint the table is compressed, and readers fetch only the
+    columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -312,6 +312,11 @@ tagged AS (SELECT 'tfidf' AS system, query_id, document_id FROM ttop UNION ALL S
   UNION ALL SELECT 'transformer', query_id, document_id FROM etop)
 SELECT a.system AS system_a, b.system AS system_b, round(count(*) / (10.0 * (SELECT count(DISTINCT query_id) FROM tagged)), 6) AS mean_overlap
 FROM tagged a JOIN tagged b USING (query_id, document_id) GROUP BY 1, 2"""
+ORACLE["method_comparison"] = f"WITH {systems()}, shares AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS method, avg(CASE WHEN o.rank IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM ttop t "
+    f"LEFT JOIN {top} o ON t.query_id = o.query_id AND t.document_id = o.document_id"
+    for name, top in (("tfidf", "ttop"), ("ngram", "gtop"), ("transformer", "etop"))
+) + ") SELECT method, round(share, 6) AS overlap_with_baseline, round(1.0 - share, 6) AS changed_vs_baseline FROM shares"
 ORACLE["recall_metrics"] = f"""WITH {CATALOG}, {ASKED}, {lexical('t')}, {lexical('g', True, 20)}
 SELECT round(avg(CASE WHEN g.rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS candidate_recall,
   round(avg(CASE WHEN g.rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS final_recall

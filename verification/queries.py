@@ -350,6 +350,13 @@ def _sides(spark, sf, ngrams=False) -> matching.Sides:
     return matching.featurise(X.catalog(spark, sf), X.queries(spark, sf), ngrams)
 
 
+@query
+def tfidf_ml_features(spark, sf):
+    rows = FE.sparse_rows(_sides(spark, sf).catalog_features)
+    norm = F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v)
+    return rows.select("source_id", F.size("indices").alias("terms"), F.round(F.sqrt(norm), 9).alias("norm"))
+
+
 @query
 def tfidf_ml_topk(spark, sf):
     return _sides(spark, sf).exact(10)
@@ -503,6 +510,17 @@ def overlap_matrix(spark, sf):
     return matrix.withColumn("mean_overlap", F.round("mean_overlap", DECIMALS))
 
 
+@query
+def method_comparison(spark, sf):
+    systems = _systems(spark, sf)
+    rows = {name: (0.0, V.pair_overlap(systems["tfidf"], top)) for name, top in systems.items()}
+    table = V.method_comparison(rows)
+    return table.select(
+        "method", F.round("overlap_with_baseline", DECIMALS).alias("overlap_with_baseline"),
+        F.round("changed_vs_baseline", DECIMALS).alias("changed_vs_baseline"),
+    )
+
+
 @query
 def recall_metrics(spark, sf):
     exact = cut_lineage(_lexical(spark, sf))
