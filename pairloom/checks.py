@@ -6,10 +6,12 @@ import tempfile
 from collections.abc import Iterable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows a side may have before it is no longer shipped whole to every executor.
 BROADCAST_ROWS = 1_000_000
+# Text bytes it may hold, as rows alone do not bound the length of a string.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
@@ -25,9 +27,12 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting just past it."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is within both bounds; reads no more than just past the row bound."""
+    texts = [F.octet_length(name) for name, kind in df.dtypes if kind == "string"]
+    size = sum((F.coalesce(text, F.lit(0)) for text in texts), F.lit(0)).cast("bigint")
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
 def shared_folder(spark: SparkSession) -> str:

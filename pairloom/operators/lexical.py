@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.checks import BROADCAST_ROWS, cut_lineage, fits, require, require_columns
+from pairloom.checks import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, require, require_columns
 from pairloom.functions.text import tokens, with_bigrams
 from pairloom.operators.documents import CONTRACT
 from pairloom.operators.features import MIN_DOCUMENT_FREQUENCY
@@ -23,7 +23,6 @@ from pairloom.operators.features import MIN_DOCUMENT_FREQUENCY
 # A term in more than 1/HEAVY_TERMS of all postings is joined by broadcast. Counts add
 # up to the number of postings, so there can be at most HEAVY_TERMS such terms.
 HEAVY_TERMS = 20_000
-BROADCAST_TERM_BYTES = 64 * 1024 * 1024
 # Postings of one term that one task may receive in the salted join.
 SALT_ROWS = 100_000
 SCORE_DECIMALS = 12
@@ -71,7 +70,7 @@ class Vocabulary:
     ngrams: bool
 
     def broadcastable(self, limit: int) -> bool:
-        return self.terms <= limit and self.term_bytes <= BROADCAST_TERM_BYTES
+        return self.terms <= limit and self.term_bytes <= BROADCAST_BYTES
 
 
 def term_frequencies(documents: DataFrame, ngrams: bool = False) -> DataFrame:
@@ -147,20 +146,18 @@ def attach_terms(
 
 
 def weighted_documents(
-    documents: DataFrame, vocabulary: Vocabulary, table: DataFrame, wanted: Column | None = None,
-    carry: tuple[str, ...] = (), key: str = "source_id", broadcast_rows: int = BROADCAST_ROWS,
+    rows: DataFrame, wanted: Column | None = None, carry: tuple[str, ...] = (), key: str = "source_id"
 ) -> DataFrame:
-    """One row per document: its ``norm`` and the wanted ``entries(term, weight, *carry)``.
-
-    The norm always runs over all known terms of the document.
-    """
-    rows = attach_terms(
-        postings(documents, vocabulary.ngrams, key), table, vocabulary, key, broadcast_rows
-    ).withColumn("weight", F.col("tf") * F.col("idf"))
+    """One row per document from postings with ``idf``: its ``norm`` and the wanted
+    ``entries(term, weight, *carry)``. The norm runs over all known terms of the document."""
     entry = F.struct("term", "weight", *carry)
-    grouped = rows.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-        F.collect_list(entry if wanted is None else F.when(wanted, entry)).alias("entries"),
+    grouped = (
+        rows.withColumn("weight", F.col("tf") * F.col("idf"))
+        .groupBy(key)
+        .agg(
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
+            F.collect_list(entry if wanted is None else F.when(wanted, entry)).alias("entries"),
+        )
     )
     return grouped.filter((F.col("norm") > 0) & (F.size("entries") > 0))
 
@@ -180,25 +177,25 @@ def sparse_scores(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Cosine of every (query, document) pair that shares a weighted term."""
-    weighted_queries = weighted_documents(
-        queries, vocabulary, vocabulary.table, broadcast_rows=broadcast_rows
-    )
+    ngrams = vocabulary.ngrams
+    asked_terms = cut_lineage(postings(queries, ngrams))
+    shipped = fits(asked_terms, broadcast_rows)
+    if shipped:
+        known = vocabulary.table.join(F.broadcast(asked_terms), "term")
+    else:
+        known = attach_terms(asked_terms, vocabulary.table, vocabulary, "source_id", broadcast_rows)
     query_terms = cut_lineage(
-        unit_postings(weighted_queries).select(
+        unit_postings(weighted_documents(known)).select(
             F.col("source_id").alias("query_id"), "term", F.col("weight").alias("query_weight")
         )
     )
-    shipped = fits(query_terms, broadcast_rows)
     asked = query_terms.groupBy("term").agg(F.count(F.lit(1)).alias("query_df"))
-    table = vocabulary.table.join(asked, "term", "left").withColumn(
+    table = vocabulary.table.join(F.broadcast(asked) if shipped else asked, "term", "left").withColumn(
         "wanted", F.col("query_df").isNotNull()
     )
-    documents = unit_postings(
-        weighted_documents(
-            catalog, vocabulary, table, F.col("wanted"),
-            carry=() if shipped else ("df", "query_df"), broadcast_rows=broadcast_rows,
-        )
-    )
+    found = attach_terms(postings(catalog, ngrams), table, vocabulary, "source_id", broadcast_rows)
+    carry = () if shipped else ("df", "query_df")
+    documents = unit_postings(weighted_documents(found, F.col("wanted"), carry))
     if shipped:
         joined = documents.join(F.broadcast(query_terms), "term")
     else:

@@ -490,17 +490,19 @@ def ngram_comparison(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 
-def _systems(spark, sf):
-    return {
-        "tfidf": cut_lineage(_lexical(spark, sf)),
-        "ngram": cut_lineage(_lexical(spark, sf, ngrams=True)),
-        "transformer": cut_lineage(_dense_text(spark, sf)),
+def _systems(spark, sf, *names):
+    """Top-10 tables of the named systems, or of all three."""
+    builders = {
+        "tfidf": lambda: _lexical(spark, sf),
+        "ngram": lambda: _lexical(spark, sf, ngrams=True),
+        "transformer": lambda: _dense_text(spark, sf),
     }
+    return {name: cut_lineage(build()) for name, build in builders.items() if not names or name in names}
 
 
 @query
 def overlap_pairs(spark, sf):
-    systems = _systems(spark, sf)
+    systems = _systems(spark, sf, "tfidf", "ngram")
     return V.pair_overlap(systems["tfidf"], systems["ngram"]).select(F.round("mean_overlap", DECIMALS).alias("mean_overlap"))
 
 
