@@ -11,7 +11,7 @@
 4. Decoding looks every id up in the token-byte table (of fixed size) and joins the bytes.
 
 Chunks are written to the shared folder before they are asked about, so a lost executor
-cannot renumber them. Defined cases: null and empty texts have no tokens; invalid UTF-8
+cannot renumber them, and in buckets by chunk, so only ids move to them at the end. Defined cases: null and empty texts have no tokens; invalid UTF-8
 counts as U+FFFD; texts are never cut, whatever their length; repeated rows are encoded
 each; columns to keep may have any names; an empty table gives an empty table.
 """
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from pairloom.llm.common import quoted, written
+from pairloom.llm.common import bucketed, quoted
 
 CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
@@ -310,7 +310,7 @@ def encode_decode(
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"c{i}" for i in range(len(keep))]
     slim = df.select(*(quoted(c).alias(n) for c, n in zip(keep, names)), quoted(text).cast("binary").alias("text"))
-    chunks = written(chunked(slim, "text", path, buckets), "chunks")
+    chunks = bucketed(chunked(slim, "text", path, buckets), "chunk", buckets, "chunks")
     answers = merged_words(chunks.filter("bucket IS NOT NULL"), path, pattern, buckets)
     schema = StructType([*slim.select(*names).schema.fields, *StructType.fromDDL(", ".join(f"o_{o} {OUTPUTS[o]}" for o in outputs)).fields])
 
