@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm import bpe, chat, decontaminate, language, quality, secrets, sharding, simhash, token_counts, toxicity
 from pairloom.llm.common import table, written
+from pairloom.llm.oracle import ORACLE  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 OFFSETS = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,7 +60,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
     segments = chat.format_conversations(rows.unionByName(extra), OFFSETS)
-    return chat.read_back(segments)
+    return chat.read_back(segments).drop("n_tokens", "n_loss_tokens")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules, op9_decontamination, op10_secret_scan,
     )
 }
-
-ORACLE: dict[str, str] = {}

@@ -266,7 +266,12 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", fit_rows: int =
     votes = _votes(has, known, len(entries), place[fixed], sure if len(sure) else place[fixed])
     _, posterior = fit_label_model(votes, known)
     targets = np.stack([1 - posterior, posterior], axis=1)
-    weights = fit_ftrl([(own, np.ones(len(own))) for own in at], targets, has.shape[1], epochs=4, alpha=0.1, l1=0.5, l2=0.5)
+    # Empty texts join as clean rows, so that the constant alone, as in short texts, says nothing bad.
+    blank = compact("", place)
+    anchors = 1 + len(at) // 10
+    rows_ = [(own, np.ones(len(own))) for own in at] + [(blank, np.ones(len(blank)))] * anchors
+    targets = np.concatenate((targets, np.tile([1.0, 0.0], (anchors, 1))))
+    weights = fit_ftrl(rows_, targets, has.shape[1], epochs=4, alpha=0.1, l1=0.5, l2=0.5)
     return ToxicityModel(place, weights[:, 1] - weights[:, 0])
 
 
