@@ -44,8 +44,8 @@ repeated AS (
 one_line AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS at_line FROM split),
 judged AS (
   SELECT r, line, at_line,
-    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 10 > length(regexp_replace(line, {BLANKS}, '', 'g'))
-    OR length(regexp_replace(line, '[^!]', '', 'g')) * 10 > length(regexp_replace(line, {BLANKS}, '', 'g'))
+    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 10 > length(line)
+    OR length(regexp_replace(line, '[^!]', '', 'g')) * 10 > length(line)
     OR NOT (right(rtrim(regexp_replace(line, {BLANKS}, ' ', 'g')), 1) IN ({_ENDS})
       OR contains(line, '. ') OR contains(line, '! ') OR contains(line, '? '))
     OR length(regexp_replace(line, '[^|»›•·]', '', 'g')) * 4 > length(regexp_replace(line, '[^ \t]', '', 'g')) + 1

@@ -13,12 +13,15 @@ length is read whole; repeated rows get the same verdict each.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.common import quoted
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MENU_MARKS = "|»›•·"
 MIN_WORDS = 50
 MAX_LOSS = 0.4
 MENU_LINE = r"(?i)^\W*(?:home|menu|log ?in|log ?out|sign ?(?:in|up)|register|next|previous|prev|back(?: to top)?|skip to \w+|share|search|contact(?: us)?|about(?: us)?|help|faq|sitemap|read more|more)\W*$"
@@ -29,32 +32,34 @@ BOILERPLATE = (
     "lorem ipsum", "click here", "powered by", "spdx-license-identifier",
 )
 SENTENCE_ENDS = (".", "!", "?", "…", ":", ";", "\"", "'", "”", "»", ")", "]", "。", "！", "？")
-DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    """``text`` less ``chars``; one byte search each, which skips a text that has none."""
+    for char in chars:
+        text = F.replace(text, F.lit(char), F.lit(""))
+    return text
 
 
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(_without(text, chars))
 
 
-def bad_line(line: Column) -> Column:
-    """Whether the rules remove a line; every rule reads that line alone."""
-    solid = F.length(_without(line, BLANKS))
-    low = F.lower(line)
-    words = F.length(line) - F.length(_without(line, " \t")) + 1
-    symbols = _count(line, SYMBOLS) * 10 > solid
-    shouting = _count(line, "!") * 10 > solid
-    ends = F.substring(F.rtrim(F.translate(line, BLANKS, " " * len(BLANKS))), -1, 1).isin(*SENTENCE_ENDS)
-    inner = line.contains(". ") | line.contains("! ") | line.contains("? ")
-    table = _count(line, "|»›•·") * 4 > words
+def _any(text: Column, parts: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found
+
+
+def bad_line(line: Column, low: Column) -> Column:
+    """Whether the rules remove a line; ``low`` is the line in lower case."""
+    symbols = _count(line, SYMBOLS) * 10 > F.length(line)
+    shouting = _count(line, "!") * 10 > F.length(line)
+    ends = F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1).isin(*SENTENCE_ENDS)
+    table = F.when(_any(line, MENU_MARKS), _count(line, MENU_MARKS) * 4 > _count(line, " \t") + 1).otherwise(F.lit(False))
     menu = F.when(F.length(line) <= 60, line.rlike(MENU_LINE)).otherwise(F.lit(False))
-    phrases = F.lit(False)
-    for phrase in BOILERPLATE:
-        phrases = phrases | low.contains(phrase)
-    return symbols | shouting | ~(ends | inner) | table | menu | phrases
+    return symbols | shouting | ~(ends | _any(line, (". ", "! ", "? "))) | table | menu | _any(low, BOILERPLATE)
 
 
 def line_cleaned(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -67,13 +72,15 @@ def line_cleaned(df: DataFrame, text: str = "text", keep_text: bool = True) -> D
     split = base.select(
         "*",
         F.array_remove(F.split("t", "[\\x20\\x09-\\x0D]+"), "").alias("w"),
-        F.filter(F.split("t", "\n"), lambda line: _without(line, BLANKS) != "").alias("lines"),
+        F.filter(F.split("t", "\n"), lambda line: F.trim(line, F.lit(BLANKS)) != "").alias("lines"),
     )
     n = F.size("w")
     hashed = F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(*(F.col("w")[i + k] for k in range(3))).alias("h"), i.alias("i"))
     )
-    sorted_ = split.select("*", F.when(n >= 3, F.sort_array(hashed)).alias("s"), F.filter("lines", lambda line: ~bad_line(line)).alias("good"))
+    judged = F.zip_with("lines", F.transform("lines", F.lower), lambda line, low: F.when(~bad_line(line, low), line))
+    good = F.array_compact(judged)
+    sorted_ = split.select("*", F.when(n >= 3, F.sort_array(hashed)).alias("s"), good.alias("good"))
     twice = F.transform(
         "s", lambda x, i: F.when((F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"]), x["i"])
     )
