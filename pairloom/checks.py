@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 from uuid import uuid4
 
@@ -28,25 +27,25 @@ def require(condition: bool, message: str) -> None:
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` is within both bounds; reads no more than just past the row bound."""
+    """True when ``df`` is within both bounds; counted map-side, so no rows move."""
     texts = [F.octet_length(name) for name, kind in df.dtypes if kind == "string"]
     size = sum((F.coalesce(text, F.lit(0)) for text in texts), F.lit(0)).cast("bigint")
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a private one is made only for a
-    single-machine session that names none."""
+    """The folder that the session's ``spark.checkpoint.dir`` names.
+
+    A session on one machine that names none gets one below its warehouse, which all of its
+    tasks reach; a cluster must name it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            require(
-                context.master.startswith("local"),
-                "spark.checkpoint.dir must name a shared folder on a cluster",
-            )
-            folder = tempfile.mkdtemp(prefix="pairloom-checkpoint-")
+            require(context.master.startswith("local["), "spark.checkpoint.dir must name a shared folder on a cluster")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -57,6 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``write_through`` made and nothing reads any more."""
+    spark = table.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if folder is not None and folder.getName().startswith("table-"):
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write a large frame to a table in the shared folder and read it from there.
 

@@ -12,10 +12,7 @@ PROFILE_URL_PATTERN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/\S+"
 PHONE_PATTERN = (
     r"(?<!\d)(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)"
 )
-HEADER_NAME_PATTERN = (
-    r"(?i)(professional resume for)\s+"
-    r"([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3}):(?:\s*\2)?"
-)
+HEADER_NAME_PATTERN = r"(?i)(professional resume for)\s+([A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){1,3}):(?:\s*\2)?"
 TOKEN_GAP_PATTERN = r"[^\p{L}\p{N}+#.]+"
 MIN_TOKEN_LENGTH = 2
 

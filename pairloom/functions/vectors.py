@@ -18,12 +18,6 @@ def cosine_to_distance(cosine: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * cosine))
 
 
-def dot(left: Column, right: Column) -> Column:
-    """Dot product of two arrays, accumulated in double precision."""
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, value: total + value)
-
-
 def sparse_parts(vector: Column) -> tuple[Column, Column]:
     """Non-zero positions and values of an ML vector, whether sparse or dense."""
     raw = F.unwrap_udt(vector)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from pairloom.checks import BROADCAST_ROWS, require, require_columns
+from pairloom.checks import BROADCAST_ROWS, discard, require, require_columns, write_through
 from pairloom.functions.vectors import sparse_parts
 from pairloom.operators.lexical import Vocabulary, attach_terms, best_per_query, postings
 
@@ -205,29 +210,35 @@ def score_pair_texts(
     return _pair_scores(weights(left), weights(right), pairs)
 
 
+@F.pandas_udf(DoubleType())
+def _cosine(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
+    """Cosine of two sparse vectors of a row; 0 if one has no direction."""
+    scores = []
+    for li, lv, ri, rv in zip(left["indices"], left["values"], right["indices"], right["values"]):
+        _, at, other = np.intersect1d(li, ri, assume_unique=True, return_indices=True)
+        length = math.sqrt(float(np.dot(lv, lv)) * float(np.dot(rv, rv)))
+        scores.append(float(np.dot(np.asarray(lv)[at], np.asarray(rv)[other])) / length if length else 0.0)
+    return pd.Series(scores)
+
+
 def score_labeled_pairs(query_features: DataFrame, evaluation_features: DataFrame) -> DataFrame:
     """Cosine of each query with its paired document, from ML vectors.
 
-    Vectors are compared entry by entry and never expanded to their full length.
+    Every row of ``evaluation_features`` whose query is known gives one score, repeated ids
+    included. Query rows that share an id share a text, so one vector stands for them (the
+    least one, should they differ). The two vectors meet in one join, sparse as they are.
     """
     require_columns(query_features, ["source_id", "features"])
     require_columns(evaluation_features, ["document_id", "resume_id", "label", "split", "features"])
 
-    def entries(frame: DataFrame, key: str) -> DataFrame:
+    def vector() -> Column:
         indices, values = sparse_parts(F.col("features"))
-        zipped = F.arrays_zip(indices.alias("term"), values.alias("weight"))
-        return frame.select(F.col(key).alias("pair_id"), F.inline(zipped))
-
-    known = query_features.select(F.col("source_id").alias("resume_id"), "features")
-    pairs = evaluation_features.select("document_id", "resume_id", "label", "split")
-    left = known.join(pairs, "resume_id").select(F.col("document_id").alias("source_id"), "features")
-    scored = _pair_scores(
-        entries(left, "source_id"),
-        entries(evaluation_features, "document_id"),
-        pairs.join(known.select("resume_id"), "resume_id", "left_semi").withColumnRenamed("document_id", "pair_id"),
-    )
-    return scored.select(
-        F.col("pair_id").alias("document_id"), "resume_id", "label", "split", "similarity_score"
+        return F.struct(indices.alias("indices"), values.alias("values"))
+
+    known = query_features.groupBy(F.col("source_id").alias("resume_id")).agg(F.min(vector()).alias("asked"))
+    pairs = evaluation_features.select("document_id", "resume_id", "label", "split", vector().alias("described"))
+    return pairs.join(known, "resume_id").select(
+        "document_id", "resume_id", "label", "split", _cosine("asked", "described").alias("similarity_score")
     )
 
 
@@ -235,7 +246,7 @@ def ranking_quality(scores: DataFrame) -> DataFrame:
     """Exact ROC-AUC and PR-AUC of score against label; pairs without a label are counted
     and left out. One row."""
     require_columns(scores, ["label", "similarity_score"])
-    held = scores.select(F.col("label").cast("double").alias("label"), "similarity_score").persist()
+    held = write_through(scores.select(F.col("label").cast("double").alias("label"), "similarity_score"))
     try:
         counts = held.agg(
             F.count("label").alias("n"), F.count_if(F.col("label").isNull()).alias("unlabelled")
@@ -248,7 +259,7 @@ def ranking_quality(scores: DataFrame) -> DataFrame:
             for metric in ("areaUnderROC", "areaUnderPR")
         }
     finally:
-        held.unpersist()
+        discard(held)
     return scores.sparkSession.range(1).select(
         F.lit(counts["n"]).cast("bigint").alias("evaluated_pairs"),
         F.lit(counts["unlabelled"]).cast("bigint").alias("unlabelled_pairs"),

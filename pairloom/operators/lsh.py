@@ -2,22 +2,25 @@
 
 Spark ML fits the projections and hashes both sides. A pair is a candidate when the
 buckets of at least one table agree and its Euclidean distance is below the threshold.
-The bounded query side travels to the catalog, so no vector is ever shuffled, and a pair
-that agrees in several tables is met once: there is nothing to deduplicate.
+Candidates come from an equi-join on table and bucket. The parameter grid is an audit of
+many settings at once, wide ones included in which nearly all pairs share a bucket; it
+compares the bounded query side with every row instead, in blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from math import gcd, sqrt
+from fractions import Fraction
+from math import gcd, lcm, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
-from pairloom.checks import fits, require_columns
+from pairloom.checks import fits, require, require_columns, write_through
 from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_parts
 from pairloom.operators.lexical import best_per_query
 from pairloom.operators.scoring import (
@@ -43,6 +46,10 @@ HASH_TABLE_COUNTS = (3, 5, 8, 12)
 DISTANCE_THRESHOLDS = (1.2, 1.3, 1.4)
 
 
+# Rows of a catalog bucket above which it is dealt into parts.
+HEAVY_BUCKET = 20_000
+
+
 def discriminating_width(num_features: int) -> float:
     """Spread of a unit vector's projection on a random unit direction: ``1/sqrt(dim)``.
 
@@ -140,20 +147,76 @@ def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multip
     return over_blocks(queries, catalog, F.size("indices"), HashedBlock, pairs, schema, **bounds)
 
 
+def _unique_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame) -> DataFrame:
+    """Hashed rows, one for each id: rows that share an id share a text and so a vector.
+
+    Written once, because the join reads buckets and vectors at different times.
+    """
+    row = F.struct("indices", "values", "buckets")
+    rows = hashed_rows(model, features).filter(F.size("indices") > 0)
+    return write_through(rows.groupBy("source_id").agg(F.min(row).alias("row")).select("source_id", "row.*"))
+
+
+@F.pandas_udf(DoubleType())
+def _distance(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
+    """Euclidean distance of two sparse vectors of a row."""
+    found = []
+    for li, lv, ri, rv in zip(left["indices"], left["values"], right["indices"], right["values"]):
+        _, at, other = np.intersect1d(li, ri, assume_unique=True, return_indices=True)
+        shared = float(np.dot(np.asarray(lv)[at], np.asarray(rv)[other]))
+        found.append(sqrt(max(float(np.dot(lv, lv)) + float(np.dot(rv, rv)) - 2.0 * shared, 0.0)))
+    return pd.Series(found)
+
+
+def bucket_pairs(queries: DataFrame, catalog: DataFrame, heavy: int = HEAVY_BUCKET) -> DataFrame:
+    """``(query_id, document_id)`` of every pair that shares a bucket, once each.
+
+    ``queries`` and ``catalog`` are ``(source_id, buckets)``. An equi-join on table and
+    bucket; a catalog bucket of more than ``heavy`` rows is dealt into parts by its counted
+    size, and only queries of that bucket visit every part. A pair is kept in the first
+    table in which it agrees, so nothing needs deduplicating.
+    """
+
+    def entries(side: DataFrame, name: str) -> DataFrame:
+        return side.select(
+            F.col("source_id").alias(name), F.col("buckets").alias(f"{name}_buckets"),
+            F.posexplode("buckets").alias("table", "bucket"),
+        )
+
+    stored = entries(catalog, "document_id")
+    sizes = stored.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
+    parts = sizes.select("table", "bucket", F.ceil(F.col("n") / heavy).cast("int").alias("parts"))
+    of = F.coalesce("parts", F.lit(1))
+    dealt = stored.join(parts, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("document_id"), of).cast("int"))
+    asked = entries(queries, "query_id").join(parts, ["table", "bucket"], "left")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), of - 1)))
+    agrees = F.zip_with("query_id_buckets", "document_id_buckets", lambda q, d: q == d)
+    met = asked.drop("parts").join(dealt.drop("parts"), ["table", "bucket", "part"])
+    return met.filter(F.array_position(agrees, F.lit(True)) == F.col("table") + 1).select("query_id", "document_id")
+
+
 def lsh_candidates(
     model: BucketedRandomProjectionLSHModel,
     query_features: DataFrame,
     catalog_features: DataFrame,
     threshold: float = DISTANCE_THRESHOLD,
-    **bounds,
+    heavy: int = HEAVY_BUCKET,
 ) -> DataFrame:
-    """``(query_id, document_id, distance)`` of candidate pairs, distance below the threshold."""
+    """``(query_id, document_id, distance)`` of candidate pairs, distance below the threshold.
+
+    Pairs are found by their buckets alone; the vectors join once per pair afterwards.
+    """
     for side in (query_features, catalog_features):
         require_columns(side, ["source_id", "features"])
-    found = _candidates(
-        hashed_rows(model, query_features), hashed_rows(model, catalog_features), threshold, [1], **bounds
-    )
-    return found.drop("first_table")
+    queries, catalog = _unique_rows(model, query_features), _unique_rows(model, catalog_features)
+
+    def vectors(side: DataFrame, key: str, name: str) -> DataFrame:
+        return side.select(F.col("source_id").alias(key), F.struct("indices", "values").alias(name))
+
+    pairs = bucket_pairs(queries.select("source_id", "buckets"), catalog.select("source_id", "buckets"), heavy)
+    joined = pairs.join(vectors(catalog, "document_id", "stored"), "document_id").join(vectors(queries, "query_id", "asked"), "query_id")
+    measured = joined.select("query_id", "document_id", _distance("asked", "stored").alias("distance"))
+    return measured.filter(F.col("distance") < threshold)
 
 
 def rerank(candidates: DataFrame, top_k: int) -> DataFrame:
@@ -179,6 +242,22 @@ def with_fallback(
     )
 
 
+def common_width(widths) -> tuple[float, list[int]]:
+    """The largest width that all ``widths`` are whole multiples of, and the multiples.
+
+    Widths are taken as the decimal fractions they are written as, never rounded; widths
+    that have no common base of at least a thousandth of the largest are refused.
+    """
+    exact = [Fraction(str(width)) for width in widths]
+    require(min(exact) > 0, "bucket lengths must be positive")
+    scale = lcm(*(width.denominator for width in exact))
+    units = [int(width * scale) for width in exact]
+    shared = gcd(*units)
+    multiples = [unit // shared for unit in units]
+    require(max(multiples) <= 1000, f"bucket lengths {tuple(widths)} have no common base")
+    return float(Fraction(shared, scale)), multiples
+
+
 def grid_candidates(
     query_features: DataFrame,
     catalog_features: DataFrame,
@@ -193,12 +272,10 @@ def grid_candidates(
     The projections of a model with fewer tables are the first ones of a model with more,
     and all widths are multiples of one base width, so one model serves the whole grid.
     """
-    units = [round(width * 1_000_000) for width in widths]
-    base = reduce(gcd, units)
-    model = fit_index(catalog_features, base / 1_000_000, tables, seed)
+    base, multiples = common_width(widths)
+    model = fit_index(catalog_features, base, tables, seed)
     return _candidates(
-        hashed_rows(model, query_features), hashed_rows(model, catalog_features),
-        threshold, [unit // base for unit in units], **bounds,
+        hashed_rows(model, query_features), hashed_rows(model, catalog_features), threshold, multiples, **bounds
     )
 
 

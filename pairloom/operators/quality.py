@@ -27,7 +27,7 @@ class TableRules:
     list_size: dict[str, tuple[str, int, int]] = field(default_factory=dict)
 
 
-def _row_rules(rules: TableRules, present: set[str]):
+def _row_rules(rules: TableRules):
     """(rule, column, severity, failure predicate) of every row-level rule."""
     for name in rules.non_null:
         yield "non_null", name, "error", F.col(name).isNull()
@@ -74,21 +74,31 @@ def check_table(df: DataFrame, dataset: str, rules: TableRules) -> DataFrame:
         F.lit(len(absent)).cast("bigint").alias("failed"),
     )
     report = header if rules.required else header.limit(0)
-    row_rules = list(_row_rules(rules, set(df.columns)))
+    row_rules = list(_row_rules(rules))
     usable = [r for r in row_rules if r[1] in df.columns]
+    # A rule on a column that is not there is broken for every row, and for the table itself.
+    key = ", ".join(rules.primary_key)
+    broken = [r[:3] for r in row_rules if r[1] not in df.columns]
+    broken += [("unique_key", key, "error")] if set(rules.primary_key) - set(df.columns) else []
+    if broken:
+        counts = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("checked"))
+        failing = counts.withColumns({f"f{at}": F.col("checked") for at in range(len(broken))})
+        report = report.unionByName(_unpivot(failing, dataset, broken))
     if usable:
         counts = df.agg(
             F.count(F.lit(1)).alias("checked"),
             *[F.count_if(fails).alias(f"f{at}") for at, (_, _, _, fails) in enumerate(usable)],
         )
         report = report.unionByName(_unpivot(counts, dataset, [r[:3] for r in usable]))
-    if rules.primary_key and not set(rules.primary_key) & set(absent):
-        per_key = df.groupBy(*rules.primary_key).agg(F.count(F.lit(1)).alias("n"))
+    if rules.primary_key and not set(rules.primary_key) - set(df.columns):
+        # Long keys travel as digests, which are equal exactly when the keys are.
+        kinds = dict(df.dtypes)
+        keys = [F.sha2(name, 256).alias(name) if kinds[name] == "string" else F.col(name) for name in rules.primary_key]
+        per_key = df.select(*keys).groupBy(*rules.primary_key).agg(F.count(F.lit(1)).alias("n"))
         counts = per_key.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("checked"),
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("f0"),
         )
-        key = ", ".join(rules.primary_key)
         report = report.unionByName(_unpivot(counts, dataset, [("unique_key", key, "error")]))
     return _judge(report, least_rate=None)
 
@@ -153,6 +163,28 @@ def check_disjoint_groups(df: DataFrame, group: str, split: str, dataset: str) -
     return _judge(_unpivot(counts, dataset, [("disjoint_groups", group, "error")]), None)
 
 
+def check_split_shares(
+    df: DataFrame, split: str, shares: dict[str, float], dataset: str, margin: float = 0.05, severity: str = "warning"
+) -> DataFrame:
+    """Each split's share of the rows must lie within ``margin`` of the planned one.
+
+    One row per planned split: ``failed`` is the number of rows by which it misses the
+    nearer end of its range.
+    """
+    counts = df.agg(
+        F.count(F.lit(1)).alias("checked"),
+        *[F.count_if(F.col(split) == name).alias(f"n{at}") for at, name in enumerate(shares)],
+    )
+    total = F.col("checked")
+    missed = {}
+    for at, share in enumerate(shares.values()):
+        over = F.col(f"n{at}") - F.floor(total * min(1.0, share + margin))
+        under = F.ceil(total * max(0.0, share - margin)) - F.col(f"n{at}")
+        missed[f"f{at}"] = F.greatest(over, under, F.lit(0)).cast("bigint")
+    rules = [("split_share", f"{split}={name}", severity) for name in shares]
+    return _judge(_unpivot(counts.withColumns(missed), dataset, rules), None)
+
+
 def quality_report(*parts: DataFrame) -> DataFrame:
     """All findings as one table."""
     require(len(parts) > 0, "a report needs at least one part")
@@ -164,13 +196,13 @@ def quality_report(*parts: DataFrame) -> DataFrame:
 
 def enforce(report: DataFrame) -> DataFrame:
     """Raise when an ``error`` rule failed; warnings are reported and remove nothing."""
+    # One row per declared rule, so the report is as long as its rules.
     broken = (
         report.filter((F.col("severity") == "error") & ~F.col("passed"))
         .orderBy("dataset", "rule", "column")
-        .limit(20)
         .collect()
     )
     if broken:
         named = "; ".join(f"{r.dataset}.{r.rule}({r.column}): {r.failed} failed" for r in broken)
-        raise ValueError(f"Data quality errors: {named}")
+        raise ValueError(f"{len(broken)} data quality errors: {named}")
     return report

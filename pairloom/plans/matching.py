@@ -16,7 +16,6 @@ from pairloom.sources.tables import save_model, write_csv, write_metrics
 
 TOP_K = 10
 QUERY_SPLIT = "validation"
-QUERY_LIMIT = 100
 METRIC_DECIMALS = 6
 
 
@@ -62,11 +61,18 @@ def featurise(
 
 
 def pick_sides(
-    silver_jobs: DataFrame, silver_resumes: DataFrame, split: str, limit: int
+    silver_jobs: DataFrame, silver_resumes: DataFrame, split: str, limit: int | None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Catalog documents, query documents and the chosen silver resumes."""
-    chosen = cut_lineage(select_queries(silver_resumes, "resume_id", split, limit))
-    return documents.job_documents(silver_jobs), documents.resume_documents(chosen), chosen
+    chosen = select_queries(silver_resumes, "resume_id", split, limit)
+    # Rows that repeat a resume ask the same question once; their pairs are all scored.
+    asked = documents.resume_documents(chosen)
+    texts = [F.min(c).alias(c) for c in asked.columns if c != "source_id"]
+    return documents.job_documents(silver_jobs), asked.groupBy("source_id").agg(*texts).select(*asked.columns), chosen
+
+
+def refuse_test_split(split: str) -> None:
+    require(split != "test", "Development comparison cannot use the locked test split")
 
 
 def match(
@@ -74,7 +80,7 @@ def match(
     silver_resumes: DataFrame,
     out_dir: str | None = None,
     split: str = QUERY_SPLIT,
-    limit: int = QUERY_LIMIT,
+    limit: int | None = None,
     num_features: int | None = None,
     min_document_frequency: int = features.MIN_DOCUMENT_FREQUENCY,
     bucket_length: float = lsh.BUCKET_LENGTH,
@@ -91,8 +97,7 @@ def match(
     catalog, queries, chosen = pick_sides(silver_jobs, silver_resumes, split, limit)
     sides = featurise(catalog, queries, False, num_features, min_document_frequency, out_dir, files)
     index = lsh.fit_index(sides.catalog_features, bucket_length, num_hash_tables, seed)
-    found = lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
-    candidates = cut_lineage(found)
+    candidates = lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
     ranked = cut_lineage(lsh.rerank(candidates, top_k))
 
     labelled = documents.evaluation_documents(chosen)
@@ -144,13 +149,13 @@ def audit_index(
     sides = featurise(catalog, queries, num_features=num_features, out_dir=out_dir)
     exact = cut_lineage(sides.exact(top_k))
     index = lsh.fit_index(sides.catalog_features, bucket_length, num_hash_tables, seed)
-    candidates = cut_lineage(
-        lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
-    )
+    candidates = lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
     ranked = cut_lineage(lsh.rerank(candidates, top_k))
+    # Of the candidates only their number and those among the exact pairs are kept.
+    found = cut_lineage(candidates.join(exact.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi"))
     jobs = catalog.agg(F.count(F.lit(1))).scalar()
     asked = queries.agg(F.count(F.lit(1))).scalar()
-    metrics = evaluation.recall_report(exact, candidates, ranked).select(
+    metrics = evaluation.recall_report(exact, found, ranked).select(
         jobs.alias("job_documents"),
         asked.alias("resume_queries"),
         (jobs * asked).alias("exhaustive_pairs"),
@@ -176,8 +181,13 @@ def tune_index(
     thresholds=lsh.DISTANCE_THRESHOLDS,
     seed: int = lsh.SEED,
     num_features: int | None = None,
+    split: str = QUERY_SPLIT,
 ) -> DataFrame:
-    """The whole parameter grid from one hashing pass; one row per setting."""
+    """The whole parameter grid from one hashing pass; one row per setting.
+
+    Settings are chosen by it, so the locked test split is refused.
+    """
+    refuse_test_split(split)
     sides = featurise(catalog, queries, num_features=num_features, out_dir=out_dir)
     exact = cut_lineage(sides.exact(top_k))
     candidates = cut_lineage(
@@ -203,7 +213,7 @@ def compare_ngrams(
     ngram_features: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unigram and n-gram top-K and their mean overlap; the locked test split is refused."""
-    require(split != "test", "Development comparison cannot use the locked test split")
+    refuse_test_split(split)
     plain = cut_lineage(featurise(catalog, queries, num_features=num_features).exact(top_k))
     grams = cut_lineage(featurise(catalog, queries, True, ngram_features).exact(top_k))
     overlap = evaluation.pair_overlap(plain, grams)
@@ -243,12 +253,14 @@ def _last_generation(spark, path: str) -> tuple[int, DataFrame] | None:
     from pyspark.errors import AnalysisException
 
     try:
-        last = spark.read.parquet(path).agg(F.max("generation")).first()[0]
+        files = spark.read.parquet(path).inputFiles()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return None if last is None else (last, spark.read.parquet(f"{path}/generation={last}"))
+    # The listing names every generation; no file is opened for its number.
+    numbers = {int(part.removeprefix("generation=")) for name in files for part in name.split("/") if part.startswith("generation=")}
+    return (max(numbers), spark.read.parquet(f"{path}/generation={max(numbers)}")) if numbers else None
 
 
 def compare_dense(
@@ -263,8 +275,10 @@ def compare_dense(
     batch_size: int = embedding.BATCH_SIZE,
     num_features: int | None = None,
     force: bool = False,
+    split: str = QUERY_SPLIT,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dense and TF-IDF top-K of the same documents, and a one-row comparison."""
+    refuse_test_split(split)
 
     def embedded(name: str, side: DataFrame) -> DataFrame:
         return cached_embeddings(

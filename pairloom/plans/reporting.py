@@ -9,16 +9,14 @@ from pairloom.operators import profile, review
 from pairloom.operators.silver import SEED
 from pairloom.sources.tables import write_csv
 
-REVIEW_QUERIES = 100
-
 
 def review_packet(
     systems: dict[str, DataFrame],
     silver_resumes: DataFrame,
     postings: DataFrame,
     summaries: DataFrame,
+    query_count: int,
     out_dir: str | None = None,
-    query_count: int = REVIEW_QUERIES,
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """Review sheet and answer key from the top-K tables of several systems."""

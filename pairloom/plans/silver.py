@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.checks import require
+from pairloom.checks import discard, require, write_through
 from pairloom.operators import profile, silver
 from pairloom.operators.quality import TableRules
 from pairloom.operators.selection import hash_sample
@@ -63,6 +63,14 @@ def land(df: DataFrame, path: str | None, files: int | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish(staged: DataFrame, path: str | None, files: int | None) -> DataFrame:
+    """Land a table that ``write_through`` staged and remove the staged copy."""
+    published = land(staged, path, files)
+    if path is not None:
+        discard(staged)
+    return published
+
+
 def build_silver_jobs(
     spark: SparkSession,
     raw_dir: str,
@@ -79,15 +87,11 @@ def build_silver_jobs(
     children = [read_source(spark, raw_dir, name) for name in ("job_summary", "job_skills")]
     if fraction < 1:
         children = silver.restrict_children(postings, *children)
-    table = silver.silver_jobs(postings, *children, skill_count_warning).persist()
-    try:
-        metrics = gate(
-            profile.job_metrics(postings, table), "posting_count", "silver_count", "duplicate_job_links"
-        )
-        name = "jobs" if fraction == 1 else "jobs_sample"
-        return land(table, out_dir and f"{out_dir}/{name}", files), metrics
-    finally:
-        table.unpersist()
+    # Written aside first: what fails its gate is never published.
+    table = write_through(silver.silver_jobs(postings, *children, skill_count_warning))
+    metrics = gate(profile.job_metrics(postings, table), "posting_count", "silver_count", "duplicate_job_links")
+    name = "jobs" if fraction == 1 else "jobs_sample"
+    return publish(table, out_dir and f"{out_dir}/{name}", files), metrics
 
 
 def build_silver_resumes(
@@ -101,11 +105,6 @@ def build_silver_resumes(
 ) -> tuple[DataFrame, DataFrame]:
     """Mask, label, split, gate and write; returns table and metrics."""
     source = read_source(spark, raw_dir, "resume_screening")
-    table = silver.silver_resumes(source, seed, train, validation).persist()
-    try:
-        metrics = gate(
-            profile.resume_metrics(source, table), "source_count", "silver_count", "duplicate_resume_ids"
-        )
-        return land(table, out_dir and f"{out_dir}/resumes", files), metrics
-    finally:
-        table.unpersist()
+    table = write_through(silver.silver_resumes(source, seed, train, validation))
+    metrics = gate(profile.resume_metrics(source, table), "source_count", "silver_count", "duplicate_resume_ids")
+    return publish(table, out_dir and f"{out_dir}/resumes", files), metrics

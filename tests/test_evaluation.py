@@ -38,11 +38,11 @@ def test_method_comparison(spark):
 
 def test_thresholds(spark):
     candidates = spark.createDataFrame(
-        [("r1", "a", 0.2), ("r1", "a", 0.9), ("r1", "b", 0.4), ("r1", "c", 1.3), ("r2", "d", 0.3)], PAIRS + ", distance double"
+        [("u", "m", 0.61), ("u", "k", 0.55), ("u", "k", 0.97), ("v", "k", 0.7), ("v", "n", 0.7), ("w", "m", 0.99)], PAIRS + ", distance double"
     )
-    exact = pairs(spark, ("r1", "a"), ("r1", "c"), ("r2", "d"), ("r2", "e"))
-    rows = {r.distance_threshold: tuple(r)[1:] for r in V.evaluate_thresholds(candidates, exact, (0.1, 1.2, 1.4), 1).collect()}
-    assert rows == {0.1: (0, 0, 0.0, 0.0), 1.2: (3, 2, 0.5, 0.5), 1.4: (4, 2, 0.75, 0.5)}
+    exact = pairs(spark, ("u", "m"), ("v", "k"), ("w", "m"), ("w", "n"), ("x", "k"))
+    rows = {r.distance_threshold: tuple(r)[1:] for r in V.evaluate_thresholds(candidates, exact, (0.55, 0.7, 0.8, 1.0), 1).collect()}
+    assert rows == {0.55: (0, 0, 0.0, 0.0), 0.7: (2, 1, 0.2, 0.0), 0.8: (4, 2, 0.4, 0.2), 1.0: (5, 3, 0.6, 0.4)}
 
 
 def test_best_setting_and_leaderboard(spark):
@@ -56,17 +56,21 @@ def test_best_setting_and_leaderboard(spark):
 
 
 def test_labelled_pairs_separate_clear_cases(spark, docs):
-    model = FE.fit_features(docs([("j1", "python spark machine learning"), ("j2", "clinical nursing patient care")]), 1024, 1)
-    asked = FE.add_features(model, docs([("r1", "python spark machine learning"), ("r2", "python spark machine learning")], "resume"))
+    sea, farm = "harbour sails anchor", "orchard tractor barley"
+    model = FE.fit_features(docs([("sea", sea), ("farm", farm), ("both", f"{sea} {farm}")]), 4096, 1)
+    # One text asked twice and one pair described twice: a score for each described row.
+    asked = FE.add_features(model, docs([("ada", sea), ("ada", sea), ("bo", farm)], "resume"))
     described = spark.createDataFrame(
-        [("p1", "e", "p1", "python spark machine learning", "r1", 1, "test"), ("p2", "e", "p2", "clinical nursing care", "r2", 0, "test"),
-         ("p3", "e", "p3", "spark", "r9", 1, "test")],
+        [(key, "evaluation", key, text, who, label, "train") for key, text, who, label in (
+            ("x", sea, "ada", 1), ("x", sea, "ada", 1), ("y", farm, "ada", 0), ("z", farm, "bo", 1), ("z", f"{sea} {farm}", "bo", None), ("w", sea, "nobody", 1),
+        )],
         "document_id string, document_type string, source_id string, combined_text string, resume_id string, label int, split string",
     )
-    scores = V.score_labeled_pairs(asked, FE.add_features(model, described))
-    rows = {r.document_id: r.similarity_score for r in scores.collect()}
-    assert rows == {"p1": pytest.approx(1.0), "p2": 0.0}
-    assert tuple(V.ranking_quality(scores).first()) == (2, 0, 1.0, 1.0)
+    for shuffled in (asked, asked.repartition(3)):
+        scores = V.score_labeled_pairs(shuffled, FE.add_features(model, described))
+        rows = sorted((r.document_id, round(r.similarity_score, 6)) for r in scores.collect())
+        assert rows == [("x", 1.0), ("x", 1.0), ("y", 0.0), ("z", round(2**-0.5, 6)), ("z", 1.0)]
+    assert tuple(V.ranking_quality(scores).first()) == (4, 1, 1.0, 1.0)
 
 
 def test_pair_texts_may_come_in_many_rows(spark, docs):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import documents as D, embedding as E
 from pairloom.plans import matching, reporting, silver as PS
 from pairloom.sources import tables as TB
+from verification.encoder import HashingEncoder
 
 TOPICS = ["python spark data", "nursing patient care", "steel welding shop", "tax audit ledger", "garden soil plant"]
 
@@ -129,7 +130,7 @@ def test_dense_comparison_reuses_and_refreshes_embeddings(silver, tmp_path):
     out = tmp_path / "dense"
 
     def run(documents):
-        return matching.compare_dense(documents, asked, E.HashingEncoder, "hashing", str(out), 4, 8, 2, num_features=4096)
+        return matching.compare_dense(documents, asked, HashingEncoder, "hashing", str(out), 4, 8, 2, num_features=4096)
 
     dense, _, metrics = run(catalog)
     row = metrics.first()

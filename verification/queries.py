@@ -25,13 +25,14 @@ from pairloom.operators import (
 )
 from pairloom.plans import matching, reporting
 from verification import tables as X
+from verification.encoder import HashingEncoder
 from verification.tables import SEED, table
 
 DECIMALS = 6
 REVIEW_QUERIES = 25
 # Chunk sizes that cut most test texts into several chunks.
 MAX_TOKENS, OVERLAP = 120, 20
-ENCODER = partial(E.HashingEncoder, 64)
+ENCODER = partial(HashingEncoder, 64)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -589,7 +590,7 @@ def roc_pr_auc(spark, sf):
 
 @query
 def labeled_pairs_ml(spark, sf):
-    resumes = _silver_resumes(spark, sf).dropDuplicates(["resume_id"])
+    resumes = cut_lineage(_silver_resumes(spark, sf))
     model = FE.fit_features(X.catalog(spark, sf))
     asked = FE.add_features(model, D.resume_documents(resumes))
     return V.score_labeled_pairs(asked, FE.add_features(model, D.evaluation_documents(resumes)))
@@ -598,8 +599,7 @@ def labeled_pairs_ml(spark, sf):
 @query
 def match_end_to_end(spark, sf):
     jobs = _silver_jobs(spark, sf)
-    resumes = _silver_resumes(spark, sf).dropDuplicates(["resume_id"])
-    ranked, _ = matching.match(jobs, resumes, distance_threshold=1.4)
+    ranked, _ = matching.match(jobs, _silver_resumes(spark, sf), distance_threshold=1.4)
     return ranked
 
 
