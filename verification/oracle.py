@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairloom.functions.stopwords import ENGLISH_STOP_WORDS
 from pairloom.operators import review as R
 from pairloom.operators.silver import TRAIN_RATIO, VALIDATION_RATIO
+from verification.tables import HEADERS
 
 SEED = 5110
 REVIEW_QUERIES = 25
@@ -170,6 +171,17 @@ ORACLE["stable_ids"] = f"""SELECT doc_id, sha256(text) AS text_id, sha256({norma
   sha256(source || ':' || lang) AS pair_id, sha256('{SEED}|' || source || '|' || doc_id) AS order_key FROM documents"""
 ORACLE["mask_email_url"] = f"""SELECT doc_id, sha256({email_url('text')}) AS digest,
   regexp_matches(text, '{EMAIL}') AS had_email, regexp_matches({email_url('text')}, '{EMAIL}') AS has_email FROM documents"""
+_OPENING = "CASE doc_id % 4 WHEN 0 THEN {} WHEN 1 THEN {} ELSE '' END".format(*("'" + h.replace("'", "''") + "'" for h in HEADERS))
+_HEADER = "(?i)(professional resume for)\\s+([A-Z][A-Za-z''-]+(?:\\s+[A-Z][A-Za-z''-]+){1,3}):"
+# The name is captured; what follows loses an exact repeat of it, in any case.
+ORACLE["mask_identifiers"] = f"""WITH d AS (SELECT doc_id, {_OPENING} || text AS text FROM documents),
+m AS (SELECT doc_id, text, {phone(email_url('text'))} AS x FROM d),
+n AS (SELECT *, lower(regexp_extract(x, '{_HEADER}', 2)) AS name, regexp_replace(x, '{_HEADER}', '\\1 [NAME]:' || chr(1)) AS y FROM m),
+r AS (SELECT *, split_part(y, chr(1), 1) AS head, substr(y, strpos(y, chr(1)) + 1) AS rest FROM n),
+z AS (SELECT doc_id, text, CASE WHEN name = '' THEN x ELSE head || ' [NAME]' || CASE
+    WHEN starts_with(lower(regexp_replace(rest, '^\\s+', '')), name) THEN substr(regexp_replace(rest, '^\\s+', ''), length(name) + 1)
+    ELSE rest END END AS masked FROM r)
+SELECT doc_id, sha256(masked) AS digest, masked <> text AS masked FROM z"""
 ORACLE["mask_phone"] = f"SELECT doc_id, sha256({phone('text')}) AS digest, {phone('text')} <> text AS masked FROM documents"
 ORACLE["parse_list"] = f"""SELECT doc_id, len({items('text')}) AS items,
   sha256(array_to_string({items('text')}, '|')) AS digest FROM documents"""
@@ -181,6 +193,11 @@ ORACLE["review_excerpts"] = """SELECT doc_id, substr(text, 1, 1200) AS short, sh
 
 # ---------------------------------------------------------------- selection
 
+ORACLE["hash_sample_fast"] = """SELECT count(*) AS rows, true AS small_share_holds, true AS large_share_holds,
+  true AS nested, true AS repeatable FROM orders"""
+ORACLE["group_split_fast"] = f"""SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS groups, true AS groups_whole,
+  true AS splits_known, true AS train_share_holds
+  FROM (SELECT sha256({normal('text')}) AS text_id, count(*) AS n FROM documents GROUP BY 1)"""
 ORACLE["hash_sample"] = " UNION ALL ".join(
     f"SELECT o_orderkey, CAST({f} AS DOUBLE) AS fraction FROM orders WHERE {bucket('o_orderkey')} < {round(f * 1_000_000)}"
     for f in (0.05, 0.25)
@@ -245,6 +262,15 @@ def finding(dataset: str, rule: str, column: str, severity: str, checked: str, f
   FROM (SELECT CAST({checked} AS BIGINT) AS checked, CAST({failed} AS BIGINT) AS failed {source}))"""
 
 
+SPLIT_SHARES = {"train": TRAIN_RATIO, "validation": VALIDATION_RATIO, "test": 1 - TRAIN_RATIO - VALIDATION_RATIO}
+
+
+def split_share(name: str, share: float, margin: float = 0.02) -> str:
+    n, most, least = f"count(*) FILTER (split = '{name}')", share + margin, share - margin
+    missed = f"greatest({n} - floor(count(*) * {most!r}::DOUBLE), ceil(count(*) * {least!r}::DOUBLE) - {n}, 0)"
+    return finding("splits", "split_share", f"split={name}", "warning", "count(*)", missed, "FROM splits")
+
+
 PIECES = "len(list_filter(string_split(text, ','), lambda p: trim(p) <> ''))"
 ORACLE["quality_report"] = f"WITH {SILVER}, {SPLITS} " + " UNION ALL ".join(
     [
@@ -264,7 +290,9 @@ ORACLE["quality_report"] = f"WITH {SILVER}, {SPLITS} " + " UNION ALL ".join(
         finding("silver", "coverage", "has_summary", "warning", "count(*)", "count(*) FILTER (NOT has_summary)", "FROM silver", "0.95"),
         finding("silver", "row_count", "*", "error", "(SELECT count(*) FROM postings)", "abs((SELECT count(*) FROM silver) - (SELECT count(*) FROM postings))", ""),
         finding("splits", "disjoint_groups", "text_id", "error", "count(*)", "count(*) FILTER (n > 1)", "FROM (SELECT text_id, count(DISTINCT split) AS n FROM splits GROUP BY 1)"),
+        finding("postings", "non_null", "absent", "error", "count(*)", "count(*)", "FROM postings"),
     ]
+    + [split_share(name, share) for name, share in SPLIT_SHARES.items()]
 )
 
 # ---------------------------------------------------------------- lexical search

@@ -29,6 +29,7 @@ from verification.encoder import HashingEncoder
 from verification.tables import SEED, table
 
 DECIMALS = 6
+SPLIT_SHARES = {"train": SI.TRAIN_RATIO, "validation": SI.VALIDATION_RATIO, "test": 1 - SI.TRAIN_RATIO - SI.VALIDATION_RATIO}
 REVIEW_QUERIES = 25
 # Chunk sizes that cut most test texts into several chunks.
 MAX_TOKENS, OVERLAP = 120, 20
@@ -86,7 +87,7 @@ def mask_phone(spark, sf):
 @query
 def mask_identifiers(spark, sf):
     masked = T.mask_identifiers(F.col("text"))
-    return X.documents(spark, sf).select("doc_id", keys.digest(masked).alias("digest"), (masked != F.col("text")).alias("masked"))
+    return X.headed_documents(spark, sf).select("doc_id", keys.digest(masked).alias("digest"), (masked != F.col("text")).alias("masked"))
 
 
 @query
@@ -134,7 +135,23 @@ def hash_sample(spark, sf):
 
 @query
 def hash_sample_fast(spark, sf):
-    return _sample(spark, sf, "xxhash64")
+    """What holds for any hash: the share, nesting, and that a second run takes the same rows."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    small, again, large = (
+        SE.hash_sample(orders, "o_orderkey", fraction, SEED, method="xxhash64").withColumn(name, F.lit(1))
+        for name, fraction in (("small", 0.05), ("again", 0.05), ("large", 0.25))
+    )
+    rows = orders
+    for side in (small, again, large):
+        rows = rows.join(side, "o_orderkey", "left")
+    n = F.count(F.lit(1))
+    return rows.agg(
+        n.alias("rows"),
+        (F.abs(F.count("small") / n - 0.05) < 0.02).alias("small_share_holds"),
+        (F.abs(F.count("large") / n - 0.25) < 0.03).alias("large_share_holds"),
+        (F.count_if(F.col("small").isNotNull() & F.col("large").isNull()) == 0).alias("nested"),
+        (F.count_if(F.col("small").isNull() != F.col("again").isNull()) == 0).alias("repeatable"),
+    )
 
 
 def _split(spark, sf, method):
@@ -149,7 +166,17 @@ def group_split(spark, sf):
 
 @query
 def group_split_fast(spark, sf):
-    return _split(spark, sf, "xxhash64")
+    """What holds for any hash: every group in one split, and shares near the plan."""
+    groups = _split(spark, sf, "xxhash64").groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("split").alias("split"), F.max("split").alias("other")
+    )
+    share = F.count_if(F.col("split") == "train") / F.count(F.lit(1))
+    return groups.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"),
+        (F.count_if(F.col("split") != F.col("other")) == 0).alias("groups_whole"),
+        (F.count_if(F.col("split").isin(*SE.SPLITS)) == F.count(F.lit(1))).alias("splits_known"),
+        (F.abs(share - SI.TRAIN_RATIO) < 0.08).alias("train_share_holds"),
+    )
 
 
 @query
@@ -276,7 +303,7 @@ def quality_report(spark, sf):
     rules = Q.TableRules(
         required=["job_link", "job_type", "salary"],
         primary_key=["job_link"],
-        non_null=["job_link", "got_ner"],
+        non_null=["job_link", "got_ner", "absent"],
         allowed={"got_ner": (["t", "f"], "error"), "job_type": (["view", "click"], "warning")},
     )
     text_rules = Q.TableRules(
@@ -295,6 +322,7 @@ def quality_report(spark, sf):
         Q.check_coverage(silver, F.col("has_summary"), "silver", "has_summary", 0.95),
         Q.check_row_count(posts, silver, "silver"),
         Q.check_disjoint_groups(_split(spark, sf, "sha256"), "text_id", "split", "splits"),
+        Q.check_split_shares(_split(spark, sf, "sha256"), "split", SPLIT_SHARES, "splits", 0.02),
     )
 
 

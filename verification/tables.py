@@ -21,6 +21,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small(table(spark, sf_dir, "documents"), "doc_id")
 
 
+# Openings that hold a header name, a repeat of it in other case, and a profile address.
+HEADERS = (
+    "Here is a professional resume for Mary O'Neil-Wu:  mary o'neil-wu wrote to www.linkedin.com/in/mary now. ",
+    "Professional Resume for Jo Ann Li: Jon Li wrote https://linkedin.com/in/jo-li down. ",
+)
+
+
+def headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table; two of every four texts open with one of ``HEADERS``."""
+    kind = F.col("doc_id") % 4
+    opening = F.when(kind == 0, HEADERS[0]).when(kind == 1, HEADERS[1]).otherwise("")
+    return documents(spark, sf_dir).withColumn("text", F.concat(opening, "text"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     return contract(documents(spark, sf_dir), "catalog", digest(key), key, F.col("text"))
