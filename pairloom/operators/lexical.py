@@ -1,9 +1,9 @@
 """Exact-vocabulary TF-IDF search written as joins and aggregates.
 
 Terms stay strings here, so every weight is explainable and comparable with SQL.
-One pass over the catalog builds the vocabulary, a second one scores it:
+The catalog is tokenised once; its counted terms are written and read from there:
 
-    text -> (term, count) pairs inside the row -> idf by join on term
+    text -> (term, count) pairs inside the row -> vocabulary -> idf by join on term
          -> one shuffle by document: norm and the terms any query asks for
          -> join with the query terms -> sum per (document, query), same partitioning
          -> top K per query, cut before the shuffle
@@ -12,10 +12,12 @@ One pass over the catalog builds the vocabulary, a second one scores it:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.checks import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, require, require_columns
+from pairloom.checks import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, require, require_columns, write_through
 from pairloom.functions.text import tokens, with_bigrams
 from pairloom.operators.documents import CONTRACT
 from pairloom.operators.features import MIN_DOCUMENT_FREQUENCY
@@ -23,8 +25,10 @@ from pairloom.operators.features import MIN_DOCUMENT_FREQUENCY
 # A term in more than 1/HEAVY_TERMS of all postings is joined by broadcast. Counts add
 # up to the number of postings, so there can be at most HEAVY_TERMS such terms.
 HEAVY_TERMS = 20_000
-# Postings of one term that one task may receive in the salted join.
-SALT_ROWS = 100_000
+# Such a term may be this long at most, which bounds the broadcast in bytes as well.
+HEAVY_TERM_BYTES = 1_024
+# Rows of query terms that one group may have to be broadcast.
+QUERY_GROUP_ROWS = 1_000_000
 SCORE_DECIMALS = 12
 # Parts of one query that are ranked apart before the final rank, for very large K.
 RANK_SPREAD = 64
@@ -36,8 +40,8 @@ def with_terms(documents: DataFrame, ngrams: bool = False) -> DataFrame:
     return words.withColumn("terms", with_bigrams("terms")) if ngrams else words
 
 
-def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
-    """``(key, term, tf)``: terms are counted inside each row, without a shuffle.
+def term_rows(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
+    """``(key, runs)``: the distinct terms of each row and their counts, without a shuffle.
 
     The sorted token array is cut where neighbours differ; run lengths are the counts.
     """
@@ -55,7 +59,16 @@ def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id")
         "transform(ends, (e, i) -> struct(get(terms, e - 1) as term, "
         "cast(e - coalesce(get(ends, i - 1), 0) as bigint) as tf))"
     )
-    return cut.select(key, F.explode(runs).alias("run")).select(key, "run.term", "run.tf")
+    return cut.select(key, runs.alias("runs"))
+
+
+def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
+    """``(key, term, tf)`` of every row."""
+    return exploded(term_rows(documents, ngrams, key), key)
+
+
+def exploded(rows: DataFrame, key: str = "source_id") -> DataFrame:
+    return rows.select(key, F.explode("runs").alias("run")).select(key, "run.term", "run.tf")
 
 
 @dataclass(frozen=True)
@@ -73,12 +86,11 @@ class Vocabulary:
         return self.terms <= limit and self.term_bytes <= BROADCAST_BYTES
 
 
-def term_frequencies(documents: DataFrame, ngrams: bool = False) -> DataFrame:
-    """``(term, df)`` over a catalog; the NULL term counts the documents themselves."""
-    every = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("terms"))
+def term_frequencies(rows: DataFrame) -> DataFrame:
+    """``(term, df)`` over counted rows; the NULL term counts the documents themselves."""
+    every = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("runs.term", F.array().cast("array<string>")))
     return (
-        with_terms(documents, ngrams)
-        .select(F.explode(every).alias("term"))
+        rows.select(F.explode(every).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -88,10 +100,12 @@ def fit_vocabulary(
     catalog: DataFrame,
     min_document_frequency: int = MIN_DOCUMENT_FREQUENCY,
     ngrams: bool = False,
+    rows: DataFrame | None = None,
 ) -> Vocabulary:
-    """One pass over the catalog; terms below the least frequency have no weight."""
+    """One pass over the catalog, or over its counted ``rows`` if they are there already;
+    terms below the least frequency have no weight."""
     require_columns(catalog, CONTRACT)
-    counts = cut_lineage(term_frequencies(catalog, ngrams))
+    counts = write_through(term_frequencies(term_rows(catalog, ngrams) if rows is None else rows))
     known = F.col("term").isNotNull() & (F.col("df") >= min_document_frequency)
     totals = counts.agg(
         F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("documents"),
@@ -125,8 +139,9 @@ def attach_terms(
     columns = [name for name in table.columns if name != "term"]
     packed = table.select("term", F.struct(*columns).alias("found"), F.col("df").alias("rows"))
     heavy_from = max(1, vocabulary.postings // HEAVY_TERMS)
-    heavy = packed.filter(F.col("rows") > heavy_from).select("term", F.col("found").alias("heavy"))
-    tail = packed.filter(F.col("rows") <= heavy_from).select(
+    is_heavy = (F.col("rows") > heavy_from) & (F.octet_length("term") <= HEAVY_TERM_BYTES)
+    heavy = packed.filter(is_heavy).select("term", F.col("found").alias("heavy"))
+    tail = packed.filter(~is_heavy).select(
         F.col("term").alias("tail_term"), F.col("found").alias("tail"), F.lit(0).alias("tail_spread")
     )
     marked = rows.join(F.broadcast(heavy), "term", "left").withColumns(
@@ -175,8 +190,10 @@ def sparse_scores(
     vocabulary: Vocabulary,
     decimals: int = SCORE_DECIMALS,
     broadcast_rows: int = BROADCAST_ROWS,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine of every (query, document) pair that shares a weighted term."""
+    rows = term_rows(catalog, vocabulary.ngrams) if rows is None else rows
     ngrams = vocabulary.ngrams
     asked_terms = cut_lineage(postings(queries, ngrams))
     shipped = fits(asked_terms, broadcast_rows)
@@ -193,48 +210,34 @@ def sparse_scores(
     table = vocabulary.table.join(F.broadcast(asked) if shipped else asked, "term", "left").withColumn(
         "wanted", F.col("query_df").isNotNull()
     )
-    found = attach_terms(postings(catalog, ngrams), table, vocabulary, "source_id", broadcast_rows)
-    carry = () if shipped else ("df", "query_df")
-    documents = unit_postings(weighted_documents(found, F.col("wanted"), carry))
-    if shipped:
-        joined = documents.join(F.broadcast(query_terms), "term")
-    else:
-        joined = _salted_join(documents, query_terms, asked, vocabulary)
-    return (
-        joined.groupBy("source_id", "query_id")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-        .select(
-            "query_id", F.col("source_id").alias("document_id"),
-            F.round("score", decimals).alias("score"),
+    found = attach_terms(exploded(rows), table, vocabulary, "source_id", broadcast_rows)
+    documents = unit_postings(weighted_documents(found, F.col("wanted")))
+
+    def scored(some: DataFrame) -> DataFrame:
+        return (
+            documents.join(F.broadcast(some), "term")
+            .groupBy("source_id", "query_id")
+            .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+            .select(
+                "query_id", F.col("source_id").alias("document_id"),
+                F.round("score", decimals).alias("score"),
+            )
         )
-    )
 
+    # Queries beyond one broadcast are cut into groups. Every group meets the documents where
+    # their one shuffle put them: the groups share it, and no match is shuffled to be summed.
+    groups = _query_groups(query_terms)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+    if groups == 1:
+        return scored(query_terms)
+    return reduce(DataFrame.unionByName, [scored(query_terms.filter(part == at)) for at in range(groups)])
 
-def _salted_join(
-    documents: DataFrame, query_terms: DataFrame, asked: DataFrame, vocabulary: Vocabulary
-) -> DataFrame:
-    """Term join for a query side too large to broadcast.
 
-    Counts of both sides are known, so each term is cut into a grid of cells of at most
-    about SALT_ROWS x SALT_ROWS postings; every pair still meets exactly once.
-    """
-
-    def parts(count: str) -> Column:
-        return F.ceil(F.col(count) / SALT_ROWS).cast("int")
-
-    sizes = asked.join(vocabulary.table.select("term", "df"), "term")
-    left = documents.withColumn(
-        "row_cell", F.pmod(F.xxhash64("source_id"), parts("df")).cast("int")
-    ).withColumn("column_cell", F.explode(F.sequence(F.lit(0), parts("query_df") - 1)))
-    right = (
-        query_terms.join(sizes, "term")
-        .withColumn("column_cell", F.pmod(F.xxhash64("query_id"), parts("query_df")).cast("int"))
-        .withColumn("row_cell", F.explode(F.sequence(F.lit(0), parts("df") - 1)))
-        .select("term", "row_cell", "column_cell", "query_id", "query_weight")
-    )
-    return left.select("term", "row_cell", "column_cell", "source_id", "weight").join(
-        right, ["term", "row_cell", "column_cell"]
-    )
+def _query_groups(query_terms: DataFrame) -> int:
+    """How many groups of queries keep each within half of what may be broadcast."""
+    size = query_terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("b")).first()
+    fill = max(size["n"] / QUERY_GROUP_ROWS, (size["b"] or 0) / BROADCAST_BYTES)
+    return 1 if fill <= 1 else ceil(2 * fill)
 
 
 def best_per_query(
@@ -296,7 +299,8 @@ def lexical_top_k(
 ) -> DataFrame:
     """Exact TF-IDF cosine top-K over both sides' contract tables."""
     require_columns(queries, CONTRACT)
-    vocabulary = fit_vocabulary(catalog, min_document_frequency, ngrams)
-    scores = sparse_scores(queries, catalog, vocabulary, decimals, broadcast_rows)
+    rows = write_through(term_rows(catalog, ngrams))
+    vocabulary = fit_vocabulary(catalog, min_document_frequency, ngrams, rows)
+    scores = sparse_scores(queries, catalog, vocabulary, decimals, broadcast_rows, rows)
     top = rank_top_k(scores, top_k)
     return fill_with_zeros(top, queries, catalog, top_k) if fill_zero else top

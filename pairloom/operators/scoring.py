@@ -2,29 +2,28 @@
 
 Spark splits the catalog; each task streams its Arrow batches past a bounded block of
 query vectors and keeps only the best K rows per query, so nothing but those rows is
-shuffled. A query side beyond one block is never sent anywhere whole: both sides are cut
-into a grid of bounded cells by hash and every cell is scored on its own; results stay
-exact. Python is used because no built-in expression multiplies sparse vectors or matrices.
+shuffled. A query side beyond one block is cut by hash, and each block gets a narrow pass of
+its own; results stay exact. Python is used because no built-in expression multiplies sparse
+vectors or matrices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairloom.checks import require, require_columns
+from pairloom.checks import require, require_columns, write_through
 from pairloom.operators.lexical import SCORE_DECIMALS, rank_top_k
 
 # Bounds of one query block: rows, and stored numbers over all rows.
 BLOCK_QUERIES = 4_096
 BLOCK_NUMBERS = 4_000_000
-# Catalog rows of one grid cell, when the query side needs more than one block.
-CELL_ROWS = 20_000
 # Catalog rows scored at a time inside a task.
 STRIPE_ROWS = 256
 
@@ -49,7 +48,6 @@ def over_blocks(
     schema: str,
     max_rows: int = BLOCK_QUERIES,
     max_numbers: int = BLOCK_NUMBERS,
-    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Run ``score(block, catalog batches)`` so that every catalog row meets every query.
 
@@ -58,9 +56,9 @@ def over_blocks(
     """
     spark = catalog.sparkSession
     output = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    blocks = _cuts(queries, size, max_rows, max_numbers)
-    if blocks == 1:
-        block = kind.build(queries.toArrow())
+
+    def one_pass(asked: DataFrame) -> DataFrame:
+        block = kind.build(asked.toArrow())
         if not len(block.ids):
             return spark.createDataFrame([], schema)
         shared = spark.sparkContext.broadcast(vars(block))
@@ -70,25 +68,15 @@ def over_blocks(
 
         return catalog.mapInArrow(stream, schema)
 
-    chunks = _cuts(catalog, size, cell_rows, max_numbers)
-    key = F.xxhash64("source_id")
-
-    def cells(side: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        return side.withColumn(own, F.pmod(key, F.lit(parts)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        )
-
-    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        block = kind.build(asked) if asked.num_rows and rows.num_rows else None
-        found = score(block, rows.to_batches()) if block is not None and len(block.ids) else []
-        return pa.Table.from_batches([batch.cast(output) for batch in found], output)
-
-    return (
-        cells(catalog, "chunk", chunks, "block", blocks)
-        .groupBy("chunk", "block")
-        .cogroup(cells(queries, "block", blocks, "chunk", chunks).groupBy("chunk", "block"))
-        .applyInArrow(cell, schema)
-    )
+    blocks = _cuts(queries, size, max_rows, max_numbers)
+    if blocks == 1:
+        return one_pass(queries)
+    # Only the queries are cut: one narrow pass over the catalog for each block of them. No
+    # catalog vector moves, and the driver holds one block at a time.
+    held = write_through(queries)
+    part = F.pmod(F.xxhash64("source_id"), F.lit(blocks))
+    passes = [one_pass(held.filter(part == at)) for at in range(blocks)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 # ---------------------------------------------------------------- blocks as arrays

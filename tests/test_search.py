@@ -56,8 +56,8 @@ def texts():
 @pytest.mark.parametrize("ngrams", [False, True])
 @pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
 def test_lexical_top_k_equals_brute_force(docs, texts, ngrams, broadcast_rows, monkeypatch):
-    # With nothing broadcast, tiny cells and few heavy terms force every skew path.
-    monkeypatch.setattr(L, "SALT_ROWS", 7)
+    # With nothing broadcast, small query groups and few heavy terms force every skew path.
+    monkeypatch.setattr(L, "QUERY_GROUP_ROWS", 30)
     monkeypatch.setattr(L, "HEAVY_TERMS", 30)
     queries, catalog = texts
     top = L.lexical_top_k(docs(queries), docs(catalog), 5, ngrams, decimals=6, broadcast_rows=broadcast_rows)
@@ -187,6 +187,8 @@ def test_dense_search_over_blocks_equals_numpy(spark):
     catalog, asked = source.normal(size=(300, 8)), source.normal(size=(40, 8))
     frame = lambda m, p: dense(spark, [(f"{p}{n:03d}", row.tolist()) for n, row in enumerate(m)])
     top = S.dense_top_k(frame(asked, "q"), frame(catalog, "d").repartition(7), 6, max_rows=9)
+    # Several passes, and nothing of the catalog moves but its repartition above and the results.
+    assert top._jdf.queryExecution().executedPlan().toString().count("MapInArrow") > 2
     best = np.argsort(-(asked @ catalog.T), axis=1)[:, :6]
     expected = {(f"q{q:03d}", rank + 1, f"d{d:03d}") for q, row in enumerate(best) for rank, d in enumerate(row)}
     assert {(r.query_id, r.rank, r.document_id) for r in top.collect()} == expected
