@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from pairloom.llm.common import bucketed, quoted
+from pairloom.llm.common import bucketed, quoted, release_memory
 
 CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
@@ -223,6 +223,8 @@ def chunked(df: DataFrame, text: str, path: str, buckets: int) -> DataFrame:
         if rows:
             for row in _chunk_rows(number, rows, words, counts, table, buckets):
                 yield _record([row])
+        rows, words, counts = [], [], []
+        release_memory()
 
     return source.mapInArrow(run, CHUNKS)
 
@@ -327,6 +329,8 @@ def encode_decode(
         made = _put_together(counts, codes, lengths, ids, path, outputs)
         columns = [rows.column(i).combine_chunks().cast(kinds.types[i]) for i in range(len(names))]
         columns += [pa.array(made[o], kind) for o, kind in zip(outputs, kinds.types[len(names):])]
+        del made, codes, ids, lengths
+        release_memory()
         return pa.table(columns, schema=kinds)
 
     asked = chunks.filter("bucket IS NULL").select("chunk", "kept", "counts", "codes")

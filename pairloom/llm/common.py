@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
@@ -11,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+# Rows whose texts are Python objects at a time.
+SLICE_ROWS = 512
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -66,25 +73,44 @@ def with_arrow_columns(
     """
     added = StructType.fromDDL(fields)
     kept = [c for c in df.columns if c not in added.names and c not in drop]
-    helper = _free_name("_text", df.columns)
-    source = df.select(*(F.col(_quoted(c)) for c in kept), F.col(_quoted(text)).cast("binary").alias(helper))
-    schema = StructType([*source.drop(helper).schema.fields, *added.fields])
+    columns = [F.col(_quoted(c)) for c in kept]
+    if text in kept:
+        at = kept.index(text)  # a text that stays is sent once
+    else:
+        at = len(kept)
+        columns.append(F.col(_quoted(text)).alias(_free_name("_text", df.columns)))
+    source = df.select(*columns)
+    schema = StructType([*source.schema.fields[: len(kept)], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            new = compute(texts)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            for values, kind in zip(new, kinds.types[len(columns):]):
-                columns.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        kinds = to_arrow_schema(schema).types
+        for part in slices(batches):
+            new = compute(part.column(at).cast(pa.binary()).to_pylist())
+            arrays = [part.column(i) for i in range(len(kept))]
+            arrays += [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(new, kinds[len(kept):])]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, ``SLICE_ROWS`` at a time; frees memory after the last."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back: a worker lives on, and other tasks' workers share its machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

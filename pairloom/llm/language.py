@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import decoded, quoted, with_arrow_columns
+from pairloom.llm.common import decoded, quoted, slices, with_arrow_columns
 from pairloom.llm.linear import fit_ftrl, fit_temperature, softmax
 
 BINS = 1 << 14
@@ -87,8 +87,8 @@ def _document_frequencies(texts: DataFrame) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS + 1, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in slices(batches):
+            for text in part.column(0).to_pylist():
                 total[gram_counts(decoded(text))[0]] += 1
                 total[BINS] += 1
         at = np.flatnonzero(total)
