@@ -35,12 +35,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Repeated labels of a document agree or cancel out to none.
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
-        F.when(F.min("toxic") == F.max("toxic"), F.min("toxic")).alias("toxic")
-    )
     held = language.held_out(F.col("doc_id"), 4, 2)
-    model = toxicity.fit(documents.filter(~held).join(labels, "doc_id", "left"))
+    model = toxicity.fit(toxicity.attach_labels(documents.filter(~held), table(spark, sf_dir, "labels"), "doc_id", "toxic"))
     rows = documents.select("doc_id", held.alias("held_out"), "text")
     return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 

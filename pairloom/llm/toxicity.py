@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import decoded, quoted, with_arrow_columns
+from pairloom.llm.common import decoded, quoted, slices, with_arrow_columns, written
 from pairloom.llm.linear import fit_ftrl
 
 BINS = 1 << 18
@@ -37,6 +37,7 @@ LEXICON = 2_048
 VOTERS = 40
 FIT_ROWS = 16_000
 THRESHOLD = 0.3
+LABEL_BROADCAST = 4_000_000
 # English insults in everyday use, as public lists have them.
 INSULTS = (
     "idiot", "moron", "stupid", "dumb", "fool", "loser", "pathetic", "worthless", "clown", "imbecile", "scum", "trash", "garbage",
@@ -181,8 +182,8 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BINS + 1), np.int64)
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in slices(batches):
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 total[label, features(decoded(text))] += 1
                 total[label, BINS] += 1
         at = np.flatnonzero(total.sum(0))
@@ -233,6 +234,21 @@ def _votes(has: np.ndarray, label: np.ndarray, size: int, fixed: np.ndarray, str
     return np.concatenate([c.astype(np.uint8) for c in columns], axis=1)
 
 
+def attach_labels(documents: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``documents`` with their label, null where there is none or repeated ones differ.
+
+    Labels go to the texts: they are broadcast while their counted number keeps them within
+    ``LABEL_BROADCAST`` rows of two numbers. Beyond it the two sides are shuffled and the
+    outcome is written, so that texts move once.
+    """
+    known = labels.groupBy(quoted(key).alias(key)).agg(
+        F.when(F.min(quoted(label)) == F.max(quoted(label)), F.min(quoted(label))).alias(label)
+    )
+    if known.count() <= LABEL_BROADCAST:
+        return documents.join(F.broadcast(known), key, "left")
+    return written(documents.join(known, key, "left"), "labelled")
+
+
 def fit(df: DataFrame, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on the rows of ``df``; ``label`` is 1, 0 or null, and other values count as null."""
     rows = df.select(quoted(text).cast("binary").alias("text"), F.when(quoted(label).isin(0, 1), quoted(label).cast("int")).alias("label"))
