@@ -40,35 +40,48 @@ def with_terms(documents: DataFrame, ngrams: bool = False) -> DataFrame:
     return words.withColumn("terms", with_bigrams("terms")) if ngrams else words
 
 
-def term_rows(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
-    """``(key, runs)``: the distinct terms of each row and their counts, without a shuffle.
+def _runs(documents: DataFrame, ngrams: bool, key: str) -> tuple[DataFrame, Column]:
+    """Rows with their key, and the expression of their distinct terms and counts.
 
     The sorted token array is cut where neighbours differ; run lengths are the counts.
     """
     require_columns(documents, [key, "combined_text"])
     ordered = with_terms(documents, ngrams).select(key, F.sort_array("terms").alias("terms"))
-    cut = ordered.select(
+    # Each step reads the column before it more than once, so none is folded into the lambda
+    # of the next, where it would be computed again for every element.
+    marked = ordered.select(
         key,
-        "terms",
         F.expr(
-            "filter(transform(terms, (t, i) -> if(t = get(terms, i + 1), null, i + 1)), "
-            "e -> e is not null)"
-        ).alias("ends"),
+            "filter(transform(terms, (t, i) -> if(t = get(terms, i + 1), null, struct(t as term, i + 1 as stop))), "
+            "m -> m is not null)"
+        ).alias("marks"),
     )
     runs = F.expr(
-        "transform(ends, (e, i) -> struct(get(terms, e - 1) as term, "
-        "cast(e - coalesce(get(ends, i - 1), 0) as bigint) as tf))"
+        "transform(marks, (m, i) -> struct(m.term as term, "
+        "cast(m.stop - coalesce(get(marks, i - 1).stop, 0) as bigint) as tf))"
     )
-    return cut.select(key, runs.alias("runs"))
+    return marked, runs
+
+
+def term_rows(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
+    """``(key, runs)``: the distinct terms of each row and their counts, without a shuffle."""
+    rows, runs = _runs(documents, ngrams, key)
+    return rows.select(key, runs.alias("runs"))
 
 
 def postings(documents: DataFrame, ngrams: bool = False, key: str = "source_id") -> DataFrame:
-    """``(key, term, tf)`` of every row."""
-    return exploded(term_rows(documents, ngrams, key), key)
+    """``(key, term, tf)`` of every row.
+
+    It explodes an expression: of a column, Spark would infer that it is not empty and push
+    that test, and with it all that the column is made of, through every step below.
+    """
+    rows, runs = _runs(documents, ngrams, key)
+    return rows.select(key, F.explode(runs).alias("run")).select(key, "run.term", "run.tf")
 
 
-def exploded(rows: DataFrame, key: str = "source_id") -> DataFrame:
-    return rows.select(key, F.explode("runs").alias("run")).select(key, "run.term", "run.tf")
+def exploded(written_rows: DataFrame, key: str = "source_id") -> DataFrame:
+    """``(key, term, tf)`` of ``term_rows`` that were written."""
+    return written_rows.select(key, F.explode("runs").alias("run")).select(key, "run.term", "run.tf")
 
 
 @dataclass(frozen=True)
@@ -192,8 +205,9 @@ def sparse_scores(
     broadcast_rows: int = BROADCAST_ROWS,
     rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Cosine of every (query, document) pair that shares a weighted term."""
-    rows = term_rows(catalog, vocabulary.ngrams) if rows is None else rows
+    """Cosine of every (query, document) pair that shares a weighted term; ``rows`` are
+    written ``term_rows`` of the catalog, if there are any."""
+    found = postings(catalog, vocabulary.ngrams) if rows is None else exploded(rows)
     ngrams = vocabulary.ngrams
     asked_terms = cut_lineage(postings(queries, ngrams))
     shipped = fits(asked_terms, broadcast_rows)
@@ -210,7 +224,7 @@ def sparse_scores(
     table = vocabulary.table.join(F.broadcast(asked) if shipped else asked, "term", "left").withColumn(
         "wanted", F.col("query_df").isNotNull()
     )
-    found = attach_terms(exploded(rows), table, vocabulary, "source_id", broadcast_rows)
+    found = attach_terms(found, table, vocabulary, "source_id", broadcast_rows)
     documents = unit_postings(weighted_documents(found, F.col("wanted")))
 
     def scored(some: DataFrame) -> DataFrame:
