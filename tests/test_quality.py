@@ -43,6 +43,12 @@ def test_table_rules(spark):
     assert found["allowed_values", "flag"].failed == 1 and found["allowed_values", "flag"].severity == "warning"
     assert found["text_length", "text"].failed == 1
     assert found["list_size_min", "list"].failed == 1 and found["list_size_max", "list"].failed == 1
+    gone = Q.TableRules(primary_key=["k", "lost"], non_null=["lost"], allowed={"lost": (["t"], "warning")})
+    broken = by_rule(Q.check_table(frame, "d", gone))
+    assert {(r, c): (v.failed, v.passed) for (r, c), v in broken.items()} == {
+        ("non_null", "lost"): (3, False), ("allowed_values", "lost"): (3, False), ("unique_key", "k, lost"): (3, False),
+    }
+    assert not by_rule(Q.check_table(frame.limit(0), "d", gone))["non_null", "lost"].passed
     assert abs(found["non_null", "k"].rate - 2 / 3) < 1e-12 and not found["non_null", "k"].passed
 
 
@@ -77,3 +83,12 @@ def test_metrics_of_an_empty_table(spark):
     none = {n: spark.createDataFrame([], source_schema(n)) for n in ("linkedin_job_postings", "job_summary", "job_skills")}
     row = P.job_metrics(none["linkedin_job_postings"], silver_jobs(*none.values())).first()
     assert tuple(row) == (0, 0, 0, 0.0, 0.0, 0)
+
+
+def test_split_shares_and_the_number_of_broken_rules(spark):
+    frame = spark.range(100).select(F.when(F.col("id") < 80, "train").otherwise("test").alias("split"))
+    found = by_rule(Q.check_split_shares(frame, "split", {"train": 0.7, "test": 0.2, "validation": 0.1}, "d", 0.05, "error"))
+    assert {c: v.failed for (_, c), v in found.items()} == {"split=train": 5, "split=test": 0, "split=validation": 5}
+    many = Q.TableRules(non_null=[f"c{n}" for n in range(30)])
+    with pytest.raises(ValueError, match="30 data quality errors"):
+        Q.enforce(Q.check_table(frame, "d", many))

@@ -269,3 +269,12 @@ def test_fallback_serves_uncovered_queries_only(hashed):
         by_query.setdefault(row.query_id, set()).add(row.found_by)
     assert all(len(kinds) == 1 for kinds in by_query.values())
     assert {"lsh", "exact"} == set.union(*by_query.values())
+
+
+def test_bucket_lengths_are_exact():
+    assert lsh.common_width((0.5, 0.8, 1.0, 1.2, 1.5)) == (0.1, [5, 8, 10, 12, 15])
+    assert lsh.common_width((0.001953125, 0.00390625)) == (0.001953125, [1, 2])
+    assert lsh.common_width((4e-7,)) == (4e-7, [1])
+    for widths in ((0.1, 0.1000001), (0.0, 1.0)):
+        with pytest.raises(ValueError, match="bucket lengths"):
+            lsh.common_width(widths)
