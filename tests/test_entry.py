@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_DIR
 from verification.compare import compare, database
+from verification.oracle import ORACLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
@@ -25,10 +26,7 @@ def test_every_sql_text_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [
-    "normalize_text", "mask_phone", "silver_jobs", "silver_resumes", "quality_report", "document_frequency",
-    "tfidf_topk", "ngram_tfidf_topk", "dense_text_topk", "threshold_evaluation", "roc_pr_auc", "answer_key",
-])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, connection, name):
     verdict = compare(spark, connection, SF_DIR, name)
     assert verdict.startswith("OK"), verdict
