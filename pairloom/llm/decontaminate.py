@@ -49,14 +49,14 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(units, f"({NUMBER_RUN})", f" {NUMBER}$1 ")
 
 
-def templates(text: Column) -> Column:
-    """Template tokens: a placeholder each for names, numbers and units, else lower case."""
-    bare = F.regexp_replace(marked(text), rf"([{NUMBER}{UNIT}{NAME}])[\p{{L}}\p{{M}}\p{{N}}.,]*", "$1 ")
-    return F.array_remove(F.split(F.lower(bare), rf"[^\p{{L}}\p{{M}}{NUMBER}{UNIT}{NAME}]+"), "")
+def templates(tokens: Column) -> Column:
+    """Template tokens of ``values``: a placeholder each for names, numbers and units, else lower case."""
+    first = lambda v: F.substring(v, 1, 1)
+    return F.transform(tokens, lambda v: F.when(first(v).isin(NUMBER, UNIT, NAME), first(v)).otherwise(F.lower(v)))
 
 
 def values(text: Column) -> Column:
-    """Tokens at the same positions as ``templates``: marks and values as written."""
+    """Tokens of a text: marks and values as written."""
     return F.regexp_extract_all(marked(text), F.lit(rf"[{NUMBER}{UNIT}{NAME}](?:{LITERAL_RUN}|{NUMBER_RUN})|{LITERAL_RUN}"), F.lit(0))
 
 
@@ -76,12 +76,13 @@ def _slots(tokens: Column, at: Column) -> Column:
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """``(hash, item, at, total, slots)``: every telling window of every distinct item text."""
     items = benchmark.select(quoted(text).alias("text")).filter("text IS NOT NULL").distinct()
-    read = items.select("text", F.xxhash64("text").alias("item"), templates(F.col("text")).alias("t"))
-    cut = read.select("text", "item", "t", F.posexplode(windows(F.col("t"))).alias("at", "hash"))
+    read = items.select(F.xxhash64("text").alias("item"), values(F.col("text")).alias("v"))
+    read = read.select("item", "v", templates(F.col("v")).alias("t"))
+    cut = read.select("item", "v", "t", F.posexplode(windows(F.col("t"))).alias("at", "hash"))
     part = F.slice("t", F.col("at") + 1, WINDOW)
     literals = F.size(F.filter(part, lambda v: ~v.isin(NUMBER, UNIT, NAME)))
     telling = cut.filter(literals >= LITERALS).select(
-        "hash", "item", "at", F.when(literals < WINDOW, _slots(values(F.col("text")), F.col("at"))).alias("slots")
+        "hash", "item", "at", F.when(literals < WINDOW, _slots(F.col("v"), F.col("at"))).alias("slots")
     )
     totals = telling.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
     return telling.join(totals, "item")
@@ -100,14 +101,13 @@ def leaks(
     known = item_windows(benchmark, item_key, item_text)
     side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
     # The tokens are a column of their own: inside a lambda their expression would run for every window.
-    docs = documents.select(
-        row_digest(key, text).alias("digest"), quoted(text).alias("text"), templates(quoted(text)).alias("t")
-    )
-    asked = docs.select("digest", "text", F.posexplode(windows(F.col("t"))).alias("doc_at", "hash"))
+    docs = documents.select(row_digest(key, text).alias("digest"), values(quoted(text)).alias("v"))
+    docs = docs.select("digest", "v", templates(F.col("v")).alias("t"))
+    asked = docs.select("digest", "v", F.posexplode(windows(F.col("t"))).alias("doc_at", "hash"))
     hits = asked.join(side, "hash").select(
         "digest", "item", "total", "at", (F.col("doc_at") - F.col("at")).alias("alignment"),
         F.when(F.col("slots").isNotNull(), F.filter(
-            F.arrays_zip(F.col("slots").alias("item_value"), _slots(values(F.col("text")), F.col("doc_at")).alias("doc_value")),
+            F.arrays_zip(F.col("slots").alias("item_value"), _slots(F.col("v"), F.col("doc_at")).alias("doc_value")),
             lambda pair: pair["item_value"].isNotNull(),
         )).alias("pairs"),
     )

@@ -92,6 +92,16 @@ def test_questions_with_other_values_are_caught(documents, benchmark):
     assert half["n_windows"] == 0 and not half["contaminated"]
 
 
+def test_names_with_dots_and_commas_keep_the_positions_of_slots(spark, documents, benchmark):
+    got = verdicts(documents, benchmark, [
+        (1, f"last year we built it with Node.js and more. {QUESTION}"), (2, f"we went to Paris,France by train. {QUESTION}"),
+    ])
+    assert [got[i]["item_ids"] for i in (1, 2)] == [[1, 2]] * 2 and got[1]["cover"] == got[2]["cover"] == 1.0
+    tokens = documents([(1, "built with Node.js in Paris,France on 3 km, and 1.5 kg")]).select(decontaminate.values(F.col("text")).alias("v"))
+    row = tokens.select("v", decontaminate.templates(F.col("v")).alias("t")).first()
+    assert len(row["v"]) == len(row["t"]) and row["t"][2:4] == [decontaminate.NAME, "js"]
+
+
 def test_decontamination_of_odd_rows(odd, benchmark, documents):
     got = decontaminate.find_contamination(odd.withColumn("digest", F.lit(1)).withColumn("item", F.lit(1)), benchmark)
     assert got.count() == odd.count() and got.filter("contaminated").count() == 0
