@@ -11,6 +11,9 @@ Slots: within one alignment of a document with an item (document position less i
 position) every value of the item must stand for one value of the document throughout;
 alignments that are not consistent are dropped. An item is contained when the consistent
 windows are at least ``COVER`` of all its windows (and two, if it has two), or ``RUN``.
+With ``by_window`` an alignment is not dropped for one edited value: each value of the item
+stands for the value of the document that most of its slots hold (ties: the smallest), and
+only the windows with a slot against it are left out.
 
 Items with fewer than ``WINDOW`` tokens have no window and are found by no document.
 Defined cases: null and empty texts have no windows and are clean; repeated rows get the
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import quoted
+from pairloom.llm.common import quoted, written
 
 WINDOW = 8
 LITERALS = 4
@@ -93,9 +96,25 @@ def row_digest(key: str, text: str) -> Column:
     return F.sha2(F.concat(F.coalesce(quoted(key).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(quoted(text), F.lit(""))), 256)
 
 
+def _agreeing(hits: DataFrame) -> DataFrame:
+    """``hits`` without the windows that hold a slot against the majority of its value."""
+    alignment = ["digest", "item", "alignment"]
+    counted = hits.select(*alignment, F.explode("pairs").alias("pair")).groupBy(*alignment, "pair.item_value", "pair.doc_value").count()
+    # An item value has no more document values than the item has slots.
+    ranked = counted.groupBy(*alignment, "item_value").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("less"), "doc_value"))).alias("ranked")
+    ).filter(F.size("ranked") > 1)
+    against = ranked.select(*alignment, "item_value", F.explode(F.slice("ranked", 2, F.size("ranked") - 1)).alias("lost")).groupBy(
+        *alignment
+    ).agg(F.collect_set(F.struct("item_value", "lost.doc_value")).alias("against"))
+    # Windows of literals alone have no pairs and always stay.
+    breaks = F.coalesce(F.arrays_overlap("pairs", "against"), F.lit(False))
+    return hits.join(against, alignment, "left").filter(~breaks).drop("against")
+
+
 def leaks(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text",
+    item_key: str = "item_id", item_text: str = "text", by_window: bool = False,
 ) -> DataFrame:
     """``(digest, item_ids, n_windows, cover)``: documents that contain an item, by row digest."""
     known = item_windows(benchmark, item_key, item_text)
@@ -111,6 +130,8 @@ def leaks(
             lambda pair: pair["item_value"].isNotNull(),
         )).alias("pairs"),
     )
+    if by_window:
+        hits = _agreeing(written(hits, "hits"))
     # One alignment holds each window and each slot of an item once, so its lists are bounded by the item.
     aligned = hits.groupBy("digest", "item", "total", "alignment").agg(
         F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
@@ -152,9 +173,9 @@ def find_contamination(
 
 def remove_contaminated(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text",
+    item_key: str = "item_id", item_text: str = "text", by_window: bool = False,
 ) -> DataFrame:
     """``documents`` without the rows that contain an item of the benchmark."""
-    found = leaks(documents, benchmark, key, text, item_key, item_text).select(F.col("digest").alias("_row_digest"))
+    found = leaks(documents, benchmark, key, text, item_key, item_text, by_window).select(F.col("digest").alias("_row_digest"))
     keyed = documents.withColumn("_row_digest", row_digest(key, text))
     return keyed.join(found, "_row_digest", "left_anti").drop("_row_digest")

@@ -102,6 +102,21 @@ def test_names_with_dots_and_commas_keep_the_positions_of_slots(spark, documents
     assert len(row["v"]) == len(row["t"]) and row["t"][2:4] == [decontaminate.NAME, "js"]
 
 
+def test_one_edited_value_hides_no_copy_by_window(spark, documents):
+    words = "long passage about a farm where many people come together to pick fruit and carry it home in big baskets before the rain sets in again"
+    item = f"There are 5 apples and some leaves in a {words} and 5 pears are left over for the children"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = documents([
+        (1, item.replace("5 pears", "6 pears")), (2, item.replace("5 apples", "3 apples").replace("5 pears", "7 pears")), (3, item),
+        (4, "There are 5 apples in a basket"), (5, None),
+    ])
+    left = decontaminate.remove_contaminated(rows, benchmark, by_window=True)
+    assert sorted(r["doc_id"] for r in left.collect()) == [4, 5]
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(rows, benchmark).collect()) == [1, 2, 4, 5]
+    totals = {r["cover"]: r["n_windows"] for r in decontaminate.leaks(rows.filter("doc_id IN (1, 3)"), benchmark, by_window=True).collect()}
+    assert len(totals) == 2 and max(totals) == 1.0 and 12 < totals[min(totals)] < totals[1.0]
+
+
 def test_decontamination_of_odd_rows(odd, benchmark, documents):
     got = decontaminate.find_contamination(odd.withColumn("digest", F.lit(1)).withColumn("item", F.lit(1)), benchmark)
     assert got.count() == odd.count() and got.filter("contaminated").count() == 0
