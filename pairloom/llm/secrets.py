@@ -2,7 +2,7 @@
 
 Base kinds are reported wherever they occur: ``assign`` (a named value, the span of the
 value), ``access`` (access identifiers) and ``hex`` (long hexadecimal runs). On their own,
-other parts prove nothing: a 40-character secret-like run, or a host of a service. Each
+other parts prove nothing: a secret-like run of 32 characters or more, or a host of a service. Each
 scope of a text, the ``SCOPE`` code points around a candidate, is searched for the
 complementary part: a weak secret counts when an access identifier or an endpoint lies in
 its scope, an endpoint when it lies near an access identifier or a named value. Both sides
@@ -26,7 +26,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run that is too short holds no run that is long enough
 ASSIGN_STEMS = ("passw", "secret", "token", "apikey", "api_key")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,64}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
+# Part of a run: a name ends at "=", which belongs to a part only as padding at the end of the run.
+WEAK = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+WHOLE = 64  # a run of several short parts counts as one up to this length
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", re.A)
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "secret", "endpoint")  # in the order of ties
@@ -60,6 +63,17 @@ def _mixed(run: str) -> bool:
     return any(c.isdigit() for c in run) and any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run)
 
 
+def weak_spans(text: str) -> list[tuple[int, int]]:
+    """Secret-like runs of 32 characters and more, without the name in front of them."""
+    found = []
+    for run in RUN.finditer(text):
+        parts = [m.span() for m in WEAK.finditer(text, *run.span()) if _mixed(m.group())]
+        if not parts and run.end() - run.start() <= WHOLE and _mixed(run.group()):
+            parts = [run.span()]
+        found += parts
+    return found
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """Base spans and the weak candidates whose complementary part is in scope."""
     base = base_spans(text)
@@ -81,8 +95,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
     anchors = sorted(access + [s for s, _ in endpoints])
     width = max([e - s for s, k, e in base if k == 1] + [e - s for s, e in endpoints])
-    weak = [(m.start(), m.end()) for m in WEAK.finditer(text) if _mixed(m.group())]
-    weak = [(s, e) for s, e in weak if not overlaps(s, e) and _near(anchors, width, s, e)]
+    weak = [(s, e) for s, e in weak_spans(text) if not overlaps(s, e) and _near(anchors, width, s, e)]
     keyed = sorted([s for s, kind, _ in base if kind != 2] + [s for s, _ in weak])
     reach = max([e - s for s, k, e in base if k != 2] + [e - s for s, e in weak], default=0)
     linked = [(s, e) for s, e in endpoints if _near(keyed, reach, s, e)]
