@@ -47,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame, most: int, name: str) -> list[dict]:
+    """The rows of ``df`` on the driver, after they were counted to be at most ``most``."""
+    kept = written(df, name)
+    rows = kept.count()
+    if rows > most:
+        raise ValueError(f"{name} has {rows} rows, at most {most} were expected")
+    return kept.toArrow().to_pylist()
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Like ``written``, in hash buckets of ``key``: a join or grouping by it into as many
     partitions moves none of these rows again."""

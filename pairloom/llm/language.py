@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import decoded, quoted, slices, with_arrow_columns
+from pairloom.llm.common import collected, decoded, quoted, slices, with_arrow_columns
 from pairloom.llm.linear import fit_ftrl, fit_temperature, softmax
 
 BINS = 1 << 14
@@ -101,12 +101,14 @@ def _document_frequencies(texts: DataFrame) -> dict[int, int]:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Fit on the rows of ``df`` that have a text and a language.
 
-    Every row counts towards document frequencies. The weights see each row whose digest
-    falls below ``fit_rows`` / languages / rows of its language: about ``fit_rows`` rows,
-    evenly from all languages, and the same ones in every run.
+    Every row counts towards document frequencies. The weights see each distinct text once
+    for a language, if its digest falls below ``fit_rows`` / languages / distinct texts of
+    the language: about ``fit_rows`` texts however often one repeats, evenly from all
+    languages, and the same ones in every run.
     """
     rows = df.select(quoted(text).cast("binary").alias("text"), quoted(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    per_language = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    texts = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("texts"))
+    per_language = {r["lang"]: r["texts"] for r in texts.collect()}
     languages = tuple(sorted(per_language))
     if not languages:
         return LanguageModel((), np.zeros(BINS), np.zeros((BINS, 0)), 1.0)
@@ -120,8 +122,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = F
     rate = F.lit(0.0)
     for name in languages:
         rate = F.when(F.col("lang") == name, min(1.0, fit_rows / len(languages) / per_language[name])).otherwise(rate)
-    sample = rows.filter(share < rate).withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(5)))
-    got = with_arrow_columns(sample, "text", "bins binary, counts binary", _packed, drop=("text",)).toArrow().to_pylist()
+    sample = rows.filter(share < rate).distinct().withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(5)))
+    packed = with_arrow_columns(sample, "text", "bins binary, counts binary", _packed, drop=("text",))
+    got = collected(packed, 2 * fit_rows + 1000, "fit-sample")
     rows_, truth, held = [], [], []
     for r in sorted(got, key=lambda r: (r["lang"], r["bins"], r["counts"])):
         at, counts = np.frombuffer(r["bins"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import decoded, quoted, slices, with_arrow_columns, written
+from pairloom.llm.common import collected, decoded, quoted, slices, with_arrow_columns, written
 from pairloom.llm.linear import fit_ftrl
 
 BINS = 1 << 18
@@ -260,16 +260,19 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", fit_rows: int =
     place = np.full(BINS, -1, np.int64)
     place[entries] = np.arange(len(entries))
 
-    sizes = rows.agg(F.count("label").alias("known"), F.count(F.lit(1)).alias("all")).first()
+    # Texts count and enter once for each label, so that the sample keeps its size however often one repeats.
+    digest = F.xxhash64("text")
+    sizes = rows.groupBy(F.col("label").isNotNull().alias("known")).agg(F.count_distinct(digest, F.coalesce("label", F.lit(-1))).alias("texts"))
+    sizes = {r["known"]: r["texts"] for r in sizes.collect()}
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / float(1 << 32)
-    rates = [0.75 * fit_rows / max(sizes["known"], 1), 0.25 * fit_rows / max(sizes["all"] - sizes["known"], 1)]
-    sample = rows.filter(share < F.when(F.col("label").isNotNull(), rates[0]).otherwise(rates[1]))
+    rates = [0.75 * fit_rows / max(sizes.get(True, 0), 1), 0.25 * fit_rows / max(sizes.get(False, 0), 1)]
+    sample = rows.filter(share < F.when(F.col("label").isNotNull(), rates[0]).otherwise(rates[1])).distinct()
     shared = df.sparkSession.sparkContext.broadcast(place)
 
     def pack(texts: list[bytes]) -> list:
         return [[compact(decoded(t), shared.value).astype(np.uint16).tobytes() for t in texts]]
 
-    got = with_arrow_columns(sample, "text", "at binary", pack, drop=("text",)).toArrow().to_pylist()
+    got = collected(with_arrow_columns(sample, "text", "at binary", pack, drop=("text",)), 2 * fit_rows + 1000, "fit-sample")
     got.sort(key=lambda r: (-1 if r["label"] is None else r["label"], r["at"]))
     if not got:
         return ToxicityModel(place, np.empty(0))

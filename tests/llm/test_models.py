@@ -127,3 +127,22 @@ def test_held_out_toxicity(spark):
     clean = [r["predicted"] for r in got if r["toxic"] == 0]
     toxic = [r["predicted"] for r in got if r["toxic"] == 1]
     assert np.mean(clean) < 0.1 and np.mean(toxic) > 0.4
+
+
+def test_fit_samples_hold_each_text_once(documents, monkeypatch):
+    sizes = []
+
+    def counting(df, most, name, own=language.collected):
+        got = own(df, most, name)
+        sizes.append(len(got))
+        return got
+
+    monkeypatch.setattr(language, "collected", counting)
+    monkeypatch.setattr(toxicity, "collected", counting)
+    texts = [f"text number {i} of a few that many rows share, word{i * i}" for i in range(40)]
+    rows = documents([(i, texts[i % 40] if i < 800 else texts[7], "en") for i in range(1200)])
+    language.fit(rows, fit_rows=50)
+    toxicity.fit(rows.withColumn("toxic", F.lit(1)), fit_rows=60)
+    assert sizes == [40, 40]
+    with pytest.raises(ValueError, match="at most 39"):
+        language.collected(rows.select("text").distinct(), 39, "sample")
