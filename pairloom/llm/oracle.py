@@ -118,4 +118,49 @@ SELECT doc_id, n_windows IS NOT NULL AS contaminated, coalesce(item_ids, []) AS
 FROM docs LEFT JOIN found USING (r)
 """
 
-ORACLE = {"op7_chat_format": OP7, "op8_quality_rules": OP8, "op9_decontamination": OP9}
+# Deleting one code point tells all pairs one edit apart: a hole is what is left of a word and where.
+OP11 = r"""
+WITH RECURSIVE
+bits AS (SELECT i, i::BIGINT AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY i) AS entries FROM bits WHERE step = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS digits FROM runs GROUP BY doc, run),
+hashed AS (SELECT run, n, length(run) AS size, xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(range(1, length(digits), 2), lambda i: ('0x' || substr(digits, i, 2))::BIGINT)),
+  lambda state, byte: xor(state >> 8, entries[(xor(state, byte) & 255) + 1]))) AS h FROM counted, crc),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % size)::BIGINT) || substr(run, (h % size)::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS size FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, i AS at, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word AS word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT DISTINCT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.head || h.tail
+  UNION SELECT DISTINCT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.head || h.tail),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := encode(near))) AS best FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.best.less >= 2 * w.n THEN decode(b.best.near) END AS form,
+  CASE WHEN -b.best.less >= 2 * w.n THEN -b.best.less END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+OP12 = r"""
+WITH RECURSIVE
+split AS (SELECT doc_id, list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shingled AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [list_aggregate(words, 'string_agg', ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) END AS own FROM split),
+sized AS (SELECT doc_id, own, len(own) AS n FROM shingled),
+exploded AS (SELECT DISTINCT doc_id, n, unnest(own) AS shingle FROM sized),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n, count(*) AS shared FROM exploded a JOIN exploded b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (a_n + b_n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS to_id FROM sized UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.to_id),
+least AS (SELECT doc_id, min(to_id) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sized s JOIN least l USING (doc_id)
+"""
+
+ORACLE = {
+    "op7_chat_format": OP7, "op8_quality_rules": OP8, "op9_decontamination": OP9, "op11_spelling_variants": OP11, "op12_minhash_dedup": OP12,
+}

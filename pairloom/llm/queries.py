@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe, chat, decontaminate, language, quality, secrets, sharding, simhash, token_counts, toxicity
+from pairloom.llm import (
+    alignment, bpe, chat, decontaminate, language, quality, secrets, setsketch, sharding, simhash, spelling, token_counts, toxicity,
+)
 from pairloom.llm.common import table, written
 from pairloom.llm.oracle import ORACLE  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 OFFSETS = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -73,10 +76,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents, keep_text=False).drop("findings")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), OFFSETS, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_language_id, op3_byte_bpe, op4_toxicity, op5_token_counts, op6_simhash_dedup, op7_chat_format,
-        op8_quality_rules, op9_decontamination, op10_secret_scan,
+        op8_quality_rules, op9_decontamination, op10_secret_scan, op11_spelling_variants, op12_minhash_dedup,
+        op13_tokenizer_alignment,
     )
 }
