@@ -15,8 +15,9 @@ def review_packet(
     silver_resumes: DataFrame,
     postings: DataFrame,
     summaries: DataFrame,
-    query_count: int,
     out_dir: str | None = None,
+    *,
+    query_count: int,
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """Review sheet and answer key from the top-K tables of several systems."""
