@@ -11,8 +11,9 @@
 4. Decoding looks every id up in the token-byte table (of fixed size) and joins the bytes.
 
 Chunks are written to the shared folder before they are asked about, so a lost executor
-cannot renumber them, and in buckets by chunk, so only ids move to them at the end. Defined cases: null and empty texts have no tokens; invalid UTF-8
-counts as U+FFFD; texts are never cut, whatever their length; repeated rows are encoded
+cannot renumber them, and in buckets by chunk, so only ids move to them at the end.
+
+Defined cases: null and empty texts have no tokens; invalid UTF-8 counts as U+FFFD; texts are never cut, whatever their length; repeated rows are encoded
 each; columns to keep may have any names; an empty table gives an empty table.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -35,6 +37,8 @@ from pairloom.llm.common import bucketed, quoted, release_memory
 
 CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
+# Words whose ids a task remembers.
+KNOWN_WORDS = 1_000_000
 OUTPUTS = {
     "n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string",
 }
@@ -111,7 +115,25 @@ def pretoken_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return start
 
 
-def _pre_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def only_known_pattern(pattern: str) -> None:
+    """Cuts are made by character classes, which hold for one pattern alone."""
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("pre-tokens can only be cut by public_tokenizers.PATTERN")
+
+
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in blocks of ``BLOCK_BYTES`` code points or one text."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BLOCK_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        yield texts[at:stop]
+        at = stop
+
+
+def pre_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """All pre-tokens of ``texts`` as one binary array, and how many each text has."""
     joined = "\0".join(texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -205,17 +227,13 @@ def chunked(df: DataFrame, text: str, path: str, buckets: int) -> DataFrame:
             texts = ["" if t is None else t.decode("utf-8", "replace") for t in batch.column(batch.num_columns - 1).to_pylist()]
             slim = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)])) if batch.num_columns > 1 else pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows)], names=["-"])
             at = 0
-            while at < len(texts):
-                stop, block = at, 0
-                while stop < len(texts) and (stop == at or block + len(texts[stop]) <= BLOCK_BYTES):
-                    block += len(texts[stop])
-                    stop += 1
-                found, n = _pre_tokens(texts[at:stop])
-                rows.append(slim.slice(at, stop - at))
+            for block in blocks(texts):
+                found, n = pre_tokens(block)
+                rows.append(slim.slice(at, len(block)))
                 words.append(found)
                 counts.append(n)
                 size += found.nbytes
-                at = stop
+                at += len(block)
                 if size >= CHUNK_BYTES:
                     for row in _chunk_rows(number, rows, words, counts, table, buckets):
                         yield _record([row])
@@ -232,7 +250,8 @@ def chunked(df: DataFrame, text: str, path: str, buckets: int) -> DataFrame:
 def merged_words(asked: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """``(chunk, bucket, lengths, ids)``: the ids of the words of each row of ``asked``.
 
-    All rows of a bucket meet in one task, which merges each distinct word once.
+    All rows of a bucket meet in one task, which merges each distinct word once, or once
+    more after ``KNOWN_WORDS`` others, so its memory does not grow with the corpus.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +262,8 @@ def merged_words(asked: DataFrame, path: str, pattern: str, buckets: int) -> Dat
                 for word in _unpack_words(packed):
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         ids = known[word] = np.array(merge(word), "<u4").tobytes()
                     found.append(ids)
                 lengths = np.array([len(i) // 4 for i in found])
@@ -308,6 +329,7 @@ def encode_decode(
     ``ids`` equal those of the tiktoken library without special tokens; ``decoded`` is read
     back from the ids. ``buckets`` defaults to the session's shuffle partitions.
     """
+    only_known_pattern(pattern)
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"c{i}" for i in range(len(keep))]

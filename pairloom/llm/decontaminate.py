@@ -8,16 +8,15 @@ still meets its original. Windows with fewer than ``LITERALS`` literals say noth
 left out.
 
 Slots: within one alignment of a document with an item (document position less item
-position) every value of the item must stand for one value of the document throughout;
-alignments that are not consistent are dropped. An item is contained when the consistent
-windows are at least ``COVER`` of all its windows (and two, if it has two), or ``RUN``.
-With ``by_window`` an alignment is not dropped for one edited value: each value of the item
-stands for the value of the document that most of its slots hold (ties: the smallest), and
-only the windows with a slot against it are left out.
+position) a value of the item stands for the value of the document that most of its slots
+hold (ties: the smallest), and windows with a slot against that are left out, so one edited
+value hides no copy. An item is contained when the windows left are at least ``COVER`` of all
+its windows (and two, if it has two), or ``RUN``.
 
 Items with fewer than ``WINDOW`` tokens have no window and are found by no document.
-Defined cases: null and empty texts have no windows and are clean; repeated rows get the
-same verdict each; equal items are one item with several ids; null item ids are left out of
+Defined cases: null and empty texts have no windows and are clean; texts, numbers and words
+of any length are read whole, in time proportional to their length; repeated rows get the
+same verdict each; columns other than key and text are kept and never read; equal items are one item with several ids; null item ids are left out of
 the list of ids but still count as a leak; empty tables give no findings.
 """
 
@@ -31,25 +30,35 @@ WINDOW = 8
 LITERALS = 4
 COVER = 0.3
 RUN = 12
-# Windows that may be broadcast; one holds two numbers, a flag and at most WINDOW short values.
+# Windows that may be broadcast, and the bytes of the values that they hold.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
+# Windows that share a slice of a text's tokens.
+SLICE = 64
 # Words that follow a number as its unit.
 UNITS = (
     "mm|cm|km|in|ft|yd|mi|mg|kg|lb|oz|ml|min|hrs?|ms|ns|seconds?|minutes?|hours?|days?|weeks?|months?|years?|"
     "met(?:er|re)s?|kilomet(?:er|re)s?|inch(?:es)?|foot|feet|yards?|miles?|grams?|kilograms?|pounds?|ounces?|"
     "lit(?:er|re)s?|dollars?|euros?|cents?|usd|eur|percent|degrees?|[mglshtKCF]"
 )
-NUMBER, UNIT, NAME = "", "", ""
+NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+# Stand for a dot and a comma between digits, so that a number is a run of one class.
+DOT, COMMA = "\ue003", "\ue004"
+MARKS = NUMBER + UNIT + NAME + DOT + COMMA
 LITERAL_RUN = r"[\p{L}\p{M}]+"
-NUMBER_RUN = r"\p{N}+(?:[.,]\p{N}+)*"
+NUMBER_CLASS = rf"[\p{{N}}{DOT}{COMMA}]"
 
 
 def marked(text: Column) -> Column:
-    """``text`` with a mark in front of every name, number and unit, and spaces around."""
-    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
+    """``text`` with a mark in front of every name, number and unit, and spaces around.
+
+    No pattern repeats a group or starts inside a number, so none recurses or backtracks.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS))
     names = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"{NAME}$1")
-    units = F.regexp_replace(names, rf"({NUMBER_RUN}) ?({UNITS})(?![\p{{L}}\p{{M}}])", f"$1 {UNIT}$2 ")
-    return F.regexp_replace(units, f"({NUMBER_RUN})", f" {NUMBER}$1 ")
+    joined = F.regexp_replace(F.regexp_replace(names, r"(?<=\p{N})\.(?=\p{N})", DOT), r"(?<=\p{N}),(?=\p{N})", COMMA)
+    units = F.regexp_replace(joined, rf"(?<!{NUMBER_CLASS})({NUMBER_CLASS}++) ?({UNITS})(?![\p{{L}}\p{{M}}])", f"$1 {UNIT}$2 ")
+    return F.regexp_replace(units, f"({NUMBER_CLASS}++)", f" {NUMBER}$1 ")
 
 
 def templates(tokens: Column) -> Column:
@@ -60,7 +69,7 @@ def templates(tokens: Column) -> Column:
 
 def values(text: Column) -> Column:
     """Tokens of a text: marks and values as written."""
-    return F.regexp_extract_all(marked(text), F.lit(rf"[{NUMBER}{UNIT}{NAME}](?:{LITERAL_RUN}|{NUMBER_RUN})|{LITERAL_RUN}"), F.lit(0))
+    return F.regexp_extract_all(marked(text), F.lit(rf"[{NUMBER}{UNIT}{NAME}](?:{LITERAL_RUN}|{NUMBER_CLASS}+)|{LITERAL_RUN}"), F.lit(0))
 
 
 def windows(tokens: Column) -> Column:
@@ -112,35 +121,41 @@ def _agreeing(hits: DataFrame) -> DataFrame:
     return hits.join(against, alignment, "left").filter(~breaks).drop("against")
 
 
+def document_windows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``(digest, base, v, doc_at, hash)``: every window, and the slice of tokens it lies in.
+
+    A text's tokens are cut into slices of ``SLICE`` windows first, so a window's row holds
+    no more of them, however long the text is. ``base`` is the place of the slice.
+    """
+    docs = documents.select(row_digest(key, text).alias("digest"), values(quoted(text)).alias("v")).filter(F.size("v") >= WINDOW)
+    starts = F.sequence(F.lit(0), F.size("v") - WINDOW, F.lit(SLICE))
+    cut = docs.select("digest", F.explode(F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice("v", at + 1, SLICE + WINDOW - 1).alias("v")))).alias("s"))
+    parts = cut.select("digest", "s.base", "s.v").select("digest", "base", "v", templates(F.col("v")).alias("t"))
+    return parts.select("digest", "base", "v", F.posexplode(windows(F.col("t"))).alias("doc_at", "hash"))
+
+
 def leaks(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", by_window: bool = False,
+    item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``(digest, item_ids, n_windows, cover)``: documents that contain an item, by row digest."""
-    known = item_windows(benchmark, item_key, item_text)
-    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
-    # The tokens are a column of their own: inside a lambda their expression would run for every window.
-    docs = documents.select(row_digest(key, text).alias("digest"), values(quoted(text)).alias("v"))
-    docs = docs.select("digest", "v", templates(F.col("v")).alias("t"))
-    asked = docs.select("digest", "v", F.posexplode(windows(F.col("t"))).alias("doc_at", "hash"))
-    hits = asked.join(side, "hash").select(
-        "digest", "item", "total", "at", (F.col("doc_at") - F.col("at")).alias("alignment"),
+    known = written(item_windows(benchmark, item_key, item_text), "items")
+    size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "slots"))), F.lit(0))).first()
+    asked = document_windows(documents, key, text)
+    doc_slots = _slots(F.col("v"), F.col("doc_at"))
+    if size[0] <= BROADCAST_WINDOWS and size[1] <= BROADCAST_BYTES:
+        met = asked.join(F.broadcast(known), "hash").withColumn("doc_slots", F.when(F.col("slots").isNotNull(), doc_slots))
+    else:
+        # Only the eight values of a window move with its hash.
+        met = asked.withColumn("doc_slots", doc_slots).drop("v").join(known, "hash")
+    hits = met.select(
+        "digest", "item", "total", "at", (F.col("base") + F.col("doc_at") - F.col("at")).alias("alignment"),
         F.when(F.col("slots").isNotNull(), F.filter(
-            F.arrays_zip(F.col("slots").alias("item_value"), _slots(F.col("v"), F.col("doc_at")).alias("doc_value")),
+            F.arrays_zip(F.col("slots").alias("item_value"), F.col("doc_slots").alias("doc_value")),
             lambda pair: pair["item_value"].isNotNull(),
         )).alias("pairs"),
     )
-    if by_window:
-        hits = _agreeing(written(hits, "hits"))
-    # One alignment holds each window and each slot of an item once, so its lists are bounded by the item.
-    aligned = hits.groupBy("digest", "item", "total", "alignment").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    stands_for = F.size(F.array_distinct(F.transform("pairs", lambda pair: pair["item_value"])))
-    consistent = aligned.filter(F.size("pairs") == stands_for)
-    covered = consistent.select("digest", "item", "total", F.explode("at").alias("at")).groupBy("digest", "item", "total").agg(
-        F.count_distinct("at").alias("n")
-    )
+    covered = _agreeing(written(hits, "hits")).groupBy("digest", "item", "total").agg(F.count_distinct("at").alias("n"))
     needed = F.least(F.lit(RUN), F.greatest(F.least(F.lit(2), F.col("total")), F.ceil(F.col("total") * COVER)))
     contained = covered.filter(F.col("n") >= needed)
     named = benchmark.select(F.xxhash64(quoted(item_text)).alias("item"), quoted(item_key).alias("item_id")).groupBy("item").agg(
@@ -173,9 +188,9 @@ def find_contamination(
 
 def remove_contaminated(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", by_window: bool = False,
+    item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``documents`` without the rows that contain an item of the benchmark."""
-    found = leaks(documents, benchmark, key, text, item_key, item_text, by_window).select(F.col("digest").alias("_row_digest"))
+    found = leaks(documents, benchmark, key, text, item_key, item_text).select(F.col("digest").alias("_row_digest"))
     keyed = documents.withColumn("_row_digest", row_digest(key, text))
     return keyed.join(found, "_row_digest", "left_anti").drop("_row_digest")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm.decontaminate import COVER, LITERALS, NAME, NUMBER, NUMBER_RUN, RUN, UNIT, UNITS, WINDOW
+from pairloom.llm.decontaminate import COVER, LITERALS, MARKS, NAME, NUMBER, RUN, UNIT, UNITS, WINDOW
 from pairloom.llm.quality import BOILERPLATE, MAX_LOSS, MENU_LINE, MIN_WORDS, SENTENCE_ENDS
 
 
@@ -74,6 +74,8 @@ FROM based
 """
 
 _MARKS = NUMBER + UNIT + NAME
+# Digits with single dots or commas between them.
+NUMBER_RUN = r"\p{N}+(?:[.,]\p{N}+)*"
 # Without look-behind a name is found with the character before it, so names side by side
 # need a second pass.
 _NAMES = rf"'([\p{{L}}\p{{N}},] )(\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*)', '\1{NAME}\2', 'g'"
@@ -81,7 +83,7 @@ _NAMES = rf"'([\p{{L}}\p{{N}},] )(\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*)', '\1{NAME}
 
 def _marked(text: str) -> str:
     """SQL of the marked text, see ``decontaminate.marked``; a unit ends where letters end."""
-    plain = f"regexp_replace(coalesce({text}, ''), '[{_MARKS}]', ' ', 'g')"
+    plain = f"regexp_replace(coalesce({text}, ''), '[{MARKS}]', ' ', 'g')"
     names = f"regexp_replace(regexp_replace({plain}, {_NAMES}), {_NAMES})"
     units = rf"regexp_replace({names}, '({NUMBER_RUN}) ?({UNITS})([^\p{{L}}\p{{M}}]|$)', '\1 {UNIT}\2 \3', 'g')"
     return rf"regexp_replace({units}, '({NUMBER_RUN})', ' {NUMBER}\1 ', 'g')"
@@ -107,10 +109,11 @@ item_windows AS (SELECT * FROM (SELECT item, v, i, t[i:i + {WINDOW - 1}] AS part
 totals AS (SELECT item, count(*) AS total FROM item_windows GROUP BY item),
 hits AS (SELECT r, item, b.i AS at_item, d.i - b.i AS alignment, d.v[d.i:d.i + {WINDOW - 1}] AS dv, b.v[b.i:b.i + {WINDOW - 1}] AS bv
   FROM doc_windows d JOIN item_windows b USING (w)),
-slots AS (SELECT r, item, alignment, lower(unnest(bv)) AS item_value, lower(unnest(dv)) AS doc_value FROM hits),
-broken AS (SELECT DISTINCT r, item, alignment FROM slots WHERE item_value[1] IN ('{NUMBER}', '{UNIT}', '{NAME}')
-  GROUP BY r, item, alignment, item_value HAVING count(DISTINCT doc_value) > 1),
-covered AS (SELECT r, item, count(DISTINCT at_item) AS n FROM hits ANTI JOIN broken USING (r, item, alignment) GROUP BY r, item),
+slots AS (SELECT r, item, alignment, at_item, lower(unnest(bv)) AS item_value, lower(unnest(dv)) AS doc_value FROM hits),
+counted AS (SELECT r, item, alignment, item_value, doc_value, count(*) AS n FROM slots WHERE item_value[1] IN ('{NUMBER}', '{UNIT}', '{NAME}') GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r, item, alignment, item_value ORDER BY n DESC, doc_value) AS place FROM counted),
+broken AS (SELECT DISTINCT s.r, s.item, s.alignment, s.at_item FROM slots s JOIN placed p USING (r, item, alignment, item_value, doc_value) WHERE place > 1),
+covered AS (SELECT r, item, count(DISTINCT at_item) AS n FROM hits ANTI JOIN broken USING (r, item, alignment, at_item) GROUP BY r, item),
 contained AS (SELECT r, ids, n, total FROM covered JOIN totals USING (item) JOIN distinct_items USING (item)
   WHERE n >= least({RUN}, greatest(least(2, total), ceil(total * {COVER}::DOUBLE)))),
 found AS (SELECT r, list_sort(list_distinct(flatten(list(ids)))) AS item_ids, CAST(sum(n) AS BIGINT) AS n_windows, max(n / total) AS cover FROM contained GROUP BY r)

@@ -5,18 +5,20 @@ value), ``access`` (access identifiers) and ``hex`` (long hexadecimal runs). On
 other parts prove nothing: a secret-like run of 32 characters or more, or a host of a service. Each
 scope of a text, the ``SCOPE`` code points around a candidate, is searched for the
 complementary part: a weak secret counts when an access identifier or an endpoint lies in
-its scope, an endpoint when it lies near an access identifier or a named value. Both sides
-are sorted by position and met by binary search, so no pair of parts is ever listed.
+its scope, an endpoint when it lies near an access identifier or a named value. The
+complementary parts, widened by the scope, are merged into disjoint intervals and searched by
+bisection, so no pair of parts is ever listed and the length of a part widens no scope.
 
 Defined cases: null is the empty text; no finding is zero counts and empty strings; texts
-are scanned whole, whatever their length; repeated rows are scanned and reported each.
+are scanned whole, whatever their length; repeated rows are scanned and reported each; input columns with the name
+of a new one are left out, others are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,10 +54,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _near(starts: list[int], longest: int, start: int, stop: int) -> bool:
-    """Whether a part that starts at one of ``starts`` lies at most ``SCOPE`` away."""
-    at = bisect_left(starts, start - SCOPE - longest)
-    return at < len(starts) and starts[at] <= stop + SCOPE
+class Cover:
+    """Disjoint sorted intervals that cover ``spans`` widened by ``by`` on both sides."""
+
+    def __init__(self, spans: list[tuple[int, int]], by: int = 0):
+        self.starts, self.stops = [], []
+        for start, stop in sorted(spans):
+            if self.stops and start - by <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop + by)
+            else:
+                self.starts.append(start - by)
+                self.stops.append(stop + by)
+
+    def reaches(self, start: int, stop: int) -> bool:
+        """Whether an interval holds a place from ``start`` to ``stop``, borders included."""
+        at = bisect_right(self.starts, stop) - 1
+        return at >= 0 and self.stops[at] >= start
 
 
 def _mixed(run: str) -> bool:
@@ -78,27 +92,15 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     """Base spans and the weak candidates whose complementary part is in scope."""
     base = base_spans(text)
     endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    access = [s for s, kind, _ in base if kind == 1]
+    access = [(s, e) for s, kind, e in base if kind == 1]
     if not endpoints and not access:
         return base
-    taken = [(s, e) for s, _, e in base] + endpoints
-    taken.sort()
-    starts, longest = [s for s, _ in taken], max(e - s for s, e in taken)
-
-    def overlaps(start: int, stop: int) -> bool:
-        at = bisect_left(starts, start - longest)
-        while at < len(taken) and taken[at][0] < stop:
-            if taken[at][1] > start:
-                return True
-            at += 1
-        return False
-
-    anchors = sorted(access + [s for s, _ in endpoints])
-    width = max([e - s for s, k, e in base if k == 1] + [e - s for s, e in endpoints])
-    weak = [(s, e) for s, e in weak_spans(text) if not overlaps(s, e) and _near(anchors, width, s, e)]
-    keyed = sorted([s for s, kind, _ in base if kind != 2] + [s for s, _ in weak])
-    reach = max([e - s for s, k, e in base if k != 2] + [e - s for s, e in weak], default=0)
-    linked = [(s, e) for s, e in endpoints if _near(keyed, reach, s, e)]
+    taken = Cover([(s, e) for s, _, e in base] + endpoints)
+    anchors = Cover(access + endpoints, SCOPE)
+    # Spans that only touch do not overlap.
+    weak = [(s, e) for s, e in weak_spans(text) if not taken.reaches(s + 1, e - 1) and anchors.reaches(s, e)]
+    keyed = Cover([(s, e) for s, kind, e in base if kind != 2] + weak, SCOPE)
+    linked = [(s, e) for s, e in endpoints if keyed.reaches(s, e)]
     return sorted(base + [(s, 3, e) for s, e in weak] + [(s, 4, e) for s, e in linked])
 
 

@@ -38,9 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import checkpointed, quoted, release_memory, slices, with_arrow_columns, written
+from pairloom.llm.common import quoted, release_memory, slices, with_arrow_columns, written
 from pairloom.llm.simhash import SEED, components
 
 SHINGLE = 4
@@ -158,20 +158,20 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
-def sketched(df: DataFrame, text: str, size: int) -> DataFrame:
-    """``df`` without its text, with ``text_key`` (names the text), ``node`` (names the set, null if
-    empty), ``n`` (its size) and ``regs``."""
+def _names(sets: list[np.ndarray]) -> list[int | None]:
+    """A signed 64-bit name for each set, None for an empty one."""
+    names = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).view(np.int64).tolist()
+    return [name if len(own) else None for name, own in zip(names, sets)]
+
+
+def sketched(df: DataFrame, text: str, size: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``node`` (names the set, null if empty), ``n`` (its size) and ``regs``."""
 
     def compute(texts: list[bytes]) -> list:
-        nodes, sizes, regs = [], [], []
-        for raw in texts:
-            own = shingle_set(raw, size)
-            sizes.append(len(own))
-            nodes.append(np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0] if len(own) else None)
-            regs.append(registers(own).tobytes() if len(own) else None)
-        return [nodes, sizes, regs]
+        sets = [shingle_set(raw, size) for raw in texts]
+        return [_names(sets), [len(own) for own in sets], [registers(own).tobytes() if len(own) else None for own in sets]]
 
-    return with_arrow_columns(df.withColumn("text_key", F.xxhash64(quoted(text))), text, "node long, n long, regs binary", compute, drop=(text,))
+    return with_arrow_columns(df, text, "node long, n long, regs binary", compute, drop=drop)
 
 
 def _with_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -216,15 +216,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return _with_sides(pairs, sets).select("a", "b", "a_hashes", "b_hashes").mapInArrow(check, "a long, b long")
 
 
-def full_sets(df: DataFrame, text: str, size: int, asked: DataFrame) -> DataFrame:
-    """``(node, hashes)`` of the nodes that ``asked (node, text_key)`` names, from the texts."""
-    slim = df.select(quoted(text).alias("text")).withColumn("text_key", F.xxhash64("text")).join(asked.select("text_key"), "text_key", "left_semi")
+def full_sets(texts: DataFrame, size: int, asked: DataFrame) -> DataFrame:
+    """``(node, hashes)`` of the nodes that ``asked (node, text_key)`` names, from ``(text_key, text)``."""
 
-    def compute(texts: list[bytes]) -> list:
-        sets = [shingle_set(t, size) for t in texts]
-        return [[np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0] for s in sets], [s.tobytes() for s in sets]]
+    def compute(raw: list[bytes]) -> list:
+        sets = [shingle_set(t, size) for t in raw]
+        return [_names(sets), [own.tobytes() for own in sets]]
 
-    made = with_arrow_columns(slim, "text", "node long, hashes binary", compute, drop=("text",)).drop("text_key")
+    few = texts.join(asked.select("text_key"), "text_key", "left_semi")
+    made = with_arrow_columns(few, "text", "node long, hashes binary", compute, drop=("text",)).drop("text_key")
     return made.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -351,19 +351,19 @@ def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
     return components(edges)
 
 
-def distinct_nodes(rows: DataFrame) -> DataFrame:
-    """``(node, n, regs, text_key, least_id)``: one row for each different non-empty set of ``rows``."""
+def distinct_nodes(rows: DataFrame, *more: Column) -> DataFrame:
+    """``(node, n, regs, text_key)`` and ``more``: one row for each different non-empty set of ``rows``."""
     return rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.max("n").alias("n"), F.min("regs").alias("regs"), F.min("text_key").alias("text_key"), F.min("id").alias("least_id")
+        F.max("n").alias("n"), F.min("regs").alias("regs"), F.min("text_key").alias("text_key"), *more
     )
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` for every row of ``df``."""
-    slim = df.select(quoted(key).alias("id"), quoted(text).alias("text"))
-    rows = written(sketched(slim, "text", size), "sketches")
-    nodes = written(distinct_nodes(rows), "nodes")
-    roots = written(groups(nodes, lambda asked: full_sets(df, text, size, asked), least), "groups")
+    slim = df.select(quoted(key).alias("id"), F.xxhash64(quoted(text)).alias("text_key"), quoted(text).alias("text"))
+    rows = written(sketched(slim, "text", size, drop=("text",)), "sketches")
+    nodes = written(distinct_nodes(rows, F.min("id").alias("least_id")), "nodes")
+    roots = written(groups(nodes, lambda asked: full_sets(slim.select("text_key", "text"), size, asked), least), "groups")
     named = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = named.join(ids, "root").select("node", "component_id")

@@ -1,20 +1,22 @@
 """Exact token counts for every context limit from one length histogram.
 
-Texts are encoded whole and counted; equal lengths are one row of the histogram, summed
+Texts are cut into pre-tokens as in ``bpe``, whole and whatever their length, and counted; equal lengths are one row of the histogram, summed
 map-side. Suffix sums over the histogram answer, for every limit that is a length that
 occurs, the texts that are longer and the tokens left when each text is cut to the limit; a
 limit in between follows from the next lower one. Sums are taken in two steps, over spans of
 ``SPAN`` lengths and inside each span, so no window holds all lengths.
 
 Defined cases: null and empty texts have length 0 and are counted; repeated rows count each;
-an empty table has an empty histogram, and quantiles of it are null.
+a column with the name of the new one is replaced; an empty table has an empty histogram, and quantiles of it are null.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.llm.bpe import encoding
+from pairloom.llm.bpe import blocks, encoding, only_known_pattern, pre_tokens, ranks
 from pairloom.llm.common import decoded, with_arrow_columns
 
 SPAN = 512
@@ -22,14 +24,25 @@ SPAN = 512
 
 def with_length(df: DataFrame, path: str, pattern: str, text: str = "text", name: str = "n_tokens", drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the number of tokens of the whole text under a rank file."""
+    only_known_pattern(pattern)
 
     def compute(texts: list[bytes]) -> list:
-        encode = encoding(path, pattern).encode_ordinary
-        return [[len(encode(decoded(t))) for t in texts]]
+        return [pa.array(np.concatenate([np.empty(0, np.int64), *(lengths(block, path, pattern) for block in blocks([decoded(t) for t in texts]))]))]
 
     return with_arrow_columns(df, text, f"`{name}` long", compute, drop=drop)
 
 
+def lengths(texts: list[str], path: str, pattern: str) -> np.ndarray:
+    """Tokens of each text: each distinct pre-token is merged once for all of them."""
+    words, counts = pre_tokens(texts)
+    coded = words.dictionary_encode()
+    known, merge = ranks(path), encoding(path, pattern)._core_bpe.encode_single_piece
+    sizes = np.array([1 if w in known else len(merge(w)) for w in coded.dictionary.to_pylist()] or [0], np.int64)
+    ends = np.cumsum(np.concatenate(([0], sizes[coded.indices.to_numpy()])))
+    stops = np.cumsum(counts)
+    return ends[stops] - ends[stops - counts]
+
+
 def histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
     """``(length, docs)`` of every length that occurs."""
     return lengths.groupBy(F.col(name).alias("length")).agg(F.count(F.lit(1)).alias("docs"))

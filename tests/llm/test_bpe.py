@@ -17,7 +17,7 @@ def library():
 
 
 def cut(texts):
-    words, counts = bpe._pre_tokens(texts)
+    words, counts = bpe.pre_tokens(texts)
     words, out, at = words.to_pylist(), [], 0
     for n in counts.tolist():
         out.append(words[at : at + n])
@@ -81,3 +81,35 @@ def test_histogram_answers_equal_brute_force(odd, library):
         assert token_counts.truncated_total(found, limit).first()[0] == sum(min(x, limit) for x in lengths)
     for share in (0.1, 0.5, 0.9, 1.0):
         assert token_counts.length_quantile(found, share).first()[0] == next(x for x in sorted(lengths) if sum(y <= x for y in lengths) >= share * len(lengths))
+
+
+def test_other_patterns_are_refused(documents):
+    for run in (bpe.encode_decode, token_counts.with_length):
+        with pytest.raises(ValueError, match="PATTERN"):
+            run(documents([(1, "a")]), RANKS, r"\w+")
+
+
+def test_counts_equal_the_library(library):
+    pick = random.Random(6)
+    alphabet = [*"abst '  \n\t.!?12é漢\0", "'s", "  ", "🙂", " the"]
+    texts = ["".join(pick.choices(alphabet, k=pick.randrange(60))) for _ in range(800)] + ["", LONG]
+    assert token_counts.lengths(texts, RANKS, PATTERN).tolist() == [len(library.encode_ordinary(t)) for t in texts]
+
+
+def test_long_runs_are_counted_and_encoded(documents):
+    """A run of blanks that the library itself cannot take, and others without any cut."""
+    texts = ["a" + " " * 2_000_000 + "x", "ab" * 200_000, "7" * 200_000, "\n" * 300_000, "!?" * 100_000]
+    rows = documents(list(enumerate(texts)))
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.with_length(rows, RANKS, PATTERN).select("doc_id", "n_tokens").collect()}
+    encoded = {r["doc_id"]: r for r in bpe.encode_decode(rows, RANKS, PATTERN, outputs=("n_tokens", "decoded_sha256")).collect()}
+    for i, text in enumerate(texts):
+        assert counted[i] == encoded[i]["n_tokens"] > 0
+        assert encoded[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_task_forgets_words(documents, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    rows = [(i, f"unwordly{i % 5}x strangeness{i % 7}y qqzz{i}") for i in range(60)]
+    library = bpe.encoding(RANKS, PATTERN)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_decode(documents(rows), RANKS, PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}

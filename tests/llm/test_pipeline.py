@@ -4,7 +4,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from pairloom.llm import bpe, decontaminate, language, secrets, simhash
+from pairloom.llm import bpe, decontaminate, language, secrets
+from tests.llm.test_similar import plain_shingles
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -17,18 +18,18 @@ def test_pipeline_equals_its_steps_done_plainly(spark):
     said = {r["doc_id"]: model.predict((r["text"] or "").encode()) for r in rows}
     rows = [r for r in rows if said[r["doc_id"]][0] != "und" and said[r["doc_id"]][1] >= corpus_pipeline.LEAST_SCORE]
     assert len(rows) > 150
-    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in rows}
-    root = {d: d for d in prints}
+    sets = {r["doc_id"]: plain_shingles(r["text"]) for r in rows}
+    root = {d: d for d in sets}
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    ids = sorted(prints)
+    ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     rows = [r for r in rows if find(r["doc_id"]) == r["doc_id"]]

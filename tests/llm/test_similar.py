@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from pairloom.llm import similar, simhash
+from pairloom.llm import setsketch, similar, simhash
 
 
 def plain_shingles(text):
@@ -49,7 +49,7 @@ def test_edited_copies_go(spark, documents):
 
 
 def test_one_rule_for_all_sizes_of_buckets(spark, documents, monkeypatch):
-    monkeypatch.setattr(similar, "PART", 2)
+    monkeypatch.setattr(setsketch, "PART", 2)
     pick = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(edited(pick, base, pick.randrange(6)))) for i in range(40)] + [(90 + i, " ".join(base)) for i in range(5)]
@@ -61,3 +61,9 @@ def test_odd_rows_keep_one_of_each_text(odd, documents):
     assert kept.columns == odd.columns and kept.count() == 5
     assert kept.filter("doc_id = 4").count() == 2
     assert similar.keep_one(documents([])).collect() == []
+
+
+def test_of_equal_rows_one_stays(documents):
+    rows = [(7, "the same five words here")] * 300 + [(7, "The same FIVE words here")] * 5 + [(9, None)] * 40
+    kept = similar.keep_one(documents(rows).repartition(7)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [7, 9]
