@@ -5,12 +5,14 @@ damaged by rule, see ``damaged``. They are counted per text, per task and then g
 only distinct words are shuffled, however frequent one is.
 
 Search: of two words the shorter one (of equal lengths the smaller) contributes two disjoint
-chunks of q = half its length, the other its positional q-grams. One edit touches at most
-one of two disjoint chunks, so the other is a gram of the longer word, at the same place or
-one further. That is a hash join on (both lengths, chunk, shift, gram); a pair is kept at its
-first agreeing chunk and verified in the join. Grams that no chunk could meet within shift
-one are not made, so a word of any length has ten rows. Keys with more than ``PART`` chunks
-are dealt into parts, and their grams repeated for each part.
+chunks, its halves, the other its positional grams. One edit touches at most one of two
+disjoint chunks, so the other is a gram of the longer word, at the same place or one further.
+The half that the edit touches has two halves again, of which one is whole in the same way.
+So a key joins a whole half with the whole quarter of the other, which leaves out the one
+quarter that the edit may touch: eight rows for each word on either side, whatever its
+length; grams that no chunk could meet within shift one are not made. A pair is kept for the
+first quarter that can be left out, and verified in the join. Keys with more than ``PART``
+chunks are dealt into parts, and their grams repeated for each part.
 
 Variants: the form of a word is its near word with the most occurrences (ties: the smallest),
 if that has at least ``TIMES`` as many; forms are followed to the last one by doubling, so
@@ -83,33 +85,30 @@ def counted_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
 
-def _key(length: Column, longer: Column, chunk: int, shift: int, gram: Column) -> Column:
-    """One number for what chunk and gram must agree in; verification takes care of collisions."""
-    return F.xxhash64(length, longer, F.lit(chunk), F.lit(shift), gram)
+# Which quarter the edit may touch, and how much longer the other word is.
+PLACES = tuple((touched, more) for more in (0, 1) for touched in range(4))
 
 
-def _gram(word: Column, length: Column, chunk: int, shift: int) -> Column:
-    """The gram of ``word`` where ``chunk`` of a word of ``length`` lies, ``shift`` further."""
-    q = F.floor(length / 2).cast("int")
-    return F.substring(word, F.lit(1 + shift) + q * chunk, q)
-
-
-# Which chunk, how much longer the other word is, how far the gram is shifted.
-PLACES = ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1))
+def _chunks(word: Column, length: Column, touched: int, more: int) -> tuple[Column, Column]:
+    """What lies before and after the touched quarter of a word of ``length``, read from
+    ``word``, which is ``more`` longer: what follows the edit is shifted by as much."""
+    cut = lambda k: F.floor(length * k / 4).cast("int")
+    return F.substring(word, F.lit(1), cut(touched)), F.substring(word, cut(touched + 1) + (1 + more), length)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(a, a_n, b, b_n)``: every pair one edit apart, once, from distinct ``(word, n)``."""
-    size = F.length("word")
-    word = F.col("word")
-    chunks = words.select(
-        word.alias("a"), F.col("n").alias("a_n"),
-        F.explode(F.array(*(_key(size, size + more, chunk, shift, _gram(word, size, chunk, 0)) for chunk, more, shift in PLACES))).alias("key"),
-    )
-    grams = words.select(
-        word.alias("b"), F.col("n").alias("b_n"),
-        F.posexplode(F.array(*(_key(size - more, size, chunk, shift, _gram(word, size - more, chunk, shift)) for chunk, more, shift in PLACES))).alias("place", "key"),
-    )
+    size, word = F.length("word"), F.col("word")
+
+    def keys(shorter: bool) -> Column:
+        found = []
+        for place, (touched, more) in enumerate(PLACES):
+            length = size if shorter else size - more
+            found.append(F.xxhash64(F.lit(place), length, *_chunks(word, length, touched, 0 if shorter else more)))
+        return F.posexplode(F.array(*found)).alias("place", "key")
+
+    chunks = words.select(word.alias("a"), F.col("n").alias("a_n"), keys(True)).drop("place")
+    grams = words.select(word.alias("b"), F.col("n").alias("b_n"), keys(False))
     parts = chunks.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 1")
     dealt = chunks.join(parts, "key", "left").select("a", "a_n", "key", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("long").alias("part"))
     spread = grams.join(parts, "key", "left").select(
@@ -117,12 +116,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     )
     a, b, length = F.col("a"), F.col("b"), F.length("a")
     met, earlier = F.lit(False), {0: F.lit(False), 1: F.lit(False)}
-    for place, (chunk, more, shift) in enumerate(PLACES):
-        agrees = (F.length("b") == length + more) & (_gram(b, length, chunk, shift) == _gram(a, length, chunk, 0))
+    for place, (touched, more) in enumerate(PLACES):
+        agrees = F.length("b") == length + more
+        for own, other in zip(_chunks(a, length, touched, 0), _chunks(b, length, touched, more)):
+            agrees = agrees & (own == other)
         met = met | ((F.col("place") == place) & agrees & ~earlier[more])
         earlier[more] = earlier[more] | agrees
     ordered = (length < F.length("b")) | ((length == F.length("b")) & (a < b))
-    return dealt.join(spread, ["key", "part"]).filter(ordered & met & (F.levenshtein(a, b, 1) == 1)).select("a", "a_n", "b", "b_n")
+    near = ordered & (F.levenshtein(a, b, 1) == 1) & met
+    return dealt.join(spread, ["key", "part"]).filter(near).select("a", "a_n", "b", "b_n")
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
