@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from pairloom.checks import BROADCAST_ROWS, discard, require, require_columns, write_through
-from pairloom.functions.vectors import sparse_parts
+from pairloom.functions.vectors import sparse_dot, sparse_parts, squared_norm
 from pairloom.operators.lexical import Vocabulary, attach_terms, best_per_query, postings
 
 PAIR = ["query_id", "document_id"]
@@ -210,15 +205,10 @@ def score_pair_texts(
     return _pair_scores(weights(left), weights(right), pairs)
 
 
-@F.pandas_udf(DoubleType())
-def _cosine(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
+def _cosine(left: Column, right: Column) -> Column:
     """Cosine of two sparse vectors of a row; 0 if one has no direction."""
-    scores = []
-    for li, lv, ri, rv in zip(left["indices"], left["values"], right["indices"], right["values"]):
-        _, at, other = np.intersect1d(li, ri, assume_unique=True, return_indices=True)
-        length = math.sqrt(float(np.dot(lv, lv)) * float(np.dot(rv, rv)))
-        scores.append(float(np.dot(np.asarray(lv)[at], np.asarray(rv)[other])) / length if length else 0.0)
-    return pd.Series(scores)
+    length = F.sqrt(squared_norm(left["values"]) * squared_norm(right["values"]))
+    return F.when(length > 0, sparse_dot(left, right) / length).otherwise(F.lit(0.0))
 
 
 def score_labeled_pairs(query_features: DataFrame, evaluation_features: DataFrame) -> DataFrame:
@@ -238,7 +228,7 @@ def score_labeled_pairs(query_features: DataFrame, evaluation_features: DataFram
     known = query_features.groupBy(F.col("source_id").alias("resume_id")).agg(F.min(vector()).alias("asked"))
     pairs = evaluation_features.select("document_id", "resume_id", "label", "split", vector().alias("described"))
     return pairs.join(known, "resume_id").select(
-        "document_id", "resume_id", "label", "split", _cosine("asked", "described").alias("similarity_score")
+        "document_id", "resume_id", "label", "split", _cosine(F.col("asked"), F.col("described")).alias("similarity_score")
     )
 
 

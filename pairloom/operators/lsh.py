@@ -2,9 +2,10 @@
 
 Spark ML fits the projections and hashes both sides. A pair is a candidate when the
 buckets of at least one table agree and its Euclidean distance is below the threshold.
-Candidates come from an equi-join on table and bucket. The parameter grid is an audit of
-many settings at once, wide ones included in which nearly all pairs share a bucket; it
-compares the bounded query side with every row instead, in blocks.
+Vectors meet in their buckets, block by block, and leave as the best K rows and counters
+of each query. The parameter grid is an audit of many settings at once, wide ones included
+in which nearly all pairs share a bucket; it counts pairs as the catalog passes the bounded
+query side, and takes recall from the exact pairs alone.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from fractions import Fraction
 from math import gcd, lcm, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.checks import fits, require, require_columns, write_through
-from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_parts
+from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_dot, sparse_parts, squared_norm
 from pairloom.operators.lexical import best_per_query
 from pairloom.operators.scoring import (
+    BLOCK_NUMBERS,
+    BLOCK_QUERIES,
     SparseBlock,
     directed,
     id_columns,
@@ -47,7 +49,9 @@ DISTANCE_THRESHOLDS = (1.2, 1.3, 1.4)
 
 
 # Rows of a catalog bucket above which it is dealt into parts.
-HEAVY_BUCKET = 20_000
+HEAVY_BUCKET = 10_000
+# Pairs that a block holds at a time.
+BLOCK_PAIRS = 1_000_000
 
 
 def discriminating_width(num_features: int) -> float:
@@ -157,42 +161,128 @@ def _unique_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame) -
     return write_through(rows.groupBy("source_id").agg(F.min(row).alias("row")).select("source_id", "row.*"))
 
 
-@F.pandas_udf(DoubleType())
-def _distance(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-    """Euclidean distance of two sparse vectors of a row."""
-    found = []
-    for li, lv, ri, rv in zip(left["indices"], left["values"], right["indices"], right["values"]):
-        _, at, other = np.intersect1d(li, ri, assume_unique=True, return_indices=True)
-        shared = float(np.dot(np.asarray(lv)[at], np.asarray(rv)[other]))
-        found.append(sqrt(max(float(np.dot(lv, lv)) + float(np.dot(rv, rv)) - 2.0 * shared, 0.0)))
-    return pd.Series(found)
+def _entries(rows: DataFrame) -> DataFrame:
+    """One row per table: its bucket, and all that the block of that bucket needs."""
+    return rows.select("source_id", "indices", "values", "buckets", F.posexplode("buckets").alias("table", "bucket"))
 
 
-def bucket_pairs(queries: DataFrame, catalog: DataFrame, heavy: int = HEAVY_BUCKET) -> DataFrame:
-    """``(query_id, document_id)`` of every pair that shares a bucket, once each.
+def _grid(queries: DataFrame, catalog: DataFrame, heavy: int, emit_all: bool) -> DataFrame:
+    """``(table, bucket, parts, query_parts)`` of every bucket that both sides have.
 
-    ``queries`` and ``catalog`` are ``(source_id, buckets)``. An equi-join on table and
-    bucket; a catalog bucket of more than ``heavy`` rows is dealt into parts by its counted
-    size, and only queries of that bucket visit every part. A pair is kept in the first
-    table in which it agrees, so nothing needs deduplicating.
+    A block holds at most ``heavy`` catalog rows and one query block of ``scoring``; where
+    every pair is emitted, no more pairs than ``BLOCK_PAIRS``.
     """
+    key = ["table", "bucket"]
+
+    def sizes(side: DataFrame, prefix: str) -> DataFrame:
+        numbers = F.sum(F.size("indices")).alias(f"{prefix}numbers")
+        return _entries(side).groupBy(*key).agg(F.count(F.lit(1)).alias(f"{prefix}rows"), numbers)
+
+    both = sizes(catalog, "").join(sizes(queries, "query_"), key)
+    rows = F.greatest(F.col("rows") / heavy, F.col("numbers") / BLOCK_NUMBERS)
+    asked = F.greatest(F.col("query_rows") / BLOCK_QUERIES, F.col("query_numbers") / BLOCK_NUMBERS)
+    asked = F.ceil(F.when(asked > 1, 2 * asked).otherwise(F.lit(1.0)))
+    if emit_all:
+        rows = F.greatest(rows, F.col("rows") * F.col("query_rows") / asked / BLOCK_PAIRS)
+    return both.select(*key, F.ceil(rows).cast("int").alias("parts"), asked.cast("int").alias("query_parts"))
+
+
+class Nearest:
+    """The nearest K rows per query among the pairs of one block, or all of them."""
+
+    def __init__(self, top_k: int | None):
+        self.top_k, self.found, self.held = top_k, [], 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        self.found.append((query, ids, distance))
+        self.held += len(query)
+        if self.top_k is not None and self.held > BLOCK_PAIRS:
+            self.found = [self.rows()]
+            self.held = len(self.found[0][0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        empty = (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
+        query, ids, distance = (np.concatenate(parts) for parts in zip(empty, *self.found))
+        if self.top_k is None or not len(query):
+            return query, ids, distance
+        order = np.lexsort((distance, query))
+        # Only a query's rows up to its K-th distance are compared by id.
+        query, ids, distance = query[order], ids[order], distance[order]
+        first = np.searchsorted(query, query)
+        last = np.minimum(first + self.top_k, np.searchsorted(query, query, "right")) - 1
+        near = distance <= distance[last]
+        query, ids, distance = query[near], ids[near], distance[near]
+        order = np.lexsort((ids, distance, query))
+        query, ids, distance = query[order], ids[order], distance[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.top_k
+        return query[keep], ids[keep], distance[keep]
+
+
+def bucket_blocks(
+    queries: DataFrame, catalog: DataFrame, threshold: float, top_k: int | None = None, heavy: int = HEAVY_BUCKET
+) -> DataFrame:
+    """``(query_id, document_id, distance, pairs)`` of the pairs below ``threshold`` that share a
+    bucket: the nearest ``top_k`` per query and block, or all pairs.
+
+    Both sides are hashed rows with unique ids. Vectors are brought to their buckets once
+    and compared there, blocks of catalog rows with the block of the bucket's queries; a
+    large bucket on either side is cut into a grid of blocks by its counted size. A pair
+    counts in the first table in which it agrees. Rows without a document carry in
+    ``pairs`` how many pairs a block had for a query.
+    """
+    key, block_key = ["table", "bucket"], ["table", "bucket", "part", "query_part"]
+    grid = _grid(queries, catalog, heavy, top_k is None)
+
+    def part(of: str):
+        return F.pmod(F.xxhash64("source_id"), F.col(of)).cast("int")
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    vector = ["source_id", "indices", "values", "buckets"]
+    stored = _entries(catalog).join(grid, key)
+    stored = stored.select(*key, part("parts").alias("part"), every("query_parts").alias("query_part"), *vector)
+    asked = _entries(queries).join(grid, key)
+    asked = asked.select(*key, every("parts").alias("part"), part("query_parts").alias("query_part"), *vector)
+    schema = f"{id_columns(queries, catalog)}, distance double, pairs bigint"
+    output = to_arrow_schema(catalog.sparkSession.createDataFrame([], schema).schema)
+
+    def compare(of: tuple, rows: pa.Table, questions: pa.Table) -> pa.Table:
+        table = of[0].as_py()
+        nearest, batch = Nearest(top_k), one_batch(rows.select(vector))
+        block = HashedBlock.build(questions.select(vector))
+        vectors = SparseBlock(**block.vectors)
+        counts = np.zeros(len(block.ids), np.int64)
+        for stripe in stripes(batch) if len(block.ids) else ():
+            buckets = bucket_matrix(stripe)
+            meet = np.ones((stripe.num_rows, len(block.ids)), bool)
+            for earlier in range(table):
+                meet &= buckets[:, earlier, None] != block.buckets[None, :, earlier]
+            live = meet.any(axis=1)
+            ids, indices, values, owners = sparse_stripe(stripe)
+            used = live[owners]
+            dots = vectors.dot(indices[used], values[used], owners[used], len(ids))
+            squares = np.bincount(owners, values * values, len(ids))
+            gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
+            distance = np.sqrt(np.maximum(gap, 0.0))
+            row, query = np.nonzero(meet & (distance < threshold))
+            counts += np.bincount(query, minlength=len(counts))
+            nearest.add(query, ids[row], distance[row, query])
+        query, ids, distance = nearest.rows()
+        some = np.flatnonzero(counts)
+        pairs = pair_batch(block.ids[query], ids, distance=pa.array(distance), pairs=pa.nulls(len(ids), pa.int64()))
+        totals = pair_batch(block.ids[some], np.full(len(some), None), distance=pa.nulls(len(some), pa.float64()), pairs=pa.array(counts[some]))
+        return pa.Table.from_batches([pairs.cast(output), totals.cast(output)])
+
+    return stored.groupBy(*block_key).cogroup(asked.groupBy(*block_key)).applyInArrow(compare, schema)
 
-    def entries(side: DataFrame, name: str) -> DataFrame:
-        return side.select(
-            F.col("source_id").alias(name), F.col("buckets").alias(f"{name}_buckets"),
-            F.posexplode("buckets").alias("table", "bucket"),
-        )
 
-    stored = entries(catalog, "document_id")
-    sizes = stored.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
-    parts = sizes.select("table", "bucket", F.ceil(F.col("n") / heavy).cast("int").alias("parts"))
-    of = F.coalesce("parts", F.lit(1))
-    dealt = stored.join(parts, ["table", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("document_id"), of).cast("int"))
-    asked = entries(queries, "query_id").join(parts, ["table", "bucket"], "left")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), of - 1)))
-    agrees = F.zip_with("query_id_buckets", "document_id_buckets", lambda q, d: q == d)
-    met = asked.drop("parts").join(dealt.drop("parts"), ["table", "bucket", "part"])
-    return met.filter(F.array_position(agrees, F.lit(True)) == F.col("table") + 1).select("query_id", "document_id")
+@dataclass
+class LshResult:
+    """Ranked rows of a search, and how many candidates each query had."""
+
+    ranked: DataFrame
+    counts: DataFrame
 
 
 def lsh_candidates(
@@ -202,21 +292,66 @@ def lsh_candidates(
     threshold: float = DISTANCE_THRESHOLD,
     heavy: int = HEAVY_BUCKET,
 ) -> DataFrame:
-    """``(query_id, document_id, distance)`` of candidate pairs, distance below the threshold.
+    """``(query_id, document_id, distance)`` of candidate pairs, distance below the threshold."""
+    for side in (query_features, catalog_features):
+        require_columns(side, ["source_id", "features"])
+    queries, catalog = _unique_rows(model, query_features), _unique_rows(model, catalog_features)
+    found = bucket_blocks(queries, catalog, threshold, None, heavy)
+    return found.filter(F.col("document_id").isNotNull()).drop("pairs")
+
+
+def lsh_search(
+    model: BucketedRandomProjectionLSHModel,
+    query_features: DataFrame,
+    catalog_features: DataFrame,
+    threshold: float = DISTANCE_THRESHOLD,
+    top_k: int = 10,
+    heavy: int = HEAVY_BUCKET,
+) -> LshResult:
+    """The reranked top K of every query and the number of its candidates, from one pass.
 
-    Pairs are found by their buckets alone; the vectors join once per pair afterwards.
+    Equal to ``rerank`` of ``lsh_candidates``, but no row per pair leaves a task: a block
+    hands on at most K rows and one counter per query.
     """
+    require(top_k >= 1, "top_k must be at least 1")
     for side in (query_features, catalog_features):
         require_columns(side, ["source_id", "features"])
     queries, catalog = _unique_rows(model, query_features), _unique_rows(model, catalog_features)
+    found = write_through(bucket_blocks(queries, catalog, threshold, top_k, heavy))
+    ranked = rerank(found.filter(F.col("document_id").isNotNull()).drop("pairs"), top_k)
+    return LshResult(ranked, found.filter(F.col("document_id").isNull()).groupBy("query_id").agg(F.sum("pairs").alias("candidates")))
 
-    def vectors(side: DataFrame, key: str, name: str) -> DataFrame:
-        return side.select(F.col("source_id").alias(key), F.struct("indices", "values").alias(name))
 
-    pairs = bucket_pairs(queries.select("source_id", "buckets"), catalog.select("source_id", "buckets"), heavy)
-    joined = pairs.join(vectors(catalog, "document_id", "stored"), "document_id").join(vectors(queries, "query_id", "asked"), "query_id")
-    measured = joined.select("query_id", "document_id", _distance("asked", "stored").alias("distance"))
-    return measured.filter(F.col("distance") < threshold)
+def measured_pairs(
+    pairs: DataFrame, model: BucketedRandomProjectionLSHModel, query_features: DataFrame, catalog_features: DataFrame
+) -> DataFrame:
+    """``(query_id, document_id, distance, query_buckets, buckets)`` of given pairs.
+
+    Only the few rows of ``pairs`` fetch vectors; distances are taken inside the row.
+    """
+
+    def side(features: DataFrame, wanted: str, prefix: str) -> DataFrame:
+        ids = pairs.select(F.col(wanted).alias("source_id")).distinct()
+        rows = hashed_rows(model, features.join(ids, "source_id", "left_semi"))
+        row = F.min(F.struct("indices", "values", "buckets")).alias("row")
+        return rows.groupBy(F.col("source_id").alias(wanted)).agg(row).select(
+            wanted, F.struct("row.indices", "row.values").alias(f"{prefix}vector"), F.col("row.buckets").alias(f"{prefix}buckets")
+        )
+
+    met = pairs.select("query_id", "document_id").distinct()
+    met = met.join(side(query_features, "query_id", "query_"), "query_id").join(side(catalog_features, "document_id", ""), "document_id")
+    q, d = F.col("query_vector"), F.col("vector")
+    gap = squared_norm(q["values"]) + squared_norm(d["values"]) - 2 * sparse_dot(q, d)
+    return met.select("query_id", "document_id", F.sqrt(F.greatest(gap, F.lit(0.0))).alias("distance"), "query_buckets", "buckets")
+
+
+def found_pairs(
+    pairs: DataFrame, model: BucketedRandomProjectionLSHModel, query_features: DataFrame, catalog_features: DataFrame, threshold: float
+) -> DataFrame:
+    """Those of given pairs that are candidates of the index: recall needs no candidate list."""
+    agrees = F.exists(F.zip_with("query_buckets", "buckets", lambda q, d: q == d), lambda same: same)
+    measured = measured_pairs(pairs, model, query_features, catalog_features)
+    return measured.filter(agrees & (F.col("distance") < threshold)).select("query_id", "document_id")
 
 
 def rerank(candidates: DataFrame, top_k: int) -> DataFrame:
@@ -279,6 +414,124 @@ def grid_candidates(
     )
 
 
+def _grid_counts(queries: DataFrame, catalog: DataFrame, multiples: list[int], thresholds, **bounds) -> DataFrame:
+    """``(query_id, counts)``: pairs per width, threshold and first agreeing table, flattened.
+
+    Tasks pass the catalog by the query block once and hand on one row of counters per
+    query, never a pair.
+    """
+
+    def counted(block, batches):
+        vectors, tables = SparseBlock(**block.vectors), block.buckets.shape[1]
+        width = len(block.ids)
+        counts = np.zeros((len(multiples), len(thresholds), width * tables), np.int64)
+        for batch in batches:
+            for stripe in stripes(batch):
+                stripe = directed(stripe)
+                if not stripe.num_rows or not width:
+                    continue
+                first = _first_tables(bucket_matrix(stripe), block.buckets, multiples)
+                ids, indices, values, owners = sparse_stripe(stripe)
+                squares = np.bincount(owners, values * values, len(ids))
+                gap = squares[:, None] + vectors.norms[None, :] - 2.0 * vectors.dot(indices, values, owners, len(ids))
+                distance = np.sqrt(np.maximum(gap, 0.0))
+                cells = [np.nonzero(distance < limit) for limit in thresholds]
+                for w in range(len(multiples)):
+                    for d, (row, query) in enumerate(cells):
+                        table = first[w, row, query]
+                        hit = table < tables
+                        counts[w, d] += np.bincount(query[hit] * tables + table[hit], minlength=width * tables)
+        per_query = counts.reshape(len(multiples), len(thresholds), width, tables).transpose(2, 0, 1, 3).reshape(width, -1)
+        some = np.flatnonzero(per_query.any(axis=1))
+        ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * per_query.shape[1])
+        ids = pa.array(block.ids[some].tolist(), None if len(some) else pa.string())
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(per_query[some].ravel()))], names=["query_id", "counts"])
+
+    schema = f"query_id {queries.schema['source_id'].dataType.simpleString()}, counts array<bigint>"
+    parts = over_blocks(queries, catalog, F.size("indices"), HashedBlock, counted, schema, **bounds)
+    summed = parts.select("query_id", F.posexplode("counts").alias("cell", "n")).groupBy("query_id", "cell").agg(F.sum("n").alias("n"))
+    return summed.filter("n > 0")
+
+
+def audit_grid(
+    query_features: DataFrame,
+    catalog_features: DataFrame,
+    exact: DataFrame,
+    top_k: int = 10,
+    widths=BUCKET_LENGTHS,
+    table_counts=HASH_TABLE_COUNTS,
+    thresholds=DISTANCE_THRESHOLDS,
+    seed: int = SEED,
+    **bounds,
+) -> DataFrame:
+    """One row per setting, as ``evaluate_grid`` gives it, without a table of candidates.
+
+    ``exact`` holds at least the ``top_k`` nearest documents of each query. Volumes come as
+    counters; recall comes from the exact pairs alone: a candidate nearer than an exact pair
+    is an exact pair itself, so ranks among the exact pairs decide who is in the final list.
+    """
+    base, multiples = common_width(widths)
+    tables = max(table_counts)
+    model = fit_index(catalog_features, base, tables, seed)
+    per_cell = write_through(
+        _grid_counts(hashed_rows(model, query_features), hashed_rows(model, catalog_features), multiples, thresholds, **bounds)
+    )
+    settings = [(w, d, t) for w in range(len(widths)) for d in range(len(thresholds)) for t in table_counts]
+
+    def named(w, d, t) -> list:
+        return [
+            F.lit(float(widths[w])).alias("bucket_length"), F.lit(t).alias("num_hash_tables"),
+            F.lit(float(thresholds[d])).alias("distance_threshold"),
+        ]
+
+    def of(w, d, t):
+        start = (w * len(thresholds) + d) * tables
+        return F.col("cell").between(start, start + t - 1)
+
+    per_query = per_cell.groupBy("query_id").agg(
+        *[F.coalesce(F.sum(F.when(of(*s), F.col("n"))), F.lit(0)).alias(f"n{i}") for i, s in enumerate(settings)]
+    )
+    volumes = per_query.agg(F.array(*[
+        F.struct(*named(*s), F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias("candidate_pairs"), F.count_if(F.col(f"n{i}") > 0).alias("queries_covered"))
+        for i, s in enumerate(settings)
+    ]).alias("s")).select(F.inline("s"))
+
+    truth = exact.select("query_id", "document_id").distinct()
+    measured = measured_pairs(truth, model, query_features, catalog_features)
+
+    def first_table(multiple: int):
+        bucket = lambda value: F.floor(value / multiple)
+        same = F.zip_with("query_buckets", "buckets", lambda q, d: bucket(q) == bucket(d))
+        at = F.array_position(same, F.lit(True))
+        return F.when(at > 0, at - 1)
+
+    firsts = F.array(*[first_table(m) for m in multiples])
+    located = write_through(measured.select("query_id", "document_id", "distance", firsts.alias("first")))
+    keys = ["bucket_length", "num_hash_tables"]
+    indexes = F.array(*[
+        F.when(F.get("first", F.lit(w)) < t, F.struct(F.lit(float(widths[w])).alias("bucket_length"), F.lit(t).alias("num_hash_tables")))
+        for w in range(len(widths)) for t in table_counts
+    ])
+    per_index = located.select("query_id", "document_id", "distance", F.explode(F.array_compact(indexes)).alias("index")).select(
+        "index.*", "query_id", "document_id", "distance"
+    )
+    place = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("distance", "document_id"))
+    hits = per_index.withColumn("place", place).groupBy(*keys).agg(
+        *[F.count_if(F.col("distance") < limit).alias(f"c{d}") for d, limit in enumerate(thresholds)],
+        *[F.count_if((F.col("distance") < limit) & (F.col("place") <= top_k)).alias(f"f{d}") for d, limit in enumerate(thresholds)],
+    ).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(float(limit)).alias("distance_threshold"), F.col(f"c{d}").alias("candidate_hits"), F.col(f"f{d}").alias("final_hits"))
+        for d, limit in enumerate(thresholds)
+    ])))
+    size = F.greatest(truth.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    setting = [*keys, "distance_threshold"]
+    return volumes.join(hits, setting, "left").select(
+        *setting, "candidate_pairs", "queries_covered",
+        F.round(F.coalesce("candidate_hits", F.lit(0)) / size, 6).alias("candidate_recall"),
+        F.round(F.coalesce("final_hits", F.lit(0)) / size, 6).alias("final_recall"),
+    )
+
+
 def evaluate_grid(
     candidates: DataFrame,
     exact: DataFrame,

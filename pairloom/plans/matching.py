@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.checks import cut_lineage, require
+from pairloom.functions.keys import pair_digest
 from pairloom.operators import documents, embedding, evaluation, features, lsh, scoring
 from pairloom.operators.selection import select_queries
 from pairloom.plans.silver import land
@@ -63,12 +64,29 @@ def featurise(
 def pick_sides(
     silver_jobs: DataFrame, silver_resumes: DataFrame, split: str, limit: int | None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Catalog documents, query documents and the chosen silver resumes."""
+    """Catalog documents, query documents and the chosen silver resumes.
+
+    A resume that came with several roles asks one question for each. Its first role keeps
+    the resume's id, the others get ids of their own in ``resume_id``; ``owner`` names the
+    resume of all of them. Rows that repeat a resume and role ask once.
+    """
     chosen = select_queries(silver_resumes, "resume_id", split, limit)
-    # Rows that repeat a resume ask the same question once; their pairs are all scored.
-    asked = documents.resume_documents(chosen)
-    texts = [F.min(c).alias(c) for c in asked.columns if c != "source_id"]
-    return documents.job_documents(silver_jobs), asked.groupBy("source_id").agg(*texts).select(*asked.columns), chosen
+    role = F.coalesce("role_normalized", F.lit(""))
+    first = chosen.groupBy("resume_id").agg(F.min(role).alias("first_role"))
+    question = F.when(role == F.col("first_role"), F.col("resume_id")).otherwise(pair_digest(F.col("resume_id"), role))
+    asked = chosen.join(first, "resume_id").withColumns({"owner": F.col("resume_id"), "resume_id": question}).drop("first_role")
+    documents_ = documents.resume_documents(asked)
+    row = F.min(F.struct(*[c for c in documents_.columns if c != "source_id"])).alias("row")
+    queries = documents_.groupBy("source_id").agg(row).select("source_id", "row.*").select(*documents_.columns)
+    return documents.job_documents(silver_jobs), queries, asked
+
+
+def merge_questions(ranked: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
+    """One list per resume from the lists of its questions: a document counts as near as it
+    is to the nearest of them. The first K of all questions hold the first K of the resume."""
+    owners = asked.select(F.col("resume_id").alias("query_id"), "owner").distinct()
+    nearest = ranked.join(owners, "query_id").groupBy(F.col("owner").alias("query_id"), "document_id").agg(F.min("distance").alias("distance"))
+    return lsh.rerank(nearest, top_k)
 
 
 def refuse_test_split(split: str) -> None:
@@ -97,8 +115,8 @@ def match(
     catalog, queries, chosen = pick_sides(silver_jobs, silver_resumes, split, limit)
     sides = featurise(catalog, queries, False, num_features, min_document_frequency, out_dir, files)
     index = lsh.fit_index(sides.catalog_features, bucket_length, num_hash_tables, seed)
-    candidates = lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
-    ranked = cut_lineage(lsh.rerank(candidates, top_k))
+    search = lsh.lsh_search(index, sides.query_features, sides.catalog_features, distance_threshold, top_k)
+    ranked = cut_lineage(merge_questions(search.ranked, chosen, top_k))
 
     labelled = documents.evaluation_documents(chosen)
     scores = cut_lineage(
@@ -113,8 +131,8 @@ def match(
 
     metrics = quality.select(
         count(sides.catalog_features.select("source_id")).alias("job_documents"),
-        count(sides.query_features.select("source_id")).alias("resume_queries"),
-        count(candidates).alias("candidate_pairs"),
+        count(chosen.select("owner").distinct()).alias("resume_queries"),
+        search.counts.agg(F.coalesce(F.sum("candidates"), F.lit(0))).scalar().alias("candidate_pairs"),
         count(ranked.select("query_id").distinct()).alias("matched_resumes"),
         count(ranked).alias("recommendation_rows"),
         "evaluated_pairs",
@@ -149,17 +167,16 @@ def audit_index(
     sides = featurise(catalog, queries, num_features=num_features, out_dir=out_dir)
     exact = cut_lineage(sides.exact(top_k))
     index = lsh.fit_index(sides.catalog_features, bucket_length, num_hash_tables, seed)
-    candidates = lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, distance_threshold)
-    ranked = cut_lineage(lsh.rerank(candidates, top_k))
-    # Of the candidates only their number and those among the exact pairs are kept.
-    found = cut_lineage(candidates.join(exact.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi"))
+    search = lsh.lsh_search(index, sides.query_features, sides.catalog_features, distance_threshold, top_k)
+    ranked = cut_lineage(search.ranked)
+    found = cut_lineage(lsh.found_pairs(exact, index, sides.query_features, sides.catalog_features, distance_threshold))
     jobs = catalog.agg(F.count(F.lit(1))).scalar()
     asked = queries.agg(F.count(F.lit(1))).scalar()
     metrics = evaluation.recall_report(exact, found, ranked).select(
         jobs.alias("job_documents"),
         asked.alias("resume_queries"),
         (jobs * asked).alias("exhaustive_pairs"),
-        candidates.agg(F.count(F.lit(1))).scalar().alias("candidate_pairs"),
+        search.counts.agg(F.coalesce(F.sum("candidates"), F.lit(0))).scalar().alias("candidate_pairs"),
         ranked.select("query_id").distinct().agg(F.count(F.lit(1))).scalar().alias("matched_resumes"),
         F.round("candidate_recall", METRIC_DECIMALS).alias("candidate_recall"),
         F.round("final_recall", METRIC_DECIMALS).alias("final_recall"),
@@ -190,12 +207,9 @@ def tune_index(
     refuse_test_split(split)
     sides = featurise(catalog, queries, num_features=num_features, out_dir=out_dir)
     exact = cut_lineage(sides.exact(top_k))
-    candidates = cut_lineage(
-        lsh.grid_candidates(
-            sides.query_features, sides.catalog_features, widths, max(table_counts), max(thresholds), seed
-        )
+    grid = lsh.audit_grid(
+        sides.query_features, sides.catalog_features, exact, top_k, widths, table_counts, thresholds, seed
     )
-    grid = lsh.evaluate_grid(candidates, exact, top_k, widths, table_counts, thresholds)
     if out_dir is not None:
         grid = cut_lineage(grid)
         write_csv(grid, f"{out_dir}/results_csv")

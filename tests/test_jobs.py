@@ -158,3 +158,24 @@ def test_source_rules_pass_on_clean_tables(spark, raw_dir):
     parts = [Q.check_table(TB.read_source(spark, raw_dir, name), name, rules) for name, rules in PS.SOURCE_RULES.items()]
     report = Q.enforce(Q.quality_report(*parts))
     assert report.filter("NOT passed").isEmpty()
+
+
+def test_a_resume_with_two_roles_asks_two_questions(spark, silver, tmp_path):
+    jobs, _, resumes, _, _ = silver
+    one = resumes.orderBy("resume_id").limit(1)
+    other = one.withColumn("role_normalized", F.lit("zz other role")).withColumn("resume_row", F.lit("second")).select(*resumes.columns)
+    both = resumes.unionByName(other).unionByName(one)
+    _, plain, _ = matching.pick_sides(jobs, resumes, "all", None)
+    _, queries, asked = matching.pick_sides(jobs, both, "all", None)
+    assert queries.count() == plain.count() + 1 == queries.select("source_id").distinct().count()
+    assert queries.join(plain, ["source_id", "combined_text"], "left_anti").first().combined_text.startswith("zz other role")
+    assert asked.count() == both.count() and asked.select("owner").distinct().count() == plain.count()
+    owner = one.first().resume_id
+    second = asked.filter((F.col("owner") == owner) & (F.col("resume_id") != owner)).first().resume_id
+    lists = spark.createDataFrame(
+        [(owner, "a", 0.1), (owner, "b", 0.4), (second, "b", 0.2), (second, "c", 0.3)], "query_id string, document_id string, distance double"
+    )
+    merged = matching.merge_questions(lists, asked, 3).orderBy("rank").collect()
+    assert [(r.query_id, r.document_id, r.distance) for r in merged] == [(owner, "a", 0.1), (owner, "b", 0.2), (owner, "c", 0.3)]
+    ranked, metrics = matching.match(jobs, both, split="all", num_features=4096, distance_threshold=1.3, top_k=4)
+    assert metrics.first().resume_queries == plain.count() and ranked.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 4

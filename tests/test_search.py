@@ -257,6 +257,68 @@ def test_grid_equals_one_fit_per_setting(hashed):
         assert row.final_recall == pytest.approx(final / len(truth), abs=1e-6)
 
 
+@pytest.mark.parametrize("bounds", [{}, {"heavy": 3}])
+def test_search_equals_the_rerank_of_all_candidates(hashed, bounds):
+    asked, features = hashed
+    model = lsh.fit_index(features, lsh.discriminating_width(4096), 4)
+    pairs = lsh.lsh_candidates(model, asked, features, 1.38)
+    expected = {(r.query_id, r.rank, r.document_id) for r in lsh.rerank(pairs, 3).collect()}
+    found = lsh.lsh_search(model, asked, features, 1.38, 3, **bounds)
+    assert {(r.query_id, r.rank, r.document_id) for r in found.ranked.collect()} == expected
+    sizes = {r.query_id: r.candidates for r in found.counts.collect()}
+    assert sizes == {r.query_id: r["count"] for r in pairs.groupBy("query_id").count().collect()}
+    # Vectors meet in buckets: nothing after the blocks is joined, and no block hands on its pairs.
+    assert found.ranked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_search_cuts_many_queries_and_keeps_ties_by_id(hashed, monkeypatch):
+    asked, features = hashed
+    model = lsh.fit_index(features, 0.8, 2)
+    whole = lsh.lsh_search(model, asked, features, 1.4, 2).ranked.collect()
+    monkeypatch.setattr(lsh, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(lsh, "BLOCK_PAIRS", 5)
+    cut = lsh.lsh_search(model, asked, features, 1.4, 2, heavy=7).ranked.collect()
+    assert sorted(cut) == sorted(whole)
+    import numpy as np
+
+    nearest = lsh.Nearest(2)
+    nearest.add(np.array([0, 0, 0, 1]), np.array(["c", "a", "b", "z"], object), np.array([0.5, 0.5, 0.5, 0.1]))
+    assert [x.tolist() for x in nearest.rows()] == [[0, 0, 1], ["a", "b", "z"], [0.5, 0.5, 0.1]]
+
+
+def test_audit_equals_the_grid_over_all_candidates(hashed):
+    from pairloom.checks import cut_lineage
+
+    asked, features = hashed
+    widths, counts, thresholds, k = (0.01, 0.015, 0.04, 0.8), (2, 5), (1.3, 1.38), 3
+    exact = cut_lineage(S.sparse_top_k(FE.sparse_rows(asked), FE.sparse_rows(features), k))
+    pairs = cut_lineage(lsh.grid_candidates(asked, features, widths, 5, 1.38))
+    expected = sorted(map(tuple, lsh.evaluate_grid(pairs, exact, k, widths, counts, thresholds).collect()))
+    assert sorted(map(tuple, lsh.audit_grid(asked, features, exact, k, widths, counts, thresholds).collect())) == expected
+    assert sorted(map(tuple, lsh.audit_grid(asked, features, exact, k, widths, counts, thresholds, max_rows=5).collect())) == expected
+
+
+def test_found_pairs_are_those_of_the_candidates(hashed):
+    asked, features = hashed
+    exact = S.sparse_top_k(FE.sparse_rows(asked), FE.sparse_rows(features), 5)
+    model = lsh.fit_index(features, lsh.discriminating_width(4096), 3)
+    candidates = lsh.lsh_candidates(model, asked, features, 1.35)
+    expected = {(r.query_id, r.document_id) for r in exact.join(candidates, ["query_id", "document_id"], "left_semi").collect()}
+    got = [(r.query_id, r.document_id) for r in lsh.found_pairs(exact, model, asked, features, 1.35).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and 0 < len(expected) < exact.count()
+
+
+def test_sparse_dot_of_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.functions.vectors import sparse_dot
+
+    rows = [(([1, 4, 9], [1.0, 2.0, 3.0]), ([4, 9, 11], [5.0, 7.0, 1.0])), (([], []), ([1], [1.0])), (([2], [0.5]), ([2], [4.0]))]
+    kind = "a struct<indices array<int>, values array<double>>, b struct<indices array<int>, values array<double>>"
+    frame = spark.createDataFrame(rows, kind).select(sparse_dot(F.col("a"), F.col("b")).alias("dot"))
+    assert [r.dot for r in frame.collect()] == [31.0, 0.0, 2.0]
+
+
 def test_fallback_serves_uncovered_queries_only(hashed):
     asked, features = hashed
     index = lsh.fit_index(features, 0.8, 3)

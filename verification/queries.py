@@ -396,26 +396,26 @@ def ngram_ml_topk(spark, sf):
     return _sides(spark, sf, ngrams=True).exact(10)
 
 
-def _candidates(spark, sf, threshold=1.3):
+def _indexed(spark, sf):
     sides = _sides(spark, sf)
     index = lsh.fit_index(sides.catalog_features, lsh.discriminating_width(FE.UNIGRAM_FEATURES), 12)
-    return sides, lsh.lsh_candidates(index, sides.query_features, sides.catalog_features, threshold)
+    return sides, (index, sides.query_features, sides.catalog_features)
 
 
 @query
 def lsh_candidates(spark, sf):
-    return _candidates(spark, sf)[1]
+    return lsh.lsh_candidates(*_indexed(spark, sf)[1], 1.3)
 
 
 @query
 def lsh_topk(spark, sf):
-    return lsh.rerank(_candidates(spark, sf)[1], 10)
+    return lsh.lsh_search(*_indexed(spark, sf)[1], 1.3, 10).ranked
 
 
 @query
 def lsh_with_fallback(spark, sf):
-    sides, candidates = _candidates(spark, sf, 1.2)
-    ranked = cut_lineage(lsh.rerank(candidates, 10))
+    sides, index = _indexed(spark, sf)
+    ranked = cut_lineage(lsh.lsh_search(*index, 1.2, 10).ranked)
     return lsh.with_fallback(
         ranked, FE.sparse_rows(sides.query_features), FE.sparse_rows(sides.catalog_features), 10
     )
