@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.checks import fits, require, require_columns, write_through
 from pairloom.functions.vectors import distance_to_cosine, lsh_buckets, sparse_dot, sparse_parts, squared_norm
-from pairloom.operators.lexical import best_per_query
+from pairloom.operators.lexical import SCORE_DECIMALS, best_per_query
 from pairloom.operators.scoring import (
     BLOCK_NUMBERS,
     BLOCK_QUERIES,
@@ -33,6 +33,7 @@ from pairloom.operators.scoring import (
     over_blocks,
     pair_batch,
     ragged,
+    round_half_up,
     sparse_stripe,
     sparse_top_k,
     stripes,
@@ -85,6 +86,11 @@ def hashed_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame) ->
     )
 
 
+def _vectors(features: DataFrame) -> DataFrame:
+    indices, values = sparse_parts(F.col("features"))
+    return features.select("source_id", indices.alias("indices"), values.alias("values"))
+
+
 def _first_tables(catalog: np.ndarray, queries: np.ndarray, multiples: list[int]) -> np.ndarray:
     """Per width, the first table in which a row and a query agree (table count if none).
 
@@ -137,7 +143,7 @@ def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multip
                 dots = vectors.dot(indices[live], values[live], owners[live], len(ids))
                 squares = np.bincount(owners, values * values, len(ids))
                 gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
-                distance = np.sqrt(np.maximum(gap, 0.0))
+                distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
                 row, query = np.nonzero(meet & (distance < threshold))
                 ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(multiples))
                 yield pair_batch(
@@ -264,7 +270,8 @@ def bucket_blocks(
             dots = vectors.dot(indices[used], values[used], owners[used], len(ids))
             squares = np.bincount(owners, values * values, len(ids))
             gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
-            distance = np.sqrt(np.maximum(gap, 0.0))
+            # Rounded, so that the order in which terms are summed swaps no ties.
+            distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
             row, query = np.nonzero(meet & (distance < threshold))
             counts += np.bincount(query, minlength=len(counts))
             nearest.add(query, ids[row], distance[row, query])
@@ -342,7 +349,8 @@ def measured_pairs(
     met = met.join(side(query_features, "query_id", "query_"), "query_id").join(side(catalog_features, "document_id", ""), "document_id")
     q, d = F.col("query_vector"), F.col("vector")
     gap = squared_norm(q["values"]) + squared_norm(d["values"]) - 2 * sparse_dot(q, d)
-    return met.select("query_id", "document_id", F.sqrt(F.greatest(gap, F.lit(0.0))).alias("distance"), "query_buckets", "buckets")
+    distance = F.round(F.sqrt(F.greatest(gap, F.lit(0.0))), SCORE_DECIMALS)
+    return met.select("query_id", "document_id", distance.alias("distance"), "query_buckets", "buckets")
 
 
 def found_pairs(
@@ -434,7 +442,7 @@ def _grid_counts(queries: DataFrame, catalog: DataFrame, multiples: list[int], t
                 ids, indices, values, owners = sparse_stripe(stripe)
                 squares = np.bincount(owners, values * values, len(ids))
                 gap = squares[:, None] + vectors.norms[None, :] - 2.0 * vectors.dot(indices, values, owners, len(ids))
-                distance = np.sqrt(np.maximum(gap, 0.0))
+                distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
                 cells = [np.nonzero(distance < limit) for limit in thresholds]
                 for w in range(len(multiples)):
                     for d, (row, query) in enumerate(cells):
@@ -468,7 +476,9 @@ def audit_grid(
 
     ``exact`` holds at least the ``top_k`` nearest documents of each query. Volumes come as
     counters; recall comes from the exact pairs alone: a candidate nearer than an exact pair
-    is an exact pair itself, so ranks among the exact pairs decide who is in the final list.
+    is an exact pair itself, or a vector without direction, which is as far from every query
+    as the query is long. So ranks among the exact pairs and the ``top_k`` lowest ids of such
+    vectors decide who is in the final list.
     """
     base, multiples = common_width(widths)
     tables = max(table_counts)
@@ -497,7 +507,11 @@ def audit_grid(
     ]).alias("s")).select(F.inline("s"))
 
     truth = exact.select("query_id", "document_id").distinct()
-    measured = measured_pairs(truth, model, query_features, catalog_features)
+    blank = _vectors(catalog_features).filter(squared_norm(F.col("values")) == 0).select("source_id").distinct()
+    lowest = blank.orderBy("source_id").limit(top_k).agg(F.sort_array(F.collect_list("source_id")).alias("ids")).scalar()
+    others = truth.select("query_id").distinct().withColumn("document_id", F.explode(lowest))
+    ranked_pairs = truth.unionByName(others).distinct()
+    measured = measured_pairs(ranked_pairs, model, query_features, catalog_features)
 
     def first_table(multiple: int):
         bucket = lambda value: F.floor(value / multiple)
@@ -506,17 +520,20 @@ def audit_grid(
         return F.when(at > 0, at - 1)
 
     firsts = F.array(*[first_table(m) for m in multiples])
-    located = write_through(measured.select("query_id", "document_id", "distance", firsts.alias("first")))
+    located = write_through(
+        measured.select("query_id", "document_id", "distance", firsts.alias("first"))
+        .join(truth.withColumn("exact", F.lit(True)), ["query_id", "document_id"], "left")
+    )
     keys = ["bucket_length", "num_hash_tables"]
     indexes = F.array(*[
         F.when(F.get("first", F.lit(w)) < t, F.struct(F.lit(float(widths[w])).alias("bucket_length"), F.lit(t).alias("num_hash_tables")))
         for w in range(len(widths)) for t in table_counts
     ])
-    per_index = located.select("query_id", "document_id", "distance", F.explode(F.array_compact(indexes)).alias("index")).select(
-        "index.*", "query_id", "document_id", "distance"
+    per_index = located.select("query_id", "document_id", "distance", "exact", F.explode(F.array_compact(indexes)).alias("index")).select(
+        "index.*", "query_id", "document_id", "distance", "exact"
     )
     place = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("distance", "document_id"))
-    hits = per_index.withColumn("place", place).groupBy(*keys).agg(
+    hits = per_index.withColumn("place", place).filter("exact").groupBy(*keys).agg(
         *[F.count_if(F.col("distance") < limit).alias(f"c{d}") for d, limit in enumerate(thresholds)],
         *[F.count_if((F.col("distance") < limit) & (F.col("place") <= top_k)).alias(f"f{d}") for d, limit in enumerate(thresholds)],
     ).select(*keys, F.inline(F.array(*[

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_DIR
 from verification.compare import compare, database
-from verification.oracle import ORACLE
+from verification.hashed import ORACLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from pairloom.operators import features as FE, lexical as L, lsh, scoring as S
@@ -257,6 +257,11 @@ def test_grid_equals_one_fit_per_setting(hashed):
         assert row.final_recall == pytest.approx(final / len(truth), abs=1e-6)
 
 
+@F.udf(VectorUDT())
+def _without_weights(vector):
+    return SparseVector(vector.size, vector.indices, [0.0] * len(vector.indices))
+
+
 @pytest.mark.parametrize("bounds", [{}, {"heavy": 3}])
 def test_search_equals_the_rerank_of_all_candidates(hashed, bounds):
     asked, features = hashed
@@ -290,6 +295,9 @@ def test_audit_equals_the_grid_over_all_candidates(hashed):
     from pairloom.checks import cut_lineage
 
     asked, features = hashed
+    # Two rows without direction: they are near every query, and no exact pair.
+    odd = features.limit(2).select("document_id", "document_type", F.concat(F.lit("0-"), "source_id").alias("source_id"), _without_weights("features").alias("features"))
+    features = features.unionByName(odd)
     widths, counts, thresholds, k = (0.01, 0.015, 0.04, 0.8), (2, 5), (1.3, 1.38), 3
     exact = cut_lineage(S.sparse_top_k(FE.sparse_rows(asked), FE.sparse_rows(features), k))
     pairs = cut_lineage(lsh.grid_candidates(asked, features, widths, 5, 1.38))
@@ -309,8 +317,6 @@ def test_found_pairs_are_those_of_the_candidates(hashed):
 
 
 def test_sparse_dot_of_a_row(spark):
-    from pyspark.sql import functions as F
-
     from pairloom.functions.vectors import sparse_dot
 
     rows = [(([1, 4, 9], [1.0, 2.0, 3.0]), ([4, 9, 11], [5.0, 7.0, 1.0])), (([], []), ([1], [1.0])), (([2], [0.5]), ([2], [4.0]))]

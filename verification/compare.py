@@ -11,7 +11,7 @@ import traceback
 import duckdb
 from pyspark.sql import SparkSession
 
-from verification.oracle import ORACLE
+from verification.hashed import ORACLE
 from verification.queries import QUERIES
 
 TABLES = (

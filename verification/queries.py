@@ -386,14 +386,18 @@ def tfidf_ml_features(spark, sf):
     return rows.select("source_id", F.size("indices").alias("terms"), F.round(F.sqrt(norm), 9).alias("norm"))
 
 
+def _rounded(frame, *names):
+    return frame.withColumns({name: F.round(name, DECIMALS) for name in names})
+
+
 @query
 def tfidf_ml_topk(spark, sf):
-    return _sides(spark, sf).exact(10)
+    return _rounded(_sides(spark, sf).exact(10), "score")
 
 
 @query
 def ngram_ml_topk(spark, sf):
-    return _sides(spark, sf, ngrams=True).exact(10)
+    return _rounded(_sides(spark, sf, ngrams=True).exact(10), "score")
 
 
 def _indexed(spark, sf):
@@ -404,20 +408,20 @@ def _indexed(spark, sf):
 
 @query
 def lsh_candidates(spark, sf):
-    return lsh.lsh_candidates(*_indexed(spark, sf)[1], 1.3)
+    return _rounded(lsh.lsh_candidates(*_indexed(spark, sf)[1], 1.3), "distance")
 
 
 @query
 def lsh_topk(spark, sf):
-    return lsh.lsh_search(*_indexed(spark, sf)[1], 1.3, 10).ranked
+    return _rounded(lsh.lsh_search(*_indexed(spark, sf)[1], 1.3, 10).ranked, "score", "distance")
 
 
 @query
 def lsh_with_fallback(spark, sf):
     sides, index = _indexed(spark, sf)
     ranked = cut_lineage(lsh.lsh_search(*index, 1.2, 10).ranked)
-    return lsh.with_fallback(
-        ranked, FE.sparse_rows(sides.query_features), FE.sparse_rows(sides.catalog_features), 10
+    return _rounded(
+        lsh.with_fallback(ranked, FE.sparse_rows(sides.query_features), FE.sparse_rows(sides.catalog_features), 10), "score"
     )
 
 
@@ -621,14 +625,14 @@ def labeled_pairs_ml(spark, sf):
     resumes = cut_lineage(_silver_resumes(spark, sf))
     model = FE.fit_features(X.catalog(spark, sf))
     asked = FE.add_features(model, D.resume_documents(resumes))
-    return V.score_labeled_pairs(asked, FE.add_features(model, D.evaluation_documents(resumes)))
+    return _rounded(V.score_labeled_pairs(asked, FE.add_features(model, D.evaluation_documents(resumes))), "similarity_score")
 
 
 @query
 def match_end_to_end(spark, sf):
     jobs = _silver_jobs(spark, sf)
     ranked, _ = matching.match(jobs, _silver_resumes(spark, sf), distance_threshold=1.4)
-    return ranked
+    return _rounded(ranked, "score", "distance")
 
 
 @query
