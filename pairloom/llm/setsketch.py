@@ -21,9 +21,10 @@ Groups: equal sets are one node. In a round every bucket names a leader, other m
 tested against it, linked ones are joined, and buckets inside one group are done: a group of
 near copies costs its size, not its square. When the pairs still open are no more than
 ``OPEN`` times the members, or rounds no longer bring them down, they are compared by blocks:
-the registers of an open bucket come to it once, and only pairs that pass the estimate leave
-the task. Buckets of more than ``PART`` members are dealt into pairs of parts. Texts move
-only for pairs that pass.
+the registers of an open bucket come to it once, members without a plausible partner drop
+out, the sets of the others come to it once, and a block hands on only the links that join
+its groups. A pair belongs to the first band in which it agrees. Buckets of more than
+``PART`` members are dealt into pairs of parts.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; copies
 and repeated rows are one node; a null id takes part and is never the smallest id; texts of
@@ -33,7 +34,7 @@ are named by a 64-bit hash of the whole set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SLACK = 15.0
 PART = 1500
+# Registers that are compared before all others.
+FIRST = 32
 OPEN = 8
 ROUNDS = 6
 # Words whose hash a task remembers, if they have at most so many bytes.
@@ -229,12 +232,12 @@ def full_sets(texts: DataFrame, size: int, asked: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``(key, node)`` of every band that several nodes share."""
+    """``(key, band, node)`` of every band that several nodes share."""
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(band), F.substring("regs", 1 + band * width, width)) for band in range(BANDS)))
-    members = nodes.select("node", F.explode(keys).alias("key"))
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return members.join(several, "key").select("key", "node", "members")
+    members = nodes.select("node", F.posexplode(keys).alias("band", "key"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    return members.join(several, "key").select("key", "band", "node")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -255,47 +258,26 @@ def star_pairs(members: DataFrame, round_: int) -> DataFrame:
     return met.distinct()
 
 
-def block_pairs(members: DataFrame, counted: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """``(a, b)`` of different groups in a bucket that may link, each once.
+BLOCK = "key long, row int, column int, part int, band int, node long, root long"
+_BLOCK_ORDER = ["key", "row", "column", "part", "node"]
 
-    A bucket is a grid of blocks, parts by parts; each block gets its members' registers once
-    and compares them there.
-    """
+
+def placed(members: DataFrame, counted: DataFrame) -> DataFrame:
+    """Members of open buckets in the blocks where they meet others, see ``BLOCK``: a bucket is
+    a grid of parts by parts, and a member is in every block of its part."""
     grid = counted.select("key", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
     dealt = members.join(grid, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = dealt.select("key", "node", "root", "part", other.alias("other")).select(
-        "key", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "node", "root"
+    return dealt.select("key", "band", "node", "root", "part", other.alias("other")).select(
+        "key", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"), "part", "band", "node", "root"
     )
-    rows = placed.join(nodes.select("node", "n", "regs"), "node").select("key", "row", "column", "part", "node", "root", "n", "regs")
-    order = ["key", "row", "column", "part", "node"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def compared() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            column, part, node, root, n = (table.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
-            regs, size = _matrix(table.column(7).combine_chunks()), n.astype(float)
-            found = []
-            for i in range(len(node) - 1):
-                # In a block off the diagonal the first part meets the second, else each the later ones.
-                if len(node) > 1 and part[0] != part[-1] and part[i] != part[0]:
-                    break
-                at = np.arange(i + 1, len(node))
-                at = at[(root[at] != root[i]) & ((part[at] != part[i]) | (part[0] == part[-1]))]
-                at = at[100 * np.minimum(n[at], n[i]) >= least * np.maximum(n[at], n[i])]
-                if not len(at):
-                    continue
-                same = (regs[at] == regs[i]).sum(1)
-                at = at[200 * same >= least * REGISTERS]
-                if len(at):
-                    more, less = (regs[at] < regs[i]).sum(1), (regs[at] > regs[i]).sum(1)
-                    keep = plausible(np.full(len(at), size[i]), size[at], more, less, REGISTERS - more - less, least)
-                    found += [(min(node[i], b), max(node[i], b)) for b in node[at[keep]]]
-            a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _block_by_block(rows: DataFrame, compute: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``compute`` of the rows of each block, which come to one task in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -303,16 +285,93 @@ def block_pairs(members: DataFrame, counted: DataFrame, nodes: DataFrame, least:
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for start, stop in zip(cuts, cuts[1:]):
                 if held and any(held[-1].column(i)[0] != batch.column(i)[start] for i in range(3)):
-                    yield compared()
+                    yield compute(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(start, stop - start))
         if held:
-            yield compared()
+            yield compute(pa.Table.from_batches(held))
         held = []
         release_memory()
 
-    sorted_rows = rows.repartition("key", "row", "column").sortWithinPartitions(*order)
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    # A number of partitions keeps blocks spread: they are small to move and long to compare.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "key", "row", "column").sortWithinPartitions(*_BLOCK_ORDER).mapInArrow(run, schema)
+
+
+def _plausible_in_block(table: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(place, later places)`` of the pairs of different groups in a block that may link and
+    that agree in no earlier band, so that each pair belongs to one bucket."""
+    row, column, part, band, root, n = (table.column(c).to_numpy() for c in ("row", "column", "part", "band", "root", "n"))
+    regs, size, place = _matrix(table.column("regs").combine_chunks()), n.astype(float), np.arange(len(n))
+    crossing = row[0] != column[0]
+    # Most other pairs agree in fewer of the first registers than a linked pair does, less six
+    # standard deviations.
+    some = np.ascontiguousarray(regs[:, :FIRST].T)
+    enough = max(0, int(FIRST * least / 100 - 6 * np.sqrt(FIRST * least * (100 - least)) / 100))
+    for i in range(len(n) - 1):
+        near = (some[:, i + 1 :] == some[:, i, None]).sum(0, dtype=np.uint8) >= enough
+        near &= root[i + 1 :] != root[i]
+        if crossing:
+            near &= part[i + 1 :] != part[i]
+        at = place[i + 1 :][near]
+        if not len(at):
+            continue
+        more, less = (regs[at] < regs[i]).sum(1), (regs[at] > regs[i]).sum(1)
+        at = at[plausible(np.full(len(at), size[i]), size[at], more, less, REGISTERS - more - less, least)]
+        if len(at):
+            first = (regs[at] == regs[i]).reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+            at = at[first == band[i]]
+        if len(at):
+            yield i, at
+
+
+def with_partners(rows: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The rows of ``BLOCK`` that may link with another one of their block."""
+
+    def compute(table: pa.Table) -> pa.RecordBatch:
+        some = np.zeros(table.num_rows, bool)
+        for i, at in _plausible_in_block(table, least):
+            some[i] = some[at] = True
+        kept = table.select(range(7)).filter(pa.array(some)).combine_chunks()
+        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
+
+    full = rows.join(nodes.select("node", "n", "regs"), "node").select("key", "row", "column", "part", "band", "node", "root", "n", "regs")
+    return _block_by_block(full, compute, BLOCK)
+
+
+def block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """``(a, b)``: links that join all groups of a block that its verified pairs join.
+
+    Sets come to the block once; a pair whose groups an earlier one joined is not compared
+    again, so a block hands on fewer links than it has rows.
+    """
+
+    def compute(table: pa.Table) -> pa.RecordBatch:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy().tolist()
+        hashes = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
+        parent = {r: r for r in root}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        found = []
+        for i, at in _plausible_in_block(table, least):
+            own = hashes[i]
+            for j in at.tolist():
+                x, y = find(root[i]), find(root[j])
+                if x != y and linked(own, hashes[j], least):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((node[i], node[j]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    full = rows.join(nodes.select("node", "n", "regs"), "node").join(sets, "node").select(
+        "key", "row", "column", "part", "band", "node", "root", "n", "regs", "hashes"
+    )
+    return _block_by_block(full, compute, "a long, b long")
 
 
 def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
@@ -320,8 +379,11 @@ def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
 
     ``sets_of`` gives ``(node, hashes)`` for a frame ``(node, text_key)``.
     """
+    def sets_for(asked: DataFrame) -> DataFrame:
+        return written(sets_of(asked.select("node").distinct().join(nodes.select("node", "text_key"), "node")), "sets")
+
     shared = written(buckets(nodes), "buckets")
-    edges, rooted, before = None, shared.select("key", "node", F.col("node").alias("root")), float("inf")
+    edges, rooted, before = None, shared.withColumn("root", F.col("node")), float("inf")
     for round_ in range(ROUNDS + 1):
         counted = written(_open(rooted), "open")
         members, still = counted.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
@@ -332,20 +394,17 @@ def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
         before = still
         open_members = rooted.join(counted.select("key"), "key", "left_semi")
         if last:
-            asked = block_pairs(open_members, counted, nodes, least)
+            asked = written(with_partners(placed(open_members, counted), nodes, least), "blocks")
+            found = block_links(asked, nodes, sets_for(asked), least)
         else:
-            asked = estimated(written(star_pairs(open_members, round_), "stars"), nodes, least)
-        asked = written(asked, "asked")
-        ends = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
-        sets = written(sets_of(ends.join(nodes.select("node", "text_key"), "node")), "sets")
-        found = verified(asked, sets, least)
+            asked = written(estimated(written(star_pairs(open_members, round_), "stars"), nodes, least), "asked")
+            ends = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node")))
+            found = verified(asked, sets_for(ends), least)
         edges = written(found if edges is None else edges.unionByName(found), "links")
         if last:
             break
         roots = written(components(edges), "roots")
-        rooted = written(
-            shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted"
-        )
+        rooted = written(shared.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root")), "rooted")
     if edges is None:
         return nodes.select("node", F.col("node").alias("root")).limit(0)
     return components(edges)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import setsketch
 
@@ -107,21 +108,37 @@ def test_near_misses_in_one_bucket(spark, documents, monkeypatch):
     rows = [(i, " ".join(edited(pick, base, pick.randrange(1, 5)))) for i in range(90)]
     expected = plain_groups(rows)
     assert found(documents(rows)) == expected
-    for rounds, part in ((0, 7), (1, 7), (2, 1000)):
-        monkeypatch.setattr(setsketch, "ROUNDS", max(1, rounds))
-        monkeypatch.setattr(setsketch, "OPEN", 10**9 if rounds == 0 else 0)
-        monkeypatch.setattr(setsketch, "PART", part)
-        assert found(documents(rows)) == expected
+    monkeypatch.setattr(setsketch, "OPEN", 0)
+    monkeypatch.setattr(setsketch, "PART", 7)
+    assert found(documents(rows)) == expected
 
 
-def test_blocks_list_every_open_pair_once(spark, monkeypatch):
+def test_blocks_join_what_their_pairs_join(spark, monkeypatch):
+    """Members of one family over several parts: only pairs of different groups are compared,
+    in the first band in which they agree, and the links span what all pairs would join."""
     monkeypatch.setattr(setsketch, "PART", 4)
-    own = setsketch.registers(setsketch.shingle_set(b"a b c d e f g h")).tobytes()
-    nodes = spark.createDataFrame([(i, 5, own) for i in range(23)], "node long, n long, regs binary")
-    members = spark.createDataFrame([(k, i, i // 2 * 2) for k in (1, 2) for i in range(23)], "key long, node long, root long")
-    pairs = [tuple(r) for r in setsketch.block_pairs(members, setsketch._open(members), nodes, 80).collect()]
-    expected = {(a, b) for b in range(23) for a in range(b) if a // 2 != b // 2}
-    assert len(pairs) == len(expected) and set(pairs) == expected
+    pick = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(edited(pick, base, pick.randrange(1, 4))).encode() for _ in range(30)]
+    sets = [setsketch.shingle_set(t) for t in texts]
+    regs = [setsketch.registers(s) for s in sets]
+    nodes = spark.createDataFrame([(i, len(s), r.tobytes()) for i, (s, r) in enumerate(zip(sets, regs))], "node long, n long, regs binary")
+    members = setsketch.buckets(nodes).withColumn("root", F.expr("node DIV 3 * 3"))
+    rows = setsketch.placed(members, setsketch._open(members))
+    hashes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, hashes binary")
+    asked = setsketch.with_partners(rows, nodes, 80)
+    found = [tuple(r) for r in setsketch.block_links(asked, nodes, hashes, 80).collect()]
+    assert asked.count() <= rows.count() and all(setsketch.linked(sets[a], sets[b]) and a // 3 != b // 3 for a, b in found)
+
+    def joined(pairs):
+        root = [i // 3 * 3 for i in range(30)]
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    shares = lambda a, b: (regs[a].reshape(-1, setsketch.ROWS) == regs[b].reshape(-1, setsketch.ROWS)).all(1).any()
+    assert joined(found) == joined((a, b) for a in range(30) for b in range(a) if shares(a, b) and setsketch.linked(sets[a], sets[b]))
 
 
 def test_a_large_group_of_near_copies(spark, documents):
