@@ -244,37 +244,39 @@ def cached_embeddings(
 ) -> DataFrame:
     """Embeddings of one side; rows of an earlier run are reused when text and settings match.
 
-    A new generation is written beside the one it reads from.
+    The cache is a folder of parts, ``generation=N``. A run adds a part with the documents
+    whose text or settings no part has; nothing that was written is written again. With
+    ``force`` all documents are encoded into a part that replaces the earlier ones.
     """
     settings = (encoder_factory, model_name, max_tokens, overlap_tokens, batch_size)
     key = embedding.cache_key(model_name, max_tokens, overlap_tokens)
-    earlier = None if path is None or force else _last_generation(side.sparkSession, path)
-    if earlier is None:
-        fresh = embedding.embed_documents(
-            side.withColumn("cache_key", key), *settings, carry=("cache_key",)
-        )
-        return cut_lineage(fresh) if path is None else land(fresh, f"{path}/generation=0", None)
-    number, cache = earlier
-    missing = embedding.missing_from_cache(side, cache, key)
-    stale = cache.join(side.withColumn("cache_key", key), ["source_id", "cache_key"], "left_anti")
-    if missing.isEmpty() and stale.isEmpty():
-        return cache
-    current = embedding.embed_incrementally(side, cache, *settings)
-    return land(current, f"{path}/generation={number + 1}", None)
-
-
-def _last_generation(spark, path: str) -> tuple[int, DataFrame] | None:
+    keyed = side.withColumn("cache_key", key)
+    if path is None:
+        return cut_lineage(embedding.embed_documents(keyed, *settings, carry=("cache_key",)))
+    last, cache = _cached_parts(side.sparkSession, path)
+    restart = cache is None or force
+    missing = keyed if restart else embedding.missing_from_cache(side, cache, key)
+    if restart or not missing.isEmpty():
+        fresh = embedding.embed_documents(missing, *settings, carry=("cache_key",))
+        fresh.withColumn("restart", F.lit(restart)).write.parquet(f"{path}/generation={last + 1}")
+        _, cache = _cached_parts(side.sparkSession, path)
+    return cache.join(keyed.select("source_id", "cache_key"), ["source_id", "cache_key"], "left_semi").select(*cache.columns)
+
+
+def _cached_parts(spark, path: str) -> tuple[int, DataFrame | None]:
+    """The number of the last part (-1 if there is none), and the rows since the last restart."""
     from pyspark.errors import AnalysisException
 
     try:
-        files = spark.read.parquet(path).inputFiles()
+        parts = spark.read.option("mergeSchema", False).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return None
-    # The listing names every generation; no file is opened for its number.
-    numbers = {int(part.removeprefix("generation=")) for name in files for part in name.split("/") if part.startswith("generation=")}
-    return (max(numbers), spark.read.parquet(f"{path}/generation={max(numbers)}")) if numbers else None
+        return -1, None
+    # A constant and a folder name: neither reads an embedding.
+    seen = parts.agg(F.max("generation").alias("last"), F.max(F.when(F.col("restart"), F.col("generation"))).alias("since")).first()
+    rows = parts.filter(F.col("generation") >= F.lit(seen["since"] or 0)).drop("generation", "restart")
+    return (-1, None) if seen["last"] is None else (seen["last"], rows)
 
 
 def compare_dense(

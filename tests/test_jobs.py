@@ -124,7 +124,7 @@ def test_audit_tuning_and_ngram_comparison(silver, tmp_path, spark):
         matching.compare_ngrams(catalog, asked, "test")
 
 
-def test_dense_comparison_reuses_and_refreshes_embeddings(silver, tmp_path):
+def test_dense_comparison_reuses_and_refreshes_embeddings(spark, silver, tmp_path):
     jobs, _, resumes, _, _ = silver
     catalog, asked, _ = matching.pick_sides(jobs, resumes, "all", 10)
     out = tmp_path / "dense"
@@ -142,6 +142,18 @@ def test_dense_comparison_reuses_and_refreshes_embeddings(silver, tmp_path):
     changed = catalog.withColumn("combined_text", F.when(F.col("source_id") == "job-3", "all new text").otherwise(F.col("combined_text")))
     assert run(changed)[2].first().job_documents == 100
     assert generations() == ["generation=0", "generation=1"]
+    # Only the changed text was written; going back to the old one writes nothing.
+    assert spark.read.parquet(f"{out}/job_embeddings/generation=1").select("source_id").collect() == [("job-3",)]
+    size = lambda part: sum(f.stat().st_size for f in (out / "job_embeddings" / part).glob("*.parquet"))
+    assert size("generation=1") < size("generation=0") / 4
+    assert sorted(map(tuple, run(catalog)[0].collect())) == first and len(generations()) == 2
+    few = catalog.filter("source_id <> 'job-5'")
+    assert run(few)[2].first().job_documents == 99 and len(generations()) == 2
+    # A forced run replaces what was there.
+    vectors = matching.cached_embeddings(few, str(out / "job_embeddings"), HashingEncoder, "hashing", 8, 2, 32, True)
+    assert vectors.count() == 99 == vectors.select("source_id").distinct().count() and len(generations()) == 3
+    assert run(catalog)[2].first().job_documents == 100
+    assert spark.read.parquet(f"{out}/job_embeddings/generation=3").count() == 1
 
 
 def test_data_summary(silver, tmp_path, spark):
