@@ -26,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,10 @@ from tokenizers import Tokenizer
 
 from pairloom.llm.common import bucketed, decoded, quoted, release_memory, slices
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 1 << 16  # so that a place fits 16 bits
 # Units that a chunk remembers; beyond, it is closed.
-CHUNK_UNITS = 400_000
+CHUNK_UNITS = 300_000
 # Chunks of one pair that stay together when scores are asked for.
 PART = 2000
 CUT = re.compile(r"(?<=\S) (?=.)", re.S)
@@ -87,38 +88,77 @@ def cuts_apply(path_a: str, path_b: str) -> bool:
     return bool(level) and not any("▁" in piece.lstrip("▁") for piece in marks)
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[int, str, list[tuple[int, int]]]:
-    """Number of groups, their listing, and the links, of two token lists of the same bytes."""
-    groups, links = [], []
-    i = j = i_first = j_first = 0
-    a_end = b_end = 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        a_stop, b_stop = a_end + len(a_bytes[a[i]]), b_end + len(b_bytes[b[j]])
-        if a_stop <= b_stop:
-            i, a_end = i + 1, a_stop
-        if b_stop <= a_stop:
-            j, b_end = j + 1, b_stop
-        if a_stop == b_stop:
-            groups.append(f"{','.join(map(str, a[i_first:i]))}|{','.join(map(str, b[j_first:j]))}")
-            i_first, j_first = i, j
-    return len(groups), ";".join(groups), links
-
-
-def align_units(units: list[str], path_a: str, path_b: str) -> list[tuple | None]:
-    """``(n_a, n_b, n_groups, listing, links)`` of each unit, which a space precedes; None
-    where the tokens do not spell it."""
-    first, a_bytes = byte_level(path_a)
-    second, b_bytes = pieces(path_b)
-    out: list[tuple | None] = []
-    coded = zip(units, first.encode_batch([" " + u for u in units], add_special_tokens=False), second.encode(units, num_threads=1))
-    for unit, by_a, b in coded:
-        a, whole = by_a.ids, (" " + unit).encode()
-        if b"".join([a_bytes[t] for t in a]) != whole or b"".join([b_bytes[t] for t in b]) != whole:
-            out.append(None)
-        else:
-            out.append((len(a), len(b), *aligned(a, b, a_bytes, b_bytes)))
-    return out
+@lru_cache(2)
+def _spellings(path_a: str, path_b: str) -> list[str]:
+    """Every id with each of its separators: ids of the first tokenizer before "," and "|",
+    then those of the second before "," and ";"."""
+    sizes = [len(byte_level(path_a)[1])] * 2 + [len(pieces(path_b)[1])] * 2
+    return [f"{number}{end}" for size, end in zip(sizes, ",|,;") for number in range(size)]
+
+
+@lru_cache(2)
+def _widths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes each id of either tokenizer has."""
+    return tuple(np.array([len(b) for b in table], np.int64) for table in (byte_level(path_a)[1], pieces(path_b)[1]))
+
+
+class Aligned:
+    """The alignment of a list of units, each taken with the space before it.
+
+    ``spelled`` tells whose tokens spell it; the others have none. ``links`` holds all id
+    pairs, unit after unit, the first id in the upper half.
+    """
+
+    def __init__(self, units: list[str], path_a: str, path_b: str):
+        first, a_bytes = byte_level(path_a)
+        second, b_bytes = pieces(path_b)
+        a_lists = [coded.ids for coded in first.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b_lists = second.encode(units, num_threads=1)
+        whole = [(" " + u).encode() for u in units]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        a_width, b_width = _widths(path_a, path_b)
+        (a, self.n_a, a_bad), (b, self.n_b, b_bad) = (
+            self._flat(lists, table, width, whole, sizes) for lists, table, width in ((a_lists, a_bytes, a_width), (b_lists, b_bytes, b_width))
+        )
+        self.spelled = ~(a_bad | b_bad)
+        if not self.spelled.all():
+            a, b = a[np.repeat(self.spelled, self.n_a)], b[np.repeat(self.spelled, self.n_b)]
+            self.n_a, self.n_b, sizes = self.n_a * self.spelled, self.n_b * self.spelled, sizes * self.spelled
+        # All units one after the other: both sides spell the same bytes, so places agree.
+        a_ends, b_ends = np.cumsum(a_width[a]), np.cumsum(b_width[b])
+        unit_ends = np.cumsum(sizes)
+        # Between two neighbouring ends lies a piece of one token of either side: a link.
+        ends = np.union1d(a_ends, b_ends)
+        of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        self.links = a[of_a] << 32 | b[of_b]
+        self.n_links = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        self.n_groups = np.diff(np.searchsorted(common, unit_ends, "right"), prepend=0)
+        self.listings = self._listings(a, b, a_ends, b_ends, common, _spellings(path_a, path_b), len(a_bytes), len(b_bytes))
+
+    @staticmethod
+    def _flat(lists, table, width, whole, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each unit has, and which units their tokens do not spell."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = list(chain.from_iterable(lists))
+        flat = np.array(ids, np.int64)
+        ends = np.cumsum(np.concatenate(([0], width[flat])))
+        stops = np.cumsum(counts)
+        bad = ends[stops] - ends[stops - counts] != sizes
+        if bad.any() or b"".join(map(table.__getitem__, ids)) != b"".join(whole):
+            bad = np.array([b"".join(map(table.__getitem__, own)) != w for own, w in zip(lists, whole)])
+        return flat, counts, bad
+
+    def _listings(self, a, b, a_ends, b_ends, common, spellings, size_a, size_b) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each unit: tokens by group, first side first, each with the
+        separator that follows it."""
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        last_a, last_b = np.diff(a_group, append=-1) != 0, np.diff(b_group, append=-1) != 0
+        code = np.concatenate((a + last_a * size_a, 2 * size_a + b + last_b * size_b))
+        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
+        parts = [spellings[c] for c in code[order].tolist()]
+        stops = np.cumsum(self.n_a + self.n_b).tolist()
+        return ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops)]
 
 
 def packed(values: np.ndarray, kind: str) -> bytes:
@@ -215,24 +255,22 @@ class _Chunk:
     def __init__(self, number: int):
         self.number, self.size = number, 0
         self.codes: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.listing, self.spelled = [], [], [], [], []
-        self.links: list[list[int]] = []
-        self.ids, self.doc_units, self.digests, self.rows = [], [], [], []
+        self.units: list[Aligned] = []
+        self.listing, self.spelled = [], []
+        self.ids, self.doc_units, self.digests = [], [], []
 
     def add(self, ids: list, texts: list[str], paths: tuple[str, str]) -> None:
         codes = self.codes
         cut = CUT.split if cuts_apply(*paths) else lambda text: [text]
         units = [cut(t) if t else [] for t in texts]
         new = list(dict.fromkeys(u for own in units for u in own if u not in codes))
-        for unit, found in zip(new, align_units(new, *paths)):
-            codes[unit] = len(codes)
-            self.spelled.append(found is not None)
-            n_a, n_b, n_groups, listing, links = found or (0, 0, 0, "", [])
-            self.n_a.append(n_a)
-            self.n_b.append(n_b)
-            self.n_groups.append(n_groups)
-            self.listing.append(listing)
-            self.links.append([a << 32 | b for a, b in links])
+        if new:
+            found = Aligned(new, *paths)
+            codes.update(zip(new, range(len(codes), len(codes) + len(new))))
+            self.listing += found.listings
+            self.spelled += found.spelled.tolist()
+            found.listings = []
+            self.units.append(found)
         listing, spelled = self.listing, self.spelled
         for key, text, own in zip(ids, texts, units):
             numbers = [codes[u] for u in own]
@@ -251,11 +289,15 @@ class _Chunk:
         sizes = np.array([len(u) for u in self.doc_units], np.int64)
         doc = np.repeat(np.arange(n_docs), sizes)
         code = np.concatenate([np.empty(0, np.int32), *self.doc_units]).astype(np.int64)
-        sums = [np.bincount(doc, np.array(per or [0])[code], n_docs).astype(np.int64) for per in (self.n_a, self.n_b, self.n_groups)]
+        none = np.empty(0, np.int64)
+
+        def known(name: str) -> np.ndarray:
+            return np.concatenate([none, *(getattr(part, name) for part in self.units)])
+
+        sums = [np.bincount(doc, known(name)[code], n_docs).astype(np.int64) for name in ("n_a", "n_b", "n_groups")]
         key, often = np.unique(doc * max(1, n_units) + code, return_counts=True)
         doc, code = key // max(1, n_units), key % max(1, n_units)
-        per_unit = np.array([len(x) for x in self.links], np.int64)
-        flat = np.array([p for own in self.links for p in own], np.int64)
+        per_unit, flat = known("n_links"), known("links")
         at = (np.cumsum(per_unit) - per_unit)[code]
         reps = per_unit[code]
         take = np.repeat(at - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
