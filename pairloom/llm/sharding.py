@@ -1,17 +1,18 @@
 """Shards of nearly equal size by sampled splitters, in DataFrame functions only.
 
 Records are ordered by a 64-bit hash of their text and then of their id, so copies of a text
-lie next to each other. A sample drawn with probabilities in proportion to size gives the
-quantiles that cut this order into many more ranges than shards; ranges that hold too much
-are sampled more densely and cut again, which is how a text with a third of all records gets
-split by id. Each record then gets its exact position in bytes and rows from the totals of
+lie next to each other. A sample drawn with probabilities in proportion to size, plus an equal
+share for each record, gives the quantiles that cut this order into many more ranges than
+shards; ranges that hold too much are sampled more densely and cut again, which is how a text
+with a third of all records gets split by id, an empty one too. Each record then gets its exact position in bytes and rows from the totals of
 the ranges before its own and a running sum inside its own, and the position its shard.
 
 The law is ``bytes``: every shard ends within one record, or half a small group of copies, of
 its equal part of the bytes. A group of equal texts of at most ``GROUP_SHARE`` of a shard
 stays in one shard unless a range ends inside it; larger groups are split where the part ends.
 
-Defined cases: a null text has size 8 and the CRC-32 of the empty text; null ids hash alike
+Defined cases: texts of any length are one record; columns other than those asked for are not read;
+a null text has size 8 and the CRC-32 of the empty text; null ids hash alike
 and are placed like any other; wholly equal rows are neighbours in any order; empty tables
 give no rows; with fewer rows than shards some shards are empty.
 """
@@ -95,6 +96,12 @@ def splitters(keys: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]
     return _tidy(found)
 
 
+def weighted(keys: DataFrame, total: int, rows: int) -> DataFrame:
+    """``(h, d, size)`` with an equal share of ``total`` added to every record, so that ranges
+    which are even in this sum hold at most twice their part of the bytes and of the rows."""
+    return keys.select("h", "d", (F.col("size") + F.lit(total / max(rows, 1))).alias("size"))
+
+
 def assign_shards(
     df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -119,7 +126,7 @@ def assign_shards(
     all_ = keys.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     total = all_["bytes"]
     ranges = max(RANGES_PER_SHARD * shards, -(-all_["rows"] // ROWS_PER_RANGE))
-    bounds = splitters(keys, total, ranges)
+    bounds = splitters(weighted(keys, total, all_["rows"]), 2 * total, ranges)
     ranged = keys.withColumn("range", _range_of(F.col("h"), F.col("d"), bounds))
     totals = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
     bytes_before, rows_before = [0], [0]

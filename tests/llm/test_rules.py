@@ -296,3 +296,14 @@ def test_shards_of_odd_rows(odd, documents, tmp_path):
     sharding.write_shards(odd, path, shards=4)
     back = odd.sparkSession.read.parquet(path)
     assert back.count() == odd.count() and set(odd.columns) < set(back.columns)
+
+
+def test_many_empty_texts_are_many_ranges(spark):
+    """A third of all rows in a sliver of the bytes is cut by rows."""
+    rows = [(7, i, 8) for i in range(2000)] + [(1000 + i, i, 5000) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "h long, d0 long, size long").withColumn("d", F.xxhash64("d0"))
+    total = sum(size for *_, size in rows)
+    bounds = sharding.splitters(sharding.weighted(frame, total, len(rows)), 2 * total, 60)
+    held = frame.withColumn("range", sharding._range_of(F.col("h"), F.col("d"), bounds)).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    most = held.agg(F.max("n"), F.max("bytes")).first()
+    assert most[0] <= 2 * sharding.OVERFULL * len(rows) / 60 and most[1] <= 2 * sharding.OVERFULL * total / 60
