@@ -260,7 +260,7 @@ class DenseBlock:
     def build(table: pa.Table) -> "DenseBlock":
         batch = one_batch(table)
         values, lengths = ragged(batch.column("embedding"))
-        require(len(set(lengths)) <= 1, "Embeddings must form a two-dimensional matrix")
+        require(len(set(lengths)) <= 1, f"query vectors have several lengths: {sorted(set(lengths))[:5]}")
         matrix = values.astype(np.float64).reshape(len(lengths), -1) if len(lengths) else np.empty((0, 0))
         return DenseBlock(np.array(batch.column("source_id").to_pylist(), dtype=object), matrix.T)
 
@@ -268,7 +268,7 @@ class DenseBlock:
 def _score_dense(block: DenseBlock, stripe: pa.RecordBatch):
     values, lengths = ragged(stripe.column("embedding"))
     if len(lengths) and (lengths != block.matrix.shape[0]).any():
-        raise ValueError("Catalog and query embedding dimensions must match")
+        raise ValueError(f"catalog vectors have {sorted(set(lengths))[:5]} numbers, query vectors {block.matrix.shape[0]}; embed both sides with one model")
     ids = np.array(stripe.column("source_id").to_pylist(), dtype=object)
     return ids, values.astype(np.float64).reshape(len(lengths), -1) @ block.matrix
 

@@ -90,7 +90,7 @@ def merge_questions(ranked: DataFrame, asked: DataFrame, top_k: int) -> DataFram
 
 
 def refuse_test_split(split: str) -> None:
-    require(split != "test", "Development comparison cannot use the locked test split")
+    require(split != "test", "methods are compared on train or validation; the test split stays unseen until the end")
 
 
 def match(

@@ -140,7 +140,7 @@ def test_samples_are_repeatable_and_nested(spark, method):
     for fraction in (0, 1.5):
         with pytest.raises(ValueError, match="fraction"):
             SE.hash_sample(frame, "k", fraction, 5110)
-    with pytest.raises(ValueError, match="key is missing"):
+    with pytest.raises(ValueError, match="to sample by"):
         SE.hash_sample(frame, "nope", 0.5, 5110)
 
 
