@@ -4,20 +4,25 @@ Words are runs of anything but ASCII white space, ASCII letters in lower case. A
 fingerprint is set if it is set in more than half of the XXH64 (seed 42) values of the
 4-word shingles, repeats included. Fingerprints of at most ``RADIUS`` differing bits link.
 
-Search: three segments of 20, 20 and 24 bits. If two fingerprints differ in at most four
-bits, then the first or second segment differs in at most one, or the third in none
-(2 + 2 + 1 = 5 otherwise). So one side is stored under its segments and the other asks for
-the balls of radius 1, 1 and 0 around its segments: 43 hash-join keys for each distinct
-fingerprint, whatever the number of copies. Complete distances are verified in the join.
+Search: a layout cuts the fingerprint into segments with a radius each, so that two
+fingerprints of at most four differing bits are within the radius of at least one segment:
+otherwise the segments together would differ in five bits (radii 1, 1 and 0: 2 + 2 + 1;
+radii 2 and 1: 3 + 2). One side is stored under its segments and the other asks for the balls
+around its segments: hash-join keys for each distinct fingerprint, whatever the number of
+copies. Longer segments mean more keys and fewer chance matches, so the layout is chosen by
+the counted number of fingerprints. Complete distances are verified in the join.
 
 Defined cases: null, empty or blank text has fingerprint zero and links like any other.
 Copies share one fingerprint and are one node. Null ids take part but are never the
 smallest id; a component without any id has a null ``component_id``. Rows that repeat an
-id are kept, each with its own fingerprint.
+id are kept, each with its own fingerprint. Texts of any length are read whole; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +32,8 @@ from pairloom.llm.common import checkpointed, quoted, with_arrow_columns, writte
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-SEGMENTS = ((0, 20, 1), (20, 20, 1), (40, 24, 0))  # first bit, width, radius of the ball
+# Segments as first bit, width and radius of the ball.
+LAYOUTS = (((0, 20, 1), (20, 20, 1), (40, 24, 0)), ((0, 32, 2), (32, 32, 1)))
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -64,25 +70,42 @@ def _segment(fp, at: int, width: int):
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def ball(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits of which at most ``radius`` are set."""
+    return [sum(1 << bit for bit in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def layout(n: int):
+    """The layout with the fewest key rows and chance matches for ``n`` fingerprints."""
+
+    def rows(segments) -> float:
+        keys = sum(len(ball(width, radius)) for _, width, radius in segments)
+        return n * keys + n * n * sum(len(ball(width, radius)) / 2.0**width for _, width, radius in segments) / 2
+
+    return min(LAYOUTS, key=rows)
+
+
+def links(nodes: DataFrame, segments=None) -> DataFrame:
     """Pairs ``(a, b)`` with a < b of the distinct fingerprints ``fp`` that link, each once.
 
     A pair that several segments find is kept for the first of them only.
     """
+    segments = segments or layout(nodes.count())
     stored = nodes.select(
         F.col("fp").alias("b"),
-        F.posexplode(F.array(*(_segment(F.col("fp"), at, width) for at, width, _ in SEGMENTS))).alias("segment", "key"),
+        F.posexplode(F.array(*(_segment(F.col("fp"), at, width) for at, width, _ in segments))).alias("segment", "key"),
     )
-    asked = []
-    for s, (at, width, radius) in enumerate(SEGMENTS):
-        own = _segment(F.col("fp"), at, width)
-        ball = [own, *(own.bitwiseXOR(F.lit(1 << bit)) for bit in range(width) if radius)]
-        asked += [F.struct(F.lit(s).alias("segment"), key.cast("long").alias("key")) for key in ball]
-    probes = nodes.select(F.col("fp").alias("a"), F.explode(F.array(*asked)).alias("q")).select("a", "q.segment", "q.key")
+
+    def around(s: int, at: int, width: int, radius: int):
+        own, masks = _segment(F.col("fp"), at, width), F.lit(ball(width, radius)).cast("array<bigint>")
+        return F.transform(masks, lambda mask: F.struct(F.lit(s).alias("segment"), own.bitwiseXOR(mask).alias("key")))
+
+    asked = [around(s, *segment) for s, segment in enumerate(segments)]
+    probes = nodes.select(F.col("fp").alias("a"), F.explode(F.concat(*asked)).alias("q")).select("a", "q.segment", "q.key")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(False)
     first = F.lit(False)
-    for s, (at, width, radius) in enumerate(SEGMENTS):
+    for s, (at, width, radius) in enumerate(segments):
         first = first | ((F.col("asked.segment") == s) & ~earlier)
         earlier = earlier | (F.bit_count(_segment(differing, at, width)) <= radius)
     condition = (

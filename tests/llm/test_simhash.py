@@ -35,13 +35,21 @@ def test_fingerprint(text):
     assert simhash.fingerprint(None if text is None else text.encode()) == plain_fingerprint(text)
 
 
-def test_links_equal_all_pairs(spark):
+def test_a_layout_finds_every_split_of_four_bits():
+    for segments in simhash.LAYOUTS:
+        assert sum(width for _, width, _ in segments) == 64 and sum(radius + 1 for *_, radius in segments) > simhash.RADIUS
+    assert simhash.layout(10**5) == simhash.LAYOUTS[0] and simhash.layout(10**9) == simhash.LAYOUTS[1]
+    assert len(simhash.ball(32, 2)) == len(set(simhash.ball(32, 2))) == 1 + 32 + 496
+
+
+@pytest.mark.parametrize("segments", simhash.LAYOUTS)
+def test_links_equal_all_pairs(spark, segments):
     pick = random.Random(3)
     points = [pick.getrandbits(64) for _ in range(60)]
     points += [p ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(7))) for p in points for _ in range(12)]
     points = sorted({p - (1 << 64) if p >> 63 else p for p in points} | {0})
     nodes = spark.createDataFrame([(p,) for p in points], "fp long").repartition(3)
-    got = [tuple(r) for r in simhash.links(nodes).collect()]
+    got = [tuple(r) for r in simhash.links(nodes, segments).collect()]
     mask = (1 << 64) - 1
     expected = {(a, b) for i, b in enumerate(points) for a in points[:i] if ((a ^ b) & mask).bit_count() <= 4}
     assert len(got) == len(set(got)) and set(got) == expected
