@@ -51,8 +51,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SLACK = 15.0
 PART = 1500
-# Registers that are compared before all others.
+# Registers that are compared before all others, and pairs that are estimated at a time.
 FIRST = 32
+CHECKED = 20_000
 OPEN = 8
 ROUNDS = 6
 # Words whose hash a task remembers, if they have at most so many bytes.
@@ -298,8 +299,8 @@ def _block_by_block(rows: DataFrame, compute: Callable[[pa.Table], pa.RecordBatc
     return rows.repartition(partitions, "key", "row", "column").sortWithinPartitions(*_BLOCK_ORDER).mapInArrow(run, schema)
 
 
-def _plausible_in_block(table: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """``(place, later places)`` of the pairs of different groups in a block that may link and
+def _plausible_in_block(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(places, later places)`` of the pairs of different groups in a block that may link and
     that agree in no earlier band, so that each pair belongs to one bucket."""
     row, column, part, band, root, n = (table.column(c).to_numpy() for c in ("row", "column", "part", "band", "root", "n"))
     regs, size, place = _matrix(table.column("regs").combine_chunks()), n.astype(float), np.arange(len(n))
@@ -308,21 +309,30 @@ def _plausible_in_block(table: pa.Table, least: int) -> Iterator[tuple[int, np.n
     # standard deviations.
     some = np.ascontiguousarray(regs[:, :FIRST].T)
     enough = max(0, int(FIRST * least / 100 - 6 * np.sqrt(FIRST * least * (100 - least)) / 100))
+
+    def checked(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.repeat([i for i, _ in held], [len(at) for _, at in held]), np.concatenate([at for _, at in held])
+        more, less = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
+        keep = plausible(size[x], size[y], more, less, REGISTERS - more - less, least)
+        x, y = x[keep], y[keep]
+        first = (regs[x] == regs[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band[x]
+        return x[first], y[first]
+
+    held, pairs = [], 0
     for i in range(len(n) - 1):
         near = (some[:, i + 1 :] == some[:, i, None]).sum(0, dtype=np.uint8) >= enough
         near &= root[i + 1 :] != root[i]
         if crossing:
             near &= part[i + 1 :] != part[i]
         at = place[i + 1 :][near]
-        if not len(at):
-            continue
-        more, less = (regs[at] < regs[i]).sum(1), (regs[at] > regs[i]).sum(1)
-        at = at[plausible(np.full(len(at), size[i]), size[at], more, less, REGISTERS - more - less, least)]
-        if len(at):
-            first = (regs[at] == regs[i]).reshape(len(at), BANDS, ROWS).all(2).argmax(1)
-            at = at[first == band[i]]
         if len(at):
-            yield i, at
+            held.append((i, at))
+            pairs += len(at)
+        if pairs >= CHECKED:
+            yield checked(held)
+            held, pairs = [], 0
+    if held:
+        yield checked(held)
 
 
 def with_partners(rows: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -330,8 +340,8 @@ def with_partners(rows: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
     def compute(table: pa.Table) -> pa.RecordBatch:
         some = np.zeros(table.num_rows, bool)
-        for i, at in _plausible_in_block(table, least):
-            some[i] = some[at] = True
+        for x, y in _plausible_in_block(table, least):
+            some[x] = some[y] = True
         kept = table.select(range(7)).filter(pa.array(some)).combine_chunks()
         return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
 
@@ -358,11 +368,10 @@ def block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, least: int)
             return r
 
         found = []
-        for i, at in _plausible_in_block(table, least):
-            own = hashes[i]
-            for j in at.tolist():
+        for first, second in _plausible_in_block(table, least):
+            for i, j in zip(first.tolist(), second.tolist()):
                 x, y = find(root[i]), find(root[j])
-                if x != y and linked(own, hashes[j], least):
+                if x != y and linked(hashes[i], hashes[j], least):
                     parent[max(x, y)] = min(x, y)
                     found.append((node[i], node[j]))
         a, b = zip(*found) if found else ((), ())
