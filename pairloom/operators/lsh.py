@@ -53,6 +53,9 @@ DISTANCE_THRESHOLDS = (1.2, 1.3, 1.4)
 HEAVY_BUCKET = 10_000
 # Pairs that a block holds at a time.
 BLOCK_PAIRS = 1_000_000
+# Parts of a bucket that tell how near a border is, and the numbers of probes of a report.
+FINE = 32
+PROBE_COUNTS = (0, 1, 2, 4, 8)
 
 
 def discriminating_width(num_features: int) -> float:
@@ -143,7 +146,7 @@ def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multip
                 dots = vectors.dot(indices[live], values[live], owners[live], len(ids))
                 squares = np.bincount(owners, values * values, len(ids))
                 gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
-                distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
+                distance = np.sqrt(np.maximum(gap, 0.0))
                 row, query = np.nonzero(meet & (distance < threshold))
                 ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * len(multiples))
                 yield pair_batch(
@@ -157,19 +160,54 @@ def _candidates(queries: DataFrame, catalog: DataFrame, threshold: float, multip
     return over_blocks(queries, catalog, F.size("indices"), HashedBlock, pairs, schema, **bounds)
 
 
-def _unique_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame) -> DataFrame:
+def _unique_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame, probes: int = 0) -> DataFrame:
     """Hashed rows, one for each id: rows that share an id share a text and so a vector.
 
     Written once, because the join reads buckets and vectors at different times.
     """
-    row = F.struct("indices", "values", "buckets")
-    rows = hashed_rows(model, features).filter(F.size("indices") > 0)
+    rows = (probed_rows(model, features, probes) if probes else hashed_rows(model, features)).filter(F.size("indices") > 0)
+    row = F.struct(*[c for c in rows.columns if c != "source_id"])
     return write_through(rows.groupBy("source_id").agg(F.min(row).alias("row")).select("source_id", "row.*"))
 
 
+def probed_rows(model: BucketedRandomProjectionLSHModel, features: DataFrame, probes: int) -> DataFrame:
+    """Hashed rows and, in ``probes``, which neighbouring buckets they ask for in each table.
+
+    1 stands for the bucket below, 2 for the one above, 3 for both. Of all tables' borders
+    the ``probes`` nearest are crossed; ties go to the lower table, then to the bucket below.
+    Where a vector lies in its bucket is read from a hash that is ``FINE`` times finer.
+    """
+    require(probes >= 0, "probes must not be negative")
+    fine = model.transform(features, {model.bucketLength: model.getBucketLength() / FINE})
+    indices, values = sparse_parts(F.col("features"))
+    places = lsh_buckets(F.col("hashes"))
+    rows = model.transform(fine.select("source_id", "features", places.alias("fine"))).select(
+        "source_id", indices.alias("indices"), values.alias("values"), lsh_buckets(F.col("hashes")).alias("buckets"), "fine"
+    )
+    inside = F.zip_with("fine", "buckets", lambda f, b: F.greatest(F.lit(0.0), F.least(F.lit(FINE - 1.0), f - b * FINE)))
+    borders = F.flatten(F.transform(inside, lambda place, table: F.array(
+        F.struct(place.alias("way"), table.alias("table"), F.lit(1).alias("flag")),
+        F.struct((FINE - 1 - place).alias("way"), table.alias("table"), F.lit(2).alias("flag")),
+    )))
+    rows = rows.withColumn("crossed", F.slice(F.sort_array(borders), 1, probes) if probes else F.slice(borders, 1, 0))
+
+    def flags(table):
+        of = lambda flag: F.exists("crossed", lambda c: (c["table"] == table) & (c["flag"] == flag))
+        return F.when(of(1), 1).otherwise(0) + F.when(of(2), 2).otherwise(0)
+
+    return rows.withColumn("probes", F.transform("buckets", lambda _, table: flags(table))).drop("crossed", "fine")
+
+
 def _entries(rows: DataFrame) -> DataFrame:
-    """One row per table: its bucket, and all that the block of that bucket needs."""
-    return rows.select("source_id", "indices", "values", "buckets", F.posexplode("buckets").alias("table", "bucket"))
+    """One row per table and asked bucket, with all that the block of that bucket needs."""
+    if "probes" not in rows.columns:
+        return rows.select("source_id", "indices", "values", "buckets", F.posexplode("buckets").alias("table", "bucket"))
+    # A bucket below or above is asked for where its flag is set.
+    asked = F.zip_with("buckets", "probes", lambda b, p: F.array_compact(F.array(
+        b, F.when(p.bitwiseAND(1) > 0, b - 1), F.when(p.bitwiseAND(2) > 0, b + 1)
+    )))
+    tables = rows.select("source_id", "indices", "values", "buckets", "probes", F.posexplode(asked).alias("table", "near"))
+    return tables.withColumn("bucket", F.explode("near")).drop("near")
 
 
 def _grid(queries: DataFrame, catalog: DataFrame, heavy: int, emit_all: bool) -> DataFrame:
@@ -211,14 +249,16 @@ class Nearest:
         query, ids, distance = (np.concatenate(parts) for parts in zip(empty, *self.found))
         if self.top_k is None or not len(query):
             return query, ids, distance
-        order = np.lexsort((distance, query))
+        # Rounded, so that the order in which terms were summed swaps no ties.
+        rank = round_half_up(distance, SCORE_DECIMALS)
+        order = np.lexsort((rank, query))
         # Only a query's rows up to its K-th distance are compared by id.
-        query, ids, distance = query[order], ids[order], distance[order]
+        query, ids, distance, rank = query[order], ids[order], distance[order], rank[order]
         first = np.searchsorted(query, query)
         last = np.minimum(first + self.top_k, np.searchsorted(query, query, "right")) - 1
-        near = distance <= distance[last]
-        query, ids, distance = query[near], ids[near], distance[near]
-        order = np.lexsort((ids, distance, query))
+        near = rank <= rank[last]
+        query, ids, distance, rank = query[near], ids[near], distance[near], rank[near]
+        order = np.lexsort((ids, rank, query))
         query, ids, distance = query[order], ids[order], distance[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < self.top_k
         return query[keep], ids[keep], distance[keep]
@@ -248,8 +288,9 @@ def bucket_blocks(
     vector = ["source_id", "indices", "values", "buckets"]
     stored = _entries(catalog).join(grid, key)
     stored = stored.select(*key, part("parts").alias("part"), every("query_parts").alias("query_part"), *vector)
+    own = [*vector, "probes"] if "probes" in queries.columns else vector
     asked = _entries(queries).join(grid, key)
-    asked = asked.select(*key, every("parts").alias("part"), part("query_parts").alias("query_part"), *vector)
+    asked = asked.select(*key, every("parts").alias("part"), part("query_parts").alias("query_part"), *own)
     schema = f"{id_columns(queries, catalog)}, distance double, pairs bigint"
     output = to_arrow_schema(catalog.sparkSession.createDataFrame([], schema).schema)
 
@@ -258,20 +299,24 @@ def bucket_blocks(
         nearest, batch = Nearest(top_k), one_batch(rows.select(vector))
         block = HashedBlock.build(questions.select(vector))
         vectors = SparseBlock(**block.vectors)
+        flags = np.zeros(block.buckets.shape, np.int64)
+        if "probes" in own and len(block.ids):
+            crossed, _ = ragged(directed(one_batch(questions.select(own))).column("probes"))
+            flags = crossed.astype(np.int64).reshape(block.buckets.shape)
         counts = np.zeros(len(block.ids), np.int64)
         for stripe in stripes(batch) if len(block.ids) else ():
             buckets = bucket_matrix(stripe)
             meet = np.ones((stripe.num_rows, len(block.ids)), bool)
             for earlier in range(table):
-                meet &= buckets[:, earlier, None] != block.buckets[None, :, earlier]
+                step, crossed = buckets[:, earlier, None] - block.buckets[None, :, earlier], flags[None, :, earlier]
+                meet &= ~((step == 0) | ((step == -1) & (crossed & 1 > 0)) | ((step == 1) & (crossed & 2 > 0)))
             live = meet.any(axis=1)
             ids, indices, values, owners = sparse_stripe(stripe)
             used = live[owners]
             dots = vectors.dot(indices[used], values[used], owners[used], len(ids))
             squares = np.bincount(owners, values * values, len(ids))
             gap = squares[:, None] + vectors.norms[None, :] - 2.0 * dots
-            # Rounded, so that the order in which terms are summed swaps no ties.
-            distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
+            distance = np.sqrt(np.maximum(gap, 0.0))
             row, query = np.nonzero(meet & (distance < threshold))
             counts += np.bincount(query, minlength=len(counts))
             nearest.add(query, ids[row], distance[row, query])
@@ -314,16 +359,18 @@ def lsh_search(
     threshold: float = DISTANCE_THRESHOLD,
     top_k: int = 10,
     heavy: int = HEAVY_BUCKET,
+    probes: int = 0,
 ) -> LshResult:
     """The reranked top K of every query and the number of its candidates, from one pass.
 
     Equal to ``rerank`` of ``lsh_candidates``, but no row per pair leaves a task: a block
-    hands on at most K rows and one counter per query.
+    hands on at most K rows and one counter per query. With ``probes`` a query also asks
+    for as many neighbouring buckets, those whose borders it lies nearest to.
     """
     require(top_k >= 1, "top_k must be at least 1")
     for side in (query_features, catalog_features):
         require_columns(side, ["source_id", "features"])
-    queries, catalog = _unique_rows(model, query_features), _unique_rows(model, catalog_features)
+    queries, catalog = _unique_rows(model, query_features, probes), _unique_rows(model, catalog_features)
     found = write_through(bucket_blocks(queries, catalog, threshold, top_k, heavy))
     ranked = rerank(found.filter(F.col("document_id").isNotNull()).drop("pairs"), top_k)
     return LshResult(ranked, found.filter(F.col("document_id").isNull()).groupBy("query_id").agg(F.sum("pairs").alias("candidates")))
@@ -349,8 +396,7 @@ def measured_pairs(
     met = met.join(side(query_features, "query_id", "query_"), "query_id").join(side(catalog_features, "document_id", ""), "document_id")
     q, d = F.col("query_vector"), F.col("vector")
     gap = squared_norm(q["values"]) + squared_norm(d["values"]) - 2 * sparse_dot(q, d)
-    distance = F.round(F.sqrt(F.greatest(gap, F.lit(0.0))), SCORE_DECIMALS)
-    return met.select("query_id", "document_id", distance.alias("distance"), "query_buckets", "buckets")
+    return met.select("query_id", "document_id", F.sqrt(F.greatest(gap, F.lit(0.0))).alias("distance"), "query_buckets", "buckets")
 
 
 def found_pairs(
@@ -363,13 +409,62 @@ def found_pairs(
 
 
 def rerank(candidates: DataFrame, top_k: int) -> DataFrame:
-    """Top K candidates per query by cosine, then distance, then id."""
+    """Top K candidates per query by distance, which is by cosine, then by id.
+
+    Distances are rounded for the order, so that the order of summation swaps no ties.
+    """
     require_columns(candidates, ["query_id", "document_id", "distance"])
     scored = candidates.withColumn("score", distance_to_cosine(F.col("distance")))
-    order = [F.desc("score"), F.asc("distance"), F.asc("document_id")]
+    order = [F.round("distance", SCORE_DECIMALS), F.asc("document_id")]
     return best_per_query(scored, top_k, order, "score", "distance")
 
 
+def probe_uncovered(
+    model: BucketedRandomProjectionLSHModel,
+    ranked: DataFrame,
+    query_features: DataFrame,
+    catalog_features: DataFrame,
+    threshold: float,
+    top_k: int,
+    probes: int,
+) -> DataFrame:
+    """``ranked`` and the lists of those queries it has none for, found by ``probes`` more buckets."""
+    missed = query_features.join(ranked.select(F.col("query_id").alias("source_id")).distinct(), "source_id", "left_anti")
+    more = lsh_search(model, missed, catalog_features, threshold, top_k, probes=probes).ranked
+    return ranked.withColumn("found_by", F.lit("lsh")).unionByName(more.withColumn("found_by", F.lit("probe")))
+
+
+def probe_report(
+    model: BucketedRandomProjectionLSHModel,
+    query_features: DataFrame,
+    catalog_features: DataFrame,
+    exact: DataFrame,
+    threshold: float = DISTANCE_THRESHOLD,
+    probe_counts=PROBE_COUNTS,
+) -> DataFrame:
+    """``(probes, queries_covered, candidate_pairs, candidate_recall)``: what more buckets buy.
+
+    One search for each count; recall is the share of the ``exact`` pairs among the pairs
+    whose buckets meet, taken from the exact pairs alone.
+    """
+    truth = exact.select("query_id", "document_id").distinct()
+    size = F.greatest(truth.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    report = None
+    for probes in probe_counts:
+        counts = lsh_search(model, query_features, catalog_features, threshold, 1, probes=probes).counts
+        asked = probed_rows(model, query_features, probes).groupBy(F.col("source_id").alias("query_id")).agg(F.min("probes").alias("probes"))
+        measured = measured_pairs(truth, model, query_features, catalog_features).join(asked, "query_id")
+        steps = F.zip_with("buckets", "query_buckets", lambda d, q: d - q)
+        meets = F.exists(F.zip_with(steps, "probes", lambda s, p: (s == 0) | ((s == -1) & (p.bitwiseAND(1) > 0)) | ((s == 1) & (p.bitwiseAND(2) > 0))), lambda x: x)
+        hits = measured.filter(meets & (F.col("distance") < threshold)).agg(F.count(F.lit(1))).scalar()
+        row = counts.agg(
+            F.lit(probes).alias("probes"), F.count(F.lit(1)).alias("queries_covered"),
+            F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidate_pairs"), F.round(hits / size, 6).alias("candidate_recall"),
+        )
+        report = row if report is None else report.unionByName(row)
+    return report
+
+
 def with_fallback(
     ranked: DataFrame, query_rows: DataFrame, catalog_rows: DataFrame, top_k: int
 ) -> DataFrame:
@@ -442,7 +537,7 @@ def _grid_counts(queries: DataFrame, catalog: DataFrame, multiples: list[int], t
                 ids, indices, values, owners = sparse_stripe(stripe)
                 squares = np.bincount(owners, values * values, len(ids))
                 gap = squares[:, None] + vectors.norms[None, :] - 2.0 * vectors.dot(indices, values, owners, len(ids))
-                distance = round_half_up(np.sqrt(np.maximum(gap, 0.0)), SCORE_DECIMALS)
+                distance = np.sqrt(np.maximum(gap, 0.0))
                 cells = [np.nonzero(distance < limit) for limit in thresholds]
                 for w in range(len(multiples)):
                     for d, (row, query) in enumerate(cells):
@@ -532,7 +627,7 @@ def audit_grid(
     per_index = located.select("query_id", "document_id", "distance", "exact", F.explode(F.array_compact(indexes)).alias("index")).select(
         "index.*", "query_id", "document_id", "distance", "exact"
     )
-    place = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("distance", "document_id"))
+    place = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy(F.round("distance", SCORE_DECIMALS), "document_id"))
     hits = per_index.withColumn("place", place).filter("exact").groupBy(*keys).agg(
         *[F.count_if(F.col("distance") < limit).alias(f"c{d}") for d, limit in enumerate(thresholds)],
         *[F.count_if((F.col("distance") < limit) & (F.col("place") <= top_k)).alias(f"f{d}") for d, limit in enumerate(thresholds)],

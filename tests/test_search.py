@@ -316,6 +316,53 @@ def test_found_pairs_are_those_of_the_candidates(hashed):
     assert len(got) == len(set(got)) and set(got) == expected and 0 < len(expected) < exact.count()
 
 
+def _probed_by_hand(model, asked, features, probes, threshold):
+    """Candidates by comparing all pairs, with borders taken from the fine hash."""
+    rows = {r.source_id: r for r in lsh.hashed_rows(model, asked).collect()}
+    fine = {r.source_id: r.buckets for r in lsh.hashed_rows(lsh.fit_index(features, model.getBucketLength() / lsh.FINE, 4), asked).collect()}
+    stored = {r.source_id: r for r in lsh.hashed_rows(model, features).collect() if r.indices}
+    found = set()
+    for q, row in rows.items():
+        wanted = {(t, b) for t, b in enumerate(row.buckets)}
+        borders = []
+        for t, b in enumerate(row.buckets):
+            place = fine[q][t] - lsh.FINE * b
+            borders += [(place, t, 1, (t, b - 1)), (lsh.FINE - 1 - place, t, 2, (t, b + 1))]
+        wanted |= {w for *_, w in sorted(borders)[:probes]}
+        x = dict(zip(row.indices, row["values"]))
+        for d, other in stored.items():
+            y = dict(zip(other.indices, other["values"]))
+            gap = sum((x.get(i, 0) - y.get(i, 0)) ** 2 for i in {*x, *y})
+            if x and math.sqrt(gap) < threshold and any((t, b) in wanted for t, b in enumerate(other.buckets)):
+                found.add((q, d))
+    return found
+
+
+@pytest.mark.parametrize("probes", [1, 3, 8])
+def test_probes_equal_all_pairs(hashed, probes):
+    asked, features = hashed
+    model = lsh.fit_index(features, lsh.discriminating_width(4096), 4)
+    expected = _probed_by_hand(model, asked, features, probes, 1.38)
+    found = lsh.lsh_search(model, asked, features, 1.38, 1000, heavy=40, probes=probes)
+    assert {(r.query_id, r.document_id) for r in found.ranked.collect()} == expected
+    assert sum(r.candidates for r in found.counts.collect()) == len(expected)
+
+
+def test_probes_serve_uncovered_queries(hashed):
+    asked, features = hashed
+    model = lsh.fit_index(features, lsh.discriminating_width(4096) / 8, 2)
+    plain = lsh.lsh_search(model, asked, features, 1.3, 3).ranked
+    served = lsh.probe_uncovered(model, plain, asked, features, 1.3, 3, 4)
+    before, after = ({r.query_id for r in f.collect()} for f in (plain, served))
+    assert before < after
+    assert {r.found_by for r in served.collect() if r.query_id in before} == {"lsh"}
+    exact = S.sparse_top_k(FE.sparse_rows(asked), FE.sparse_rows(features), 5)
+    report = lsh.probe_report(model, asked, features, exact, 1.3, (0, 2, 4)).orderBy("probes").collect()
+    for name in ("queries_covered", "candidate_pairs", "candidate_recall"):
+        values = [r[name] for r in report]
+        assert values == sorted(values) and values[0] < values[-1]
+
+
 def test_sparse_dot_of_a_row(spark):
     from pairloom.functions.vectors import sparse_dot
 

@@ -160,6 +160,17 @@ HASHED["lsh_topk"] = f"{INDEXED}, {listed(1.3)} SELECT * FROM lists"
 HASHED["lsh_with_fallback"] = f"""{INDEXED}, {listed(1.2)}, {top()}
 SELECT query_id, rank, document_id, score, 'lsh' AS found_by FROM lists
 UNION ALL SELECT query_id, rank, document_id, round(score, 6), 'exact' FROM top WHERE query_id NOT IN (SELECT query_id FROM lists)"""
+HASHED["lsh_probes"] = f"""WITH RECURSIVE {SIDES}, {pairs(4)}, {top()},
+borders AS (SELECT source_id, t, floor(x / {NARROW}) AS b, greatest(0, least(31, floor(x / ({NARROW} / 32)) - 32 * floor(x / {NARROW}))) AS place FROM asked_h),
+ways AS (SELECT source_id, b - 1 AS b, t, place AS way, 1 AS flag FROM borders UNION ALL SELECT source_id, b + 1, t, 31 - place, 2 FROM borders),
+probes AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY way, t, flag) AS place FROM ways),
+counts AS (SELECT * FROM (VALUES (0), (1), (2), (4), (8)) v(probes)),
+wanted AS (SELECT probes, source_id, t, b FROM counts, borders UNION ALL SELECT c.probes, source_id, t, b FROM counts c JOIN probes p ON p.place <= c.probes),
+met AS (SELECT DISTINCT probes, w.source_id AS query_id, c.source_id AS document_id FROM wanted w JOIN catalog_h c ON c.t = w.t AND floor(c.x / {NARROW}) = w.b),
+found AS (SELECT probes, query_id, document_id FROM met JOIN near USING (query_id, document_id) WHERE distance < 1.3)
+SELECT c.probes, count(DISTINCT f.query_id) AS queries_covered, count(f.query_id) AS candidate_pairs,
+  round(count(t.query_id) / (SELECT count(*) FROM top), 6) AS candidate_recall
+FROM counts c LEFT JOIN found f USING (probes) LEFT JOIN top t USING (query_id, document_id) GROUP BY c.probes"""
 HASHED["lsh_recall"] = f"""WITH RECURSIVE {SIDES}, {pairs(3)}, {met('0.8::DOUBLE')}, {listed(1.4)}, {top()}
 SELECT (SELECT count(*) FROM catalog) AS job_documents, (SELECT count(*) FROM asked) AS resume_queries,
   (SELECT count(*) FROM catalog) * (SELECT count(*) FROM asked) AS exhaustive_pairs, (SELECT count(*) FROM found) AS candidate_pairs,

@@ -425,6 +425,14 @@ def lsh_with_fallback(spark, sf):
     )
 
 
+@query
+def lsh_probes(spark, sf):
+    sides = _sides(spark, sf)
+    index = lsh.fit_index(sides.catalog_features, lsh.discriminating_width(FE.UNIGRAM_FEATURES), 4)
+    exact = cut_lineage(sides.exact(10))
+    return lsh.probe_report(index, sides.query_features, sides.catalog_features, exact, 1.3)
+
+
 @query
 def lsh_recall(spark, sf):
     return matching.audit_index(X.catalog(spark, sf), X.queries(spark, sf), distance_threshold=1.4)
