@@ -144,10 +144,15 @@ def estimates(size_a, size_b, more, less, same, least: int = LEAST) -> tuple[np.
     return best_j, best - linked
 
 
+def fewest_equal(registers_: int, least: int, deviations: int) -> int:
+    """How many of some registers agree at the threshold, less so many standard deviations."""
+    return max(0, int(registers_ * least / 100 - deviations * np.sqrt(registers_ * least * (100 - least)) / 100))
+
+
 def plausible(size_a, size_b, more, less, same, least: int = LEAST) -> np.ndarray:
     """Whether each pair may link: the registers do not speak clearly against it."""
-    # First what needs no logarithms: sizes too far apart, or less than half of what must agree.
-    out = (100 * np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)) & (200 * same >= least * REGISTERS)
+    # First what needs no logarithms: sizes too far apart, or eight deviations too few that agree.
+    out = (100 * np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)) & (same >= fewest_equal(REGISTERS, least, 8))
     at = np.flatnonzero(out)
     if len(at):
         out[at] = estimates(size_a[at], size_b[at], more[at], less[at], same[at], least)[1] <= SLACK
@@ -308,15 +313,17 @@ def _plausible_in_block(table: pa.Table, least: int) -> Iterator[tuple[np.ndarra
     # Most other pairs agree in fewer of the first registers than a linked pair does, less six
     # standard deviations.
     some = np.ascontiguousarray(regs[:, :FIRST].T)
-    enough = max(0, int(FIRST * least / 100 - 6 * np.sqrt(FIRST * least * (100 - least)) / 100))
+    enough = fewest_equal(FIRST, least, 6)
 
     def checked(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.repeat([i for i, _ in held], [len(at) for _, at in held]), np.concatenate([at for _, at in held])
+        equal = regs[x] == regs[y]
+        keep = equal.sum(1) >= fewest_equal(REGISTERS, least, 8)
+        keep[keep] = equal[keep].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x[keep]]
+        x, y = x[keep], y[keep]
         more, less = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
         keep = plausible(size[x], size[y], more, less, REGISTERS - more - less, least)
-        x, y = x[keep], y[keep]
-        first = (regs[x] == regs[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band[x]
-        return x[first], y[first]
+        return x[keep], y[keep]
 
     held, pairs = [], 0
     for i in range(len(n) - 1):
