@@ -55,7 +55,7 @@ PART = 1500
 FIRST = 32
 CHECKED = 20_000
 OPEN = 8
-ROUNDS = 6
+ROUNDS = 2
 # Words whose hash a task remembers, if they have at most so many bytes.
 KNOWN_WORDS, KNOWN_BYTES = 500_000, 64
 _RANDOM = np.random.default_rng(SEED)
