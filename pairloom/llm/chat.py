@@ -14,7 +14,8 @@ Reading back streams the segments of a conversation in order and holds one at a
 
 Defined cases: null texts and roles are empty; turns are ordered by number, nulls first,
 then role, then text; repeated rows are turns of their own; a null conversation id is a
-conversation of its own; an empty table gives no rows.
+conversation of its own; turns of any length are rendered whole; other columns are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

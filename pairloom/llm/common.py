@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -21,7 +20,7 @@ SLICE_ROWS = 512
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session on one machine that names none gets a private folder, as in tests.
+    Only a session on one machine that names none gets one below its warehouse, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -29,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
         if folder is None:
             if not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

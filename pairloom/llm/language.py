@@ -6,7 +6,8 @@ follow-the-regularised-leader with elastic-net penalties on a sample whose expec
 is a parameter; one part of the sample sets the temperature of the softmax.
 
 Defined cases: null text, empty text or text without a letter is ``und`` with score 0.
-Repeated rows each get their own (equal) prediction. Without any learning row every text is
+Texts of any length are read whole; input columns named like a new one are replaced, others
+are kept. Repeated rows each get their own (equal) prediction. Without any learning row every text is
 ``und``. Ties between classes go to the alphabetically first language.
 """
 

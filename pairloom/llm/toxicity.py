@@ -13,7 +13,8 @@ learns from; a known label is one more, imperfect, voter.
 Counts cover every labelled row; the label model and the weights see a sample of about
 ``FIT_ROWS`` rows. Defined cases: null and empty texts have no features and get the
 classifier's base score; without labelled rows of both classes only the fixed lists vote;
-texts are read whole; repeated rows get the same score each; ties in rank go to the lower
+texts of any length are read whole; input columns named like a new one are replaced, others are
+kept; repeated rows get the same score each; ties in rank go to the lower
 feature number.
 """
 

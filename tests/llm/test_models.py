@@ -1,5 +1,8 @@
+import itertools
+import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -146,3 +149,139 @@ def test_fit_samples_hold_each_text_once(documents, monkeypatch):
     assert sizes == [40, 40]
     with pytest.raises(ValueError, match="at most 39"):
         language.collected(rows.select("text").distinct(), 39, "sample")
+
+
+# Models against plain versions, one number at a time.
+
+WORD32 = (1 << 32) - 1
+
+
+def plain_grams(text):
+    """Bins of 1- to 4-grams by the definition: anything but letters is one space."""
+    if not any(c.isalpha() for c in text.lower()):
+        return {}
+    spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    codes = [ord(c) for c in re.sub(" +", " ", spaced)]
+    bins = {}
+    for size in range(1, 5):
+        for at in range(len(codes) - size + 1):
+            h = 0
+            for n, code in enumerate(codes[at : at + size], 1):
+                h = (h * 0x01000193 + code * 0x9E3779B1 + n) & WORD32
+            place = ((h ^ h >> 15) * 0x85EBCA6B & WORD32) >> 18
+            bins[place] = bins.get(place, 0) + 1
+    return bins
+
+
+TEXTS = ["Das ist, ein Haus!", "the  house\nof  a tree 42", "é È o", "a", "", "123 !?", "la maison. La MAISON", "x" * 50]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_grams_equal_their_definition(text):
+    at, counts = language.gram_counts(text)
+    assert dict(zip(at.tolist(), counts.tolist())) == plain_grams(text)
+
+
+def test_predictions_equal_plain_arithmetic(documents):
+    rows = [(i, text, "ab"[i % 2]) for i, text in enumerate(TEXTS * 3)]
+    frame = documents(rows)
+    model = language.fit(frame)
+    learned = [plain_grams(text) for _, text, _ in rows]
+    frequency = {}
+    for grams in learned:
+        for place in grams:
+            frequency[place] = frequency.get(place, 0) + 1
+    for place in range(language.BINS):
+        assert math.isclose(model.idf[place], math.log((1 + len(rows)) / (1 + frequency.get(place, 0))) + 1)
+    for text in [*TEXTS, "ein Baum of la tree"]:
+        grams = plain_grams(text)
+        weight = {place: (1 + math.log(n)) * model.idf[place] for place, n in grams.items()}
+        length = math.sqrt(sum(w * w for w in weight.values()))
+        said, score = model.predict(text.encode())
+        if not grams:
+            assert (said, score) == ("und", 0.0)
+            continue
+        odds = [sum(w / length * model.weights[place, k] for place, w in weight.items()) / model.temperature for k in range(2)]
+        share = [math.exp(o - max(odds)) for o in odds]
+        best = share.index(max(share))
+        assert said == model.languages[best] and math.isclose(score, max(share) / sum(share), rel_tol=1e-9)
+
+
+def test_ftrl_equals_its_update_rule():
+    """Per coordinate: z gathers gradients, n their squares; weights follow from both."""
+    source = np.random.default_rng(2)
+    rows = [(np.sort(source.choice(12, 3, replace=False)), source.normal(size=3)) for _ in range(15)]
+    targets = np.eye(3)[source.integers(0, 3, 15)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.3
+    z, n = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i][k]) - z[i][k]) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+
+    order = np.random.default_rng(7).permutation(15)
+    for _ in range(2):
+        for r in order:
+            at, x = rows[r]
+            w = {(i, k): weight(i, k) for i in at for k in range(3)}
+            scores = [sum(x[j] * w[i, k] for j, i in enumerate(at)) for k in range(3)]
+            p = [math.exp(s) / sum(map(math.exp, scores)) for s in scores]
+            for j, i in enumerate(at):
+                for k in range(3):
+                    g = x[j] * (p[k] - targets[r][k])
+                    z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / alpha * w[i, k]
+                    n[i][k] += g * g
+    expected = [[weight(i, k) for k in range(3)] for i in range(12)]
+    got = linear.fit_ftrl(rows, targets, 12, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, expected, atol=1e-12) and (got == 0).any()
+
+
+def test_posteriors_equal_enumeration():
+    """The tree's log odds against the joint probability of class and votes, over all votes."""
+    model = toxicity.LabelModel(
+        0.3, np.array([-1, 0, 1, 0]),
+        np.array([[[0.2, 0.2], [0.7, 0.7]], [[0.1, 0.6], [0.4, 0.9]], [[0.3, 0.2], [0.5, 0.8]], [[0.05, 0.3], [0.6, 0.7]]]),
+    )
+    total = 0.0
+    for votes in itertools.product((0, 1), repeat=4):
+        joint = []
+        for y in (0, 1):
+            p = model.prior if y else 1 - model.prior
+            for voter, parent in enumerate(model.parents):
+                one = model.table[voter, y, votes[parent] if parent >= 0 else 0]
+                p *= one if votes[voter] else 1 - one
+            joint.append(p)
+        total += sum(joint)
+        assert math.isclose(model.log_odds(np.array([votes]))[0], math.log(joint[1] / joint[0]), rel_tol=1e-9)
+    assert math.isclose(total, 1.0)
+
+
+def test_toxic_features_and_scores_equal_plain_versions():
+    def plain_features(text):
+        found = set()
+
+        def place(h, kind):
+            mixed = ((h ^ kind * 0x9E3779B1 & WORD32) * 0x85EBCA6B) & WORD32
+            return (mixed ^ mixed >> 15) & (toxicity.BINS - 1)
+
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            h = 2166136261
+            for i, c in enumerate(word[: toxicity.LONGEST], 1):
+                h = (h ^ ord(c)) * 16777619 & WORD32
+                if i in toxicity.BEGINNINGS and len(word) > i:
+                    found.add(place(h, i))
+            found.add(place(h ^ len(word), 0))
+        return found
+
+    texts = ["You are an IDIOT, idiotic one!", "", "a bb ccc dddd", "straße Élan x1y2 !!!", "w" * 40, "SHOUT!!! $$$"]
+    place = np.full(toxicity.BINS, -1, np.int64)
+    chosen = sorted(plain_features(texts[0]))
+    place[chosen] = np.arange(len(chosen))
+    weights = np.linspace(-1, 1, len(chosen) + toxicity.PATTERNS + 1)
+    model = toxicity.ToxicityModel(place, weights)
+    for text in texts:
+        assert set(toxicity.features(text).tolist()) == plain_features(text)
+        z = sum(weights[place[f]] for f in plain_features(text) if place[f] >= 0)
+        z += sum(weights[len(chosen) + k] for k in toxicity.patterns(text)) + weights[-1]
+        assert math.isclose(model.score(text.encode()), 1 / (1 + math.exp(-z)), rel_tol=1e-9)
