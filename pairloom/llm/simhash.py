@@ -32,6 +32,7 @@ from pairloom.llm.common import checkpointed, quoted, with_arrow_columns, writte
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+EDGES_PER_TASK = 100_000
 # Segments as first bit, width and radius of the ball.
 LAYOUTS = (((0, 20, 1), (20, 20, 1), (40, 24, 0)), ((0, 32, 2), (32, 32, 1)))
 
@@ -131,13 +132,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     before = state(edges)
+
+    def few(frame: DataFrame) -> DataFrame:
+        # An edge is two numbers: a task takes many, and a small graph needs no more tasks.
+        tasks = 8 + before[0] // EDGES_PER_TASK
+        return frame.coalesce(tasks) if tasks < 64 else frame
+
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        least = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(low, "a")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = checkpointed(few(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()))
         after = state(edges)
         if after == before:
             break
