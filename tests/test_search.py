@@ -291,6 +291,30 @@ def test_search_cuts_many_queries_and_keeps_ties_by_id(hashed, monkeypatch):
     assert [x.tolist() for x in nearest.rows()] == [[0, 0, 1], ["a", "b", "z"], [0.5, 0.5, 0.1]]
 
 
+@pytest.mark.parametrize("probes", [0, 3])
+def test_every_way_to_meet_gives_the_same_pairs(hashed, monkeypatch, probes):
+    """One block, several passes and the bucket join, with ids that come again."""
+    asked, features = hashed
+    again = features.limit(3)
+    features = features.unionByName(again).unionByName(again.withColumn("features", _without_weights("features")))
+    model = lsh.fit_index(features, lsh.discriminating_width(4096), 4)
+    ways = []
+    for queries, crowded in ((4096, 8), (4, 10**9), (4, 0)):
+        monkeypatch.setattr(lsh, "BLOCK_QUERIES", queries)
+        monkeypatch.setattr(lsh, "CROWDED", crowded)
+        monkeypatch.setattr(lsh, "BLOCK_PAIRS", 20)
+        found = lsh.lsh_search(model, asked, features, 1.41, 3, probes=probes)
+        ways.append((sorted(map(tuple, found.ranked.withColumn("distance", F.round("distance", 9)).drop("score").collect())), sorted(map(tuple, found.counts.collect()))))
+    assert ways[0] == ways[1] == ways[2] and len(ways[0][0]) > 3
+
+
+def test_no_vector_moves_to_one_block_of_queries(hashed):
+    asked, features = hashed
+    model = lsh.fit_index(features, lsh.discriminating_width(4096), 4)
+    plan = lsh.lsh_candidates(model, asked, features, 1.38)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_audit_equals_the_grid_over_all_candidates(hashed):
     from pairloom.checks import cut_lineage
 
