@@ -144,33 +144,20 @@ def attach_terms(
 ) -> DataFrame:
     """Inner join of postings with a per-term table, whatever the term distribution.
 
-    A small vocabulary is broadcast. Otherwise the few heavy terms are, and only the
-    tail is shuffled; rows already served by a heavy term are spread evenly.
+    A small vocabulary is broadcast. Otherwise the few heavy terms are, and only postings of
+    the tail are shuffled; those that a heavy term serves stay where they are.
     """
     if vocabulary.broadcastable(broadcast_rows):
         return rows.join(F.broadcast(table), "term")
     columns = [name for name in table.columns if name != "term"]
-    packed = table.select("term", F.struct(*columns).alias("found"), F.col("df").alias("rows"))
+    packed = table.select("term", F.struct(*columns).alias("found"))
     heavy_from = max(1, vocabulary.postings // HEAVY_TERMS)
-    is_heavy = (F.col("rows") > heavy_from) & (F.octet_length("term") <= HEAVY_TERM_BYTES)
+    is_heavy = (F.col("found.df") > heavy_from) & (F.octet_length("term") <= HEAVY_TERM_BYTES)
     heavy = packed.filter(is_heavy).select("term", F.col("found").alias("heavy"))
-    tail = packed.filter(~is_heavy).select(
-        F.col("term").alias("tail_term"), F.col("found").alias("tail"), F.lit(0).alias("tail_spread")
-    )
-    marked = rows.join(F.broadcast(heavy), "term", "left").withColumns(
-        {
-            "open_term": F.when(F.col("heavy").isNull(), F.col("term")),
-            "spread": F.when(F.col("heavy").isNull(), 0).otherwise(
-                F.pmod(F.xxhash64(key), F.lit(HEAVY_TERMS)).cast("int") + 1
-            ),
-        }
-    )
-    served = marked.join(
-        tail,
-        (F.col("open_term") == F.col("tail_term")) & (F.col("spread") == F.col("tail_spread")),
-        "left",
-    ).withColumn("found", F.coalesce("heavy", "tail"))
-    return served.filter(F.col("found").isNotNull()).select(*rows.columns, "found.*")
+    marked = rows.join(F.broadcast(heavy), "term", "left")
+    served = marked.filter(F.col("heavy").isNotNull()).select(*rows.columns, "heavy.*")
+    tail = marked.filter(F.col("heavy").isNull()).join(packed.filter(~is_heavy), "term")
+    return served.unionByName(tail.select(*rows.columns, "found.*"))
 
 
 def weighted_documents(
