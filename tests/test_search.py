@@ -430,3 +430,48 @@ def test_bucket_lengths_are_exact():
     for widths in ((0.1, 0.1000001), (0.0, 1.0)):
         with pytest.raises(ValueError, match="bucket lengths"):
             lsh.common_width(widths)
+
+
+def _by_hand(words, ngrams):
+    counts = {}
+    terms = [f"u_{w}" for w in words] + [f"b_{a}_{b}" for a, b in zip(words, words[1:])] if ngrams else words
+    for term in terms:
+        counts[term] = counts.get(term, 0) + 1
+    return counts
+
+
+def test_terms_are_counted_as_by_hand_whatever_the_parts(docs, monkeypatch):
+    """Rows without words, repeated words, words beyond ASCII, and parts of one row each."""
+    texts = ["", "data data data", "ñandú größe 東京 ñandú größe", "the of", "b_ u_ x_y spark b_ u_", "spark data spark data spark"]
+    frame = docs([(f"k{i}", text) for i, text in enumerate(texts)]).coalesce(1)
+    for part_bytes in (L.PART_BYTES, 1):
+        monkeypatch.setattr(L, "PART_BYTES", part_bytes)
+        for ngrams in (False, True):
+            cut = frame.select("source_id", L.tokens(F.col("combined_text")).alias("w"))
+            expected = {r["source_id"]: _by_hand(r["w"], ngrams) for r in cut.collect()}
+            found = {r["source_id"]: {x["term"]: x["tf"] for x in r["runs"]} for r in L.term_rows(frame, ngrams).collect()}
+            assert found == expected
+
+
+def test_terms_without_weight_are_not_written(docs):
+    """Of a catalog's phrases most stand in one document; they must not reach the table that later joins read."""
+    vocabulary = L.fit_vocabulary(docs([("a", "spark python rare"), ("b", "spark python"), ("c", "lonely")]), 2)
+    written = vocabulary.table.sparkSession.read.parquet(*vocabulary.table.inputFiles())
+    assert {(r["term"], r["df"]) for r in written.collect()} == {(None, 3), ("spark", 2), ("python", 2)}
+    assert (vocabulary.documents, vocabulary.terms, vocabulary.postings) == (3, 2, 4)
+
+
+def test_no_list_of_all_postings_is_made(docs):
+    """Norms are sums of numbers: lists hold one row a document and the terms that queries ask for."""
+    catalog = docs([("a", "spark python java scala"), ("a", "spark java"), ("b", "spark python"), (None, "python scala"), ("c", "java")])
+    rows = L.postings(catalog)
+    vocabulary = L.fit_vocabulary(catalog, 1)
+    known = L.attach_terms(rows, vocabulary.table, vocabulary, "source_id")
+    asked = known.filter(F.col("term") == "python")
+    split = L.asked_documents(known, asked.select("source_id", "term", "tf", "idf"))
+    whole = L.weighted_documents(known, F.col("term") == "python")
+
+    def plain(frame):
+        return sorted((str(r["source_id"]), round(r["norm"], 9), sorted((e["term"], round(e["weight"], 9)) for e in r["entries"])) for r in frame.collect())
+
+    assert plain(split) == plain(whole) and len(plain(split)) == 3
