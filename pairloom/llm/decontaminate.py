@@ -54,9 +54,12 @@ def marked(text: Column) -> Column:
 
     No pattern repeats a group or starts inside a number, so none recurses or backtracks.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS))
+    whole = F.coalesce(text, F.lit(""))
+    # Translating looks every character up; nearly no text holds a mark.
+    plain = F.when(whole.rlike(f"[{MARKS}]"), F.translate(whole, MARKS, " " * len(MARKS))).otherwise(whole)
     names = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", f"{NAME}$1")
-    joined = F.regexp_replace(F.regexp_replace(names, r"(?<=\p{N})\.(?=\p{N})", DOT), r"(?<=\p{N}),(?=\p{N})", COMMA)
+    # The sign comes first in a pattern, so other places are passed by without looking back.
+    joined = F.regexp_replace(F.regexp_replace(names, r"\.(?<=\p{N}\.)(?=\p{N})", DOT), r",(?<=\p{N},)(?=\p{N})", COMMA)
     units = F.regexp_replace(joined, rf"(?<!{NUMBER_CLASS})({NUMBER_CLASS}++) ?({UNITS})(?![\p{{L}}\p{{M}}])", f"$1 {UNIT}$2 ")
     return F.regexp_replace(units, f"({NUMBER_CLASS}++)", f" {NUMBER}$1 ")
 
@@ -127,8 +130,9 @@ def document_windows(documents: DataFrame, key: str, text: str) -> DataFrame:
     A text's tokens are cut into slices of ``SLICE`` windows first, so a window's row holds
     no more of them, however long the text is. ``base`` is the place of the slice.
     """
-    docs = documents.select(row_digest(key, text).alias("digest"), values(quoted(text)).alias("v")).filter(F.size("v") >= WINDOW)
-    starts = F.sequence(F.lit(0), F.size("v") - WINDOW, F.lit(SLICE))
+    docs = documents.select(row_digest(key, text).alias("digest"), values(quoted(text)).alias("v"))
+    # A short text has no start. As a filter this would be pushed below the values, and Spark would make them twice.
+    starts = F.when(F.size("v") >= WINDOW, F.sequence(F.lit(0), F.size("v") - WINDOW, F.lit(SLICE)))
     cut = docs.select("digest", F.explode(F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice("v", at + 1, SLICE + WINDOW - 1).alias("v")))).alias("s"))
     parts = cut.select("digest", "s.base", "s.v").select("digest", "base", "v", templates(F.col("v")).alias("t"))
     return parts.select("digest", "base", "v", F.posexplode(windows(F.col("t"))).alias("doc_at", "hash"))

@@ -307,3 +307,10 @@ def test_many_empty_texts_are_many_ranges(spark):
     held = frame.withColumn("range", sharding._range_of(F.col("h"), F.col("d"), bounds)).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     most = held.agg(F.max("n"), F.max("bytes")).first()
     assert most[0] <= 2 * sharding.OVERFULL * len(rows) / 60 and most[1] <= 2 * sharding.OVERFULL * total / 60
+
+
+def test_values_of_a_text_are_made_once(documents):
+    """The patterns are most of the work; no filter on the values may make Spark run them again."""
+    windows = decontaminate.document_windows(documents([(1, "one two three four five six seven eight nine"), (2, "short"), (3, None)]), "doc_id", "text")
+    assert windows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert [r["doc_at"] for r in windows.collect()] == [0, 1]
