@@ -128,13 +128,18 @@ class Aligned:
         a_ends, b_ends = np.cumsum(a_width[a]), np.cumsum(b_width[b])
         unit_ends = np.cumsum(sizes)
         # Between two neighbouring ends lies a piece of one token of either side: a link.
-        ends = np.union1d(a_ends, b_ends)
-        of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        self.links = a[of_a] << 32 | b[of_b]
+        # No token is empty, so each end belongs to one token of a side and counting orders all.
+        mark = np.zeros(int(sizes.sum()) + 1, np.uint8)
+        mark[a_ends] = 1
+        mark[b_ends] |= 2
+        ends = np.flatnonzero(mark)
+        mark = mark[ends]
+        is_a, is_b, common = (mark & 1).astype(bool), mark > 1, mark == 3
+        self.links = a[np.cumsum(is_a) - is_a] << 32 | b[np.cumsum(is_b) - is_b]
         self.n_links = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        self.n_groups = np.diff(np.searchsorted(common, unit_ends, "right"), prepend=0)
-        self.listings = self._listings(a, b, a_ends, b_ends, common, _spellings(path_a, path_b), len(a_bytes), len(b_bytes))
+        self.n_groups = np.diff(np.searchsorted(ends[common], unit_ends, "right"), prepend=0)
+        group = np.cumsum(common) - common
+        self.listings = self._listings(a, b, group[is_a], group[is_b], _spellings(path_a, path_b), len(a_bytes), len(b_bytes))
 
     @staticmethod
     def _flat(lists, table, width, whole, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +154,17 @@ class Aligned:
             bad = np.array([b"".join(map(table.__getitem__, own)) != w for own, w in zip(lists, whole)])
         return flat, counts, bad
 
-    def _listings(self, a, b, a_ends, b_ends, common, spellings, size_a, size_b) -> list[str]:
+    def _listings(self, a, b, a_group, b_group, spellings, size_a, size_b) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each unit: tokens by group, first side first, each with the
         separator that follows it."""
-        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         last_a, last_b = np.diff(a_group, append=-1) != 0, np.diff(b_group, append=-1) != 0
-        code = np.concatenate((a + last_a * size_a, 2 * size_a + b + last_b * size_b))
-        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
-        parts = [spellings[c] for c in code[order].tolist()]
+        # A token's place: its own side's earlier tokens and the other side's of earlier groups,
+        # for the second side also those of its own group. Every group has tokens of both sides.
+        a_until, b_until = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.concatenate(([0], b_until))[a_group]] = a + last_a * size_a
+        code[np.arange(len(b)) + a_until[b_group]] = 2 * size_a + b + last_b * size_b
+        parts = list(map(spellings.__getitem__, code.tolist()))
         stops = np.cumsum(self.n_a + self.n_b).tolist()
         return ["".join(parts[x:y])[:-1] for x, y in zip([0, *stops], stops)]
 
@@ -249,35 +257,49 @@ class Postings:
 CHUNKS = "chunk long, rows binary, postings binary, pair_a int, pair_b int, docs long, links long"
 
 
+class _Codes(dict):
+    """Numbers of units, given when they are first asked for; ``new`` lists those without alignment."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class _Chunk:
     """The documents of a chunk while they are read."""
 
     def __init__(self, number: int):
         self.number, self.size = number, 0
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.units: list[Aligned] = []
         self.listing, self.spelled = [], []
+        self.all_spelled = True
         self.ids, self.doc_units, self.digests = [], [], []
 
     def add(self, ids: list, texts: list[str], paths: tuple[str, str]) -> None:
         codes = self.codes
         cut = CUT.split if cuts_apply(*paths) else lambda text: [text]
-        units = [cut(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(u for own in units for u in own if u not in codes))
-        if new:
-            found = Aligned(new, *paths)
-            codes.update(zip(new, range(len(codes), len(codes) + len(new))))
+        code = codes.__getitem__
+        coded = [list(map(code, cut(t))) if t else [] for t in texts]
+        if codes.new:
+            found = Aligned(codes.new, *paths)
+            codes.new = []
             self.listing += found.listings
             self.spelled += found.spelled.tolist()
+            self.all_spelled &= bool(found.spelled.all())
             found.listings = []
             self.units.append(found)
-        listing, spelled = self.listing, self.spelled
-        for key, text, own in zip(ids, texts, units):
-            numbers = [codes[u] for u in own]
-            good = bool(numbers) and all([spelled[c] for c in numbers])
+        listed, spelled = self.listing.__getitem__, self.spelled.__getitem__
+        for key, text, numbers in zip(ids, texts, coded):
+            good = bool(numbers) and (self.all_spelled or all(map(spelled, numbers)))
             self.ids.append(key)
             self.doc_units.append(np.array(numbers if good else [], np.int32))
-            self.digests.append(hashlib.sha256(";".join([listing[c] for c in numbers]).encode()).hexdigest() if good else "")
+            self.digests.append(hashlib.sha256(";".join(map(listed, numbers)).encode()).hexdigest() if good else "")
             self.size += len(text)
 
     def full(self) -> bool:

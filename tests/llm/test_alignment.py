@@ -75,6 +75,22 @@ def test_documents_equal_brute_force(spark):
     assert found(docs) == plain_rows([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_units_are_numbered_and_aligned_once(monkeypatch):
+    asked = []
+    own = alignment.Aligned
+    monkeypatch.setattr(alignment, "Aligned", lambda units, *paths: asked.append(list(units)) or own(units, *paths))
+    # Sorting a slice's ends or listing its tokens by a sort costs more than all other steps.
+    for name in ("union1d", "intersect1d"):
+        monkeypatch.setattr(alignment.np, name, None)
+    chunk = alignment._Chunk(0)
+    chunk.add([1, 2], ["one two one", "two \x00three"], (OFFSETS, PIECES))
+    chunk.add([3, 4], ["one four", ""], (OFFSETS, PIECES))
+    assert asked == [["one", "two", "\x00three"], ["four"]] and chunk.codes.new == []
+    for digest, text in zip(chunk.digests, ["one two one", "two \x00three", "one four", ""]):
+        read = plain(text)
+        assert digest == (hashlib.sha256(";".join(read[2]).encode()).hexdigest() if read else "")
+
+
 def test_scores_by_parts(spark, documents, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", 40)
     monkeypatch.setattr(alignment, "PART", 3)
