@@ -173,14 +173,18 @@ def _names(sets: list[np.ndarray]) -> list[int | None]:
     return [name if len(own) else None for name, own in zip(names, sets)]
 
 
-def sketched(df: DataFrame, text: str, size: int, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``node`` (names the set, null if empty), ``n`` (its size) and ``regs``."""
+SKETCH = "node long, n long, regs binary"
+
 
-    def compute(texts: list[bytes]) -> list:
-        sets = [shingle_set(raw, size) for raw in texts]
-        return [_names(sets), [len(own) for own in sets], [registers(own).tobytes() if len(own) else None for own in sets]]
+def sketches(texts: list[bytes | None], size: int) -> list:
+    """The columns of ``SKETCH`` of UTF-8 texts."""
+    sets = [shingle_set(raw, size) for raw in texts]
+    return [_names(sets), [len(own) for own in sets], [registers(own).tobytes() if len(own) else None for own in sets]]
 
-    return with_arrow_columns(df, text, "node long, n long, regs binary", compute, drop=drop)
+
+def sketched(df: DataFrame, text: str, size: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``node`` (names the set, null if empty), ``n`` (its size) and ``regs``."""
+    return with_arrow_columns(df, text, SKETCH, lambda texts: sketches(texts, size), drop=drop)
 
 
 def _with_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -390,10 +394,12 @@ def block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, least: int)
     return _block_by_block(full, compute, "a long, b long")
 
 
-def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
+def groups(nodes: DataFrame, sets_of, least: int = LEAST, stars: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of every node with a linked one; ``nodes`` holds ``(node, n, regs, text_key)``.
 
-    ``sets_of`` gives ``(node, hashes)`` for a frame ``(node, text_key)``.
+    ``sets_of`` gives ``(node, hashes)`` for a frame ``(node, text_key)``. ``stars`` may hold
+    ``(a, b)`` with a < b of groups that another search found: the first round tests them beside
+    the leaders of the buckets, so what links is one group for all later rounds.
     """
     def sets_for(asked: DataFrame) -> DataFrame:
         return written(sets_of(asked.select("node").distinct().join(nodes.select("node", "text_key"), "node")), "sets")
@@ -403,7 +409,8 @@ def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
     for round_ in range(ROUNDS + 1):
         counted = written(_open(rooted), "open")
         members, still = counted.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("open"), F.lit(0.0))).first()
-        if not members:
+        beside = stars if round_ == 0 else None
+        if not members and beside is None:
             break
         # Blocks are the last step: they answer for every pair that is still open.
         last = round_ > 0 and (round_ == ROUNDS or still <= OPEN * members or still > 0.5 * before)
@@ -413,7 +420,9 @@ def groups(nodes: DataFrame, sets_of, least: int = LEAST) -> DataFrame:
             asked = written(with_partners(placed(open_members, counted), nodes, least), "blocks")
             found = block_links(asked, nodes, sets_for(asked), least)
         else:
-            asked = written(estimated(written(star_pairs(open_members, round_), "stars"), nodes, least), "asked")
+            pairs = star_pairs(open_members, round_)
+            pairs = pairs if beside is None else pairs.unionByName(beside).distinct()
+            asked = written(estimated(written(pairs, "stars"), nodes, least), "asked")
             ends = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node")))
             found = verified(asked, sets_for(ends), least)
         edges = written(found if edges is None else edges.unionByName(found), "links")

@@ -37,18 +37,18 @@ EDGES_PER_TASK = 100_000
 LAYOUTS = (((0, 20, 1), (20, 20, 1), (40, 24, 0)), ((0, 32, 2), (32, 32, 1)))
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The fingerprint of a UTF-8 text as an unsigned number."""
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text, from shingles of ``size`` words, as an unsigned number."""
     words = (text or b"").lower().split()  # bytes: A-Z and the six ASCII white spaces only
     if not words:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    if len(words) < SHINGLE:
+    if len(words) < size:
         starts, stops = [0], [len(joined)]
     else:
-        starts = np.concatenate(([0], ends[: 1 - SHINGLE - 1] + 1))[: len(words) - SHINGLE + 1].tolist()
-        stops = ends[SHINGLE - 1 :].tolist()
+        starts = np.concatenate(([0], ends[: -size] + 1))[: len(words) - size + 1].tolist()
+        stops = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
     set_bits = np.zeros(64, np.int64)
@@ -58,13 +58,14 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the fingerprint as a signed long."""
+def fingerprints(texts: list[bytes | None], size: int = SHINGLE) -> np.ndarray:
+    """The fingerprints of UTF-8 texts as signed longs."""
+    return np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
 
-    def compute(texts: list[bytes]) -> list:
-        return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return with_arrow_columns(df, text, f"`{name}` long", compute, drop=drop)
+def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the fingerprint as a signed long."""
+    return with_arrow_columns(df, text, f"`{name}` long", lambda texts: [fingerprints(texts)], drop=drop)
 
 
 def _segment(fp, at: int, width: int):

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pairloom.llm import setsketch, similar, simhash
 
@@ -67,3 +69,30 @@ def test_of_equal_rows_one_stays(documents):
     rows = [(7, "the same five words here")] * 300 + [(7, "The same FIVE words here")] * 5 + [(9, None)] * 40
     kept = similar.keep_one(documents(rows).repartition(7)).collect()
     assert sorted(r["doc_id"] for r in kept) == [7, 9]
+
+
+def no_buckets(nodes):
+    return nodes.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("band"), "node").limit(0)
+
+
+def test_simhash_finds_and_full_sets_confirm(documents, monkeypatch):
+    # Without any sketch bucket only SimHash can find the copies.
+    monkeypatch.setattr(setsketch, "buckets", no_buckets)
+    pick = random.Random(6)
+    base = [f"w{pick.randrange(5000)}" for _ in range(400)]
+    near = [(i, " ".join([*base[:-1], f"last{i}"])) for i in range(8)]
+    # One shingle is most of either text: equal fingerprints, other sets.
+    alike = [(50, "x " * 100 + "one two three four five"), (51, "x " * 100 + "six seven eight nine ten")]
+    prints = [simhash.fingerprint(t.encode(), similar.SHINGLE) for _, t in near + alike]
+    assert all((p ^ prints[0]).bit_count() <= simhash.RADIUS for p in prints[:8]) and prints[8] == prints[9]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(None, documents(near + alike), "").collect())
+    assert kept == plain_kept(near + alike) == [0, 50, 51]
+
+
+def test_fingerprints_of_any_shingle_length():
+    for size in (1, 4, 5):
+        for n in range(9):
+            words = [f"w{i}" for i in range(n)]
+            shingles = [" ".join(words[i : i + size]) for i in range(max(1, n - size + 1))] if n else []
+            sums = [sum(simhash.xxhash.xxh64_intdigest(s.encode(), simhash.SEED) >> bit & 1 for s in shingles) for bit in range(64)]
+            assert simhash.fingerprint(" ".join(words).encode(), size) == sum(1 << bit for bit in range(64) if 2 * sums[bit] > len(shingles))
