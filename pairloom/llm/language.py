@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import collected, decoded, quoted, slices, with_arrow_columns
+from pairloom.llm.common import collected, decoded, quoted, release_memory, slices, with_arrow_columns, written
 from pairloom.llm.linear import fit_ftrl, fit_temperature, softmax
 
 BINS = 1 << 14
@@ -125,21 +125,41 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = F
         rate = F.when(F.col("lang") == name, min(1.0, fit_rows / len(languages) / per_language[name])).otherwise(rate)
     sample = rows.filter(share < rate).distinct().withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(5)))
     packed = with_arrow_columns(sample, "text", "bins binary, counts binary", _packed, drop=("text",))
-    got = collected(packed, 2 * fit_rows + 1000, "fit-sample")
-    rows_, truth, held = [], [], []
-    for r in sorted(got, key=lambda r: (r["lang"], r["bins"], r["counts"])):
-        at, counts = np.frombuffer(r["bins"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)
-        if len(at):
-            rows_.append((at, unit_weights(at, counts, idf)))
-            truth.append(languages.index(r["lang"]))
-            held.append(r["part"] == 0)
-    truth, held = np.array(truth, int), np.array(held, bool)
-    learn = np.flatnonzero(~held)
-    targets = np.eye(len(languages))[truth[learn]] if len(learn) else np.zeros((0, len(languages)))
-    weights = fit_ftrl([rows_[i] for i in learn], targets, BINS, alpha=1.0, l1=0.05, l2=0.05)
-    check = np.flatnonzero(held)
-    scores = np.array([rows_[i][1] @ weights[rows_[i][0]] for i in check]).reshape(len(check), len(languages))
-    return LanguageModel(languages, idf, weights, fit_temperature(scores, truth[check]))
+    kept = written(packed, "fit-grams")
+    # The driver learns how many rows the sample has, not what is in them.
+    if not collected(kept.select("lang"), 2 * fit_rows + 1000, "fit-sample"):
+        return LanguageModel(languages, idf, np.zeros((BINS, len(languages))), 1.0)
+    weights, temperature = _fitted(kept, languages, idf)
+    return LanguageModel(languages, idf, weights, temperature)
+
+
+def _fitted(kept: DataFrame, languages: tuple[str, ...], idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and temperature from the counted rows of the sample, learned in a task: grams
+    take many times the memory of the model, which alone comes to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("lang", "bins", "counts", "part")))]
+        got.sort(key=lambda r: r[:3])
+        rows_, truth, held = [], [], []
+        for lang, bins, counts, part in got:
+            at = np.frombuffer(bins, np.uint16).astype(np.int64)
+            if len(at):
+                rows_.append((at, unit_weights(at, np.frombuffer(counts, np.uint32), idf)))
+                truth.append(languages.index(lang))
+                held.append(part == 0)
+        truth, held = np.array(truth, int), np.array(held, bool)
+        fit_on = np.flatnonzero(~held)
+        targets = np.eye(len(languages))[truth[fit_on]] if len(fit_on) else np.zeros((0, len(languages)))
+        weights = fit_ftrl([rows_[i] for i in fit_on], targets, BINS, alpha=1.0, l1=0.05, l2=0.05)
+        check = np.flatnonzero(held)
+        scores = np.array([rows_[i][1] @ weights[rows_[i][0]] for i in check]).reshape(len(check), len(languages))
+        fitted = {"weights": [weights.tobytes()], "temperature": [fit_temperature(scores, truth[check])]}
+        yield pa.RecordBatch.from_pydict(fitted, pa.schema({"weights": pa.binary(), "temperature": pa.float64()}))
+        del got, rows_, scores
+        release_memory()
+
+    row = kept.coalesce(1).mapInArrow(learn, "weights binary, temperature double").first()
+    return np.frombuffer(row["weights"]).reshape(BINS, len(languages)), row["temperature"]
 
 
 def _packed(texts: list[bytes]) -> list:

@@ -125,7 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until the edges no longer change. Every step
     aggregates the smallest neighbour map-side and joins it back, so no neighbourhood is
-    gathered, and is cut off by a checkpoint in the shared folder.
+    gathered, and is cut off by a checkpoint in the shared folder: plans and tasks of a small
+    graph stay few, however many partitions the edges come in.
     """
 
     def state(e: DataFrame):
@@ -140,9 +141,11 @@ def components(edges: DataFrame) -> DataFrame:
         return frame.coalesce(tasks) if tasks < 64 else frame
 
     while before[0]:
+        edges = few(edges)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # Cut off too: it is used three times, and the driver would plan each use with all before it.
+        large = checkpointed(few(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()))
         low = few(large.groupBy("a").agg(F.min("b").alias("m")))
         small = few(large.join(low, "a")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(few(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()))

@@ -151,6 +151,21 @@ def test_fit_samples_hold_each_text_once(documents, monkeypatch):
         language.collected(rows.select("text").distinct(), 39, "sample")
 
 
+def test_grams_of_the_sample_stay_off_the_driver(documents, monkeypatch):
+    seen = []
+
+    def watching(df, most, name, own=language.collected):
+        got = own(df, most, name)
+        seen.extend(len(v) for r in got for v in r.values() if isinstance(v, (str, bytes)))
+        return got
+
+    monkeypatch.setattr(language, "collected", watching)
+    texts = ["".join(chr(97 + (i * j * j + j) % 26) + " " * (j % 5 == i % 5) for j in range(800)) for i in range(1, 31)]
+    model = language.fit(documents([(i, t, ("aa", "bb")[i % 2]) for i, t in enumerate(texts)]))
+    assert len(seen) >= 30 and max(seen) < 10
+    assert model.weights.shape == (language.BINS, 2) and model.weights.any()
+
+
 # Models against plain versions, one number at a time.
 
 WORD32 = (1 << 32) - 1

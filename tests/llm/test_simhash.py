@@ -90,3 +90,16 @@ def test_empty_table_and_clashing_columns(documents):
     assert simhash.keep_one(documents([])).collect() == []
     clash = documents([(1, "a b c d e")]).withColumn("fp", F.lit("x")).withColumn("root", F.lit(2)).withColumn("id", F.lit(3))
     assert simhash.near_duplicate_groups(clash).count() == 1 and simhash.keep_one(clash).columns == clash.columns
+
+
+def test_components_plan_no_step_several_times(spark, monkeypatch):
+    scans = []
+
+    def counting(df, own=simhash.checkpointed):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        return own(df)
+
+    monkeypatch.setattr(simhash, "checkpointed", counting)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").repartition(3)
+    assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(31)}
+    assert len(scans) > 3 and max(scans[1:]) <= 4
