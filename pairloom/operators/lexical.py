@@ -12,20 +12,20 @@ The catalog is tokenised once; its counted terms are written and read from there
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import pairwise
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from pairloom.checks import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, require, require_columns, write_through
+from pairloom.checks import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, discard, fits, require, require_columns, write_through
 from pairloom.functions.text import tokens, with_bigrams
+from pairloom.operators import packed
 from pairloom.operators.documents import CONTRACT
 from pairloom.operators.features import MIN_DOCUMENT_FREQUENCY
 
@@ -124,16 +124,52 @@ def exploded(written_rows: DataFrame, key: str = "source_id") -> DataFrame:
     return written_rows.select(key, F.explode("runs").alias("run")).select(key, "run.term", "run.tf")
 
 
-@dataclass(frozen=True)
 class Vocabulary:
-    """Catalog statistics: ``table(term, df, idf)`` and the totals that size the joins."""
+    """Catalog statistics: ``table(term, df, idf)`` and the totals that size the joins.
 
-    table: DataFrame
-    documents: int
-    terms: int
-    term_bytes: int
-    postings: int
-    ngrams: bool
+    The table is written when it is first asked for. A search of the ``catalog`` that it was fitted
+    on takes the same weights from packed postings and needs no such table.
+    """
+
+    def __init__(self, counted: DataFrame, catalog: DataFrame, min_document_frequency: int, ngrams: bool):
+        self._counted, self.catalog = counted, catalog
+        self.min_document_frequency, self.ngrams = min_document_frequency, ngrams
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        # Most phrases stand in one document: terms without a weight are not written.
+        return write_through(self._counted.filter(F.col("term").isNull() | (F.col("df") >= self.min_document_frequency)))
+
+    @cached_property
+    def _totals(self) -> Row:
+        known = F.col("term").isNotNull()
+        return self._counts.agg(
+            F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("documents"),
+            F.count_if(known).alias("terms"),
+            F.sum(F.when(known, F.octet_length("term"))).alias("term_bytes"),
+            F.sum(F.when(known, F.col("df"))).alias("postings"),
+        ).first()
+
+    @property
+    def documents(self) -> int:
+        return self._totals["documents"] or 0
+
+    @property
+    def terms(self) -> int:
+        return self._totals["terms"]
+
+    @property
+    def term_bytes(self) -> int:
+        return self._totals["term_bytes"] or 0
+
+    @property
+    def postings(self) -> int:
+        return self._totals["postings"] or 0
+
+    @cached_property
+    def table(self) -> DataFrame:
+        idf = F.log((F.lit(self.documents) + 1) / (F.col("df") + 1))
+        return self._counts.filter(F.col("term").isNotNull()).select("term", "df", idf.alias("idf"))
 
     def broadcastable(self, limit: int) -> bool:
         return self.terms <= limit and self.term_bytes <= BROADCAST_BYTES
@@ -158,26 +194,8 @@ def fit_vocabulary(
     """One pass over the catalog, or over its counted ``rows`` if they are there already;
     terms below the least frequency have no weight."""
     require_columns(catalog, CONTRACT)
-    # Most phrases stand in one document: terms without a weight are not written.
     counted = term_frequencies(term_rows(catalog, ngrams) if rows is None else rows)
-    counts = write_through(counted.filter(F.col("term").isNull() | (F.col("df") >= min_document_frequency)))
-    known = F.col("term").isNotNull()
-    totals = counts.agg(
-        F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("documents"),
-        F.count_if(known).alias("terms"),
-        F.sum(F.when(known, F.octet_length("term"))).alias("term_bytes"),
-        F.sum(F.when(known, F.col("df"))).alias("postings"),
-    ).first()
-    documents = totals["documents"] or 0
-    idf = F.log((F.lit(documents) + 1) / (F.col("df") + 1))
-    return Vocabulary(
-        table=counts.filter(known).select("term", "df", idf.alias("idf")),
-        documents=documents,
-        terms=totals["terms"],
-        term_bytes=totals["term_bytes"] or 0,
-        postings=totals["postings"] or 0,
-        ngrams=ngrams,
-    )
+    return Vocabulary(counted, catalog, min_document_frequency, ngrams)
 
 
 def attach_terms(
@@ -253,11 +271,16 @@ def sparse_scores(
     rows: DataFrame | None = None,
 ) -> DataFrame:
     """Cosine of every (query, document) pair that shares a weighted term; ``rows`` are
-    written ``term_rows`` of the catalog, if there are any."""
+    written ``term_rows`` of the catalog, if there are any.
+
+    Over the catalog of the vocabulary, for queries that may be broadcast, postings are packed.
+    """
     ngrams = vocabulary.ngrams
-    found = exploded(write_through(term_rows(catalog, ngrams)) if rows is None else rows)
     asked_terms = cut_lineage(postings(queries, ngrams))
     shipped = fits(asked_terms, broadcast_rows)
+    if shipped and rows is None and catalog is vocabulary.catalog and _spelled(queries, catalog):
+        return _packed_scores(asked_terms, vocabulary, decimals)[1]
+    found = exploded(write_through(term_rows(catalog, ngrams)) if rows is None else rows)
     if shipped:
         known = cut_lineage(vocabulary.table.join(F.broadcast(asked_terms), "term"))
     else:
@@ -298,6 +321,27 @@ def sparse_scores(
     return reduce(DataFrame.unionByName, [scored(query_terms.filter(part == at)) for at in range(groups)])
 
 
+def _spelled(queries: DataFrame, catalog: DataFrame) -> bool:
+    return all(side.schema["source_id"].dataType == StringType() for side in (queries, catalog))
+
+
+def _packed_scores(
+    asked_terms: DataFrame, vocabulary: Vocabulary, decimals: int, top_k: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The written sums of all parts, and the scores of the vocabulary's catalog that are made of them."""
+    catalog, ngrams = vocabulary.catalog, vocabulary.ngrams
+    spark = catalog.sparkSession
+    cores, parts = spark.sparkContext.defaultParallelism, packed.PARTS
+    while parts < cores:
+        parts *= 2
+    tasks = min(parts, max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = packed.Asked.build(asked_terms.select("source_id", "term", "tf").toArrow(), ngrams, parts)
+    words = catalog.select("source_id", tokens(F.col("combined_text")).alias("terms"))
+    found = packed.packed_postings(words, ngrams, parts, _parts)
+    sums = write_through(packed.weigh(found, asked, vocabulary.min_document_frequency, parts, tasks), drop_shuffles=True)
+    return sums, packed.scored(sums, asked, packed.frequencies(sums, asked), decimals, tasks, top_k)
+
+
 def _query_groups(query_terms: DataFrame) -> int:
     """How many groups of queries keep each within half of what may be broadcast."""
     size = query_terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("b")).first()
@@ -364,8 +408,15 @@ def lexical_top_k(
 ) -> DataFrame:
     """Exact TF-IDF cosine top-K over both sides' contract tables."""
     require_columns(queries, CONTRACT)
-    rows = write_through(term_rows(catalog, ngrams))
-    vocabulary = fit_vocabulary(catalog, min_document_frequency, ngrams, rows)
-    scores = sparse_scores(queries, catalog, vocabulary, decimals, broadcast_rows, rows)
-    top = rank_top_k(scores, top_k)
+    require(top_k >= 1, "top_k must be at least 1")
+    vocabulary = fit_vocabulary(catalog, min_document_frequency, ngrams)
+    asked_terms = cut_lineage(postings(queries, ngrams))
+    if fits(asked_terms, broadcast_rows) and _spelled(queries, catalog):
+        sums, scores = _packed_scores(asked_terms, vocabulary, decimals, top_k)
+        top = write_through(rank_top_k(scores, top_k), drop_shuffles=True)
+        discard(sums)
+    else:
+        rows = write_through(term_rows(catalog, ngrams))
+        vocabulary = fit_vocabulary(catalog, min_document_frequency, ngrams, rows)
+        top = rank_top_k(sparse_scores(queries, catalog, vocabulary, decimals, broadcast_rows, rows), top_k)
     return fill_with_zeros(top, queries, catalog, top_k) if fill_zero else top

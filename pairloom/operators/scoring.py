@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.checks import require, require_columns, write_through
 from pairloom.operators.lexical import SCORE_DECIMALS, rank_top_k
+from pairloom.operators.packed import round_half_up
 
 # Bounds of one query block: rows, and stored numbers over all rows.
 BLOCK_QUERIES = 4_096
@@ -123,12 +124,6 @@ class SparseBlock:
         return np.bincount(cells, products, count * width).reshape(count, width)
 
 
-def round_half_up(values: np.ndarray, decimals: int) -> np.ndarray:
-    """Rounds halves away from zero, as Spark's ``round`` does."""
-    scale = 10.0**decimals
-    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values)
-
-
 def pair_batch(query_ids: np.ndarray, document_ids: np.ndarray, **values: pa.Array) -> pa.RecordBatch:
     """Result rows; ids are Python objects, so an empty batch needs a type that casts."""
 
