@@ -578,11 +578,10 @@ THRESHOLDS = (1.1, 1.2, 1.3, 1.4)
 
 def _threshold_grid(spark, sf):
     catalog, asked = X.catalog(spark, sf), X.queries(spark, sf)
-    rows = write_through(L.term_rows(catalog, ngrams=True))
-    grams = L.sparse_scores(asked, catalog, L.fit_vocabulary(catalog, ngrams=True, rows=rows), DECIMALS, rows=rows)
+    grams = L.sparse_scores(asked, catalog, L.fit_vocabulary(catalog, ngrams=True), DECIMALS)
     distance = F.round(vectors.cosine_to_distance(F.col("score")), DECIMALS)
     near = grams.select("query_id", "document_id", distance.alias("distance")).filter(F.col("distance") < max(THRESHOLDS))
-    grid = V.evaluate_thresholds(cut_lineage(near), cut_lineage(_lexical(spark, sf)), THRESHOLDS, 10)
+    grid = V.evaluate_thresholds(write_through(near, drop_shuffles=True), cut_lineage(_lexical(spark, sf)), THRESHOLDS, 10)
     return grid.select(
         "distance_threshold", "candidate_pairs", "queries_covered",
         F.round("candidate_recall", DECIMALS).alias("candidate_recall"),
