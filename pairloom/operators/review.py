@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.checks import require, require_columns
+from pairloom.checks import fits, require, require_columns
 from pairloom.functions.keys import seeded_digest
 from pairloom.operators.selection import pick_diverse
 
@@ -72,6 +72,7 @@ def query_metadata(resumes: DataFrame, systems: dict[str, DataFrame]) -> DataFra
 def document_metadata(postings: DataFrame, summaries: DataFrame, systems: dict[str, DataFrame]) -> DataFrame:
     """Posting fields and summary excerpt of the pooled documents only."""
     links = pooled_documents(systems).withColumnRenamed("document_id", "job_link")
+    links = F.broadcast(links) if fits(links) else links  # else all texts would move to meet them
     wanted = postings.join(links, "job_link", "left_semi")
     texts = summaries.join(links, "job_link", "left_semi").select(
         "job_link", F.substring("job_summary", 1, DOCUMENT_EXCERPT).alias("job_summary_excerpt")

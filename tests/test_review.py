@@ -90,3 +90,17 @@ def test_relevance_and_wins(spark, systems, packet):
 def test_title_overlap(spark):
     frame = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "l array<string>, r array<string>")
     assert [r[0] for r in frame.select(R.title_overlap(F.col("l"), F.col("r"))).collect()] == [pytest.approx(1 / 3), 0.0]
+
+
+def test_texts_do_not_move_to_meet_the_few_pooled_documents(spark, systems):
+    """The pool is a few thousand ids; they go to the texts, whatever Spark thinks of their size."""
+    texts = spark.createDataFrame([(f"j{n}", "text") for n in range(9)], "job_link string, job_summary string")
+    postings = spark.createDataFrame([(f"j{n}", *["x"] * 5) for n in range(9)], "job_link string, " + ", ".join(f"{n} string" for n in R.JOB_FIELDS[:-1]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.document_metadata(postings, texts, systems)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("BroadcastHashJoin [job_link") == 2
